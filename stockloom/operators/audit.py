@@ -11,7 +11,7 @@ def hide_near(events: DataFrame, lead_type: str, follow_type: str, seconds: int,
 
     Buckets of the window's width turn the range into an equi-join: an event can only be near those of its own and the two
     neighbouring buckets, so an actor's whole history never meets itself."""
-    stamp = F.unix_micros(F.col(at))
+    stamp = F.unix_micros(F.col(at).cast("timestamp"))
     width = seconds * 1_000_000
     lead = events.where(F.col(kind) == lead_type).select(F.col(key).alias("lead_id"), F.col(actor).alias("actor"), stamp.alias("t0"), F.explode(F.sequence(F.floor(stamp / width) - 1, F.floor(stamp / width) + 1)).alias("bucket"))
     follow = events.where(F.col(kind) == follow_type).select(F.col(key).alias("follow_id"), F.col(actor).alias("actor"), stamp.alias("t1"), F.floor(stamp / width).alias("bucket"))
@@ -58,7 +58,7 @@ def inbox(feedback: DataFrame, notices: DataFrame, status: str | None = None, ne
 def sessions(events: DataFrame, gap_seconds: int, actor: str = "user_id", at: str = "ts") -> DataFrame:
     """Runs of an actor's events whose gaps are at most so long."""
     w = Window.partitionBy(actor).orderBy(at)
-    stamp = F.unix_micros(F.col(at))
+    stamp = F.unix_micros(F.col(at).cast("timestamp"))
     new = F.coalesce((stamp - F.lag(stamp).over(w)) > gap_seconds * 1_000_000, F.lit(True)).cast("int")
     e = events.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rangeBetween(Window.unboundedPreceding, 0)))
     return e.groupBy(actor, "session").agg(F.count(F.lit(1)).alias("n_events"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
