@@ -161,6 +161,9 @@ LABELLED = (
     # pages without marks: long paragraphs and what stands between them
     (60, 0.0, 4, 1.0, 80, 0.0, 0, 0, 0, 0, 0, 1), (35, 0.1, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1), (20, 0.0, 45, 0.0, 50, 0.1, 0, 0, 0, 0, 0, 1), (8, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1),
     (3, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1), (7, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1), (90, 0.05, 9, 0.0, 6, 0.5, 0, 0, 0, 0, 0, 1), (18, 0.0, 70, 0.0, 8, 0.4, 0, 0, 0, 0, 1, 1),
+    (40, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 1), (80, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 1, 1), (25, 0.05, 80, 0.0, 3, 1.0, 0, 0, 0, 0, 1, 1), (30, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 1), (45, 0.15, 0, 0.0, 35, 0.0, 0, 0, 0, 1, 0, 1),
+    # short lines between short lines on such pages: dates, captions, calls to act
+    (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 0, 0, 0), (2, 0.0, 5, 0.2, 3, 0.0, 0, 0, 0, 1, 0, 0), (5, 0.0, 6, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 0), (4, 0.0, 3, 0.3, 6, 0.0, 0, 0, 0, 0, 1, 0), (6, 0.1, 5, 0.0, 7, 0.0, 0, 0, 0, 0, 0, 0),
 )
 
 
