@@ -161,25 +161,40 @@ def _contexts(n_bytes: int, shares: int):
                     texts = {r: (b.column(2)[r].as_py() or "").encode("utf-8", "surrogatepass")}
                 at, n = int(lo[i]), int(more[i])
                 if kind[i] == 1:
-                    out.append((int(anchors[i]), 0, doc[r], tie[r], at, texts[r][at : at + n + n_bytes]))
+                    out.append((int(anchors[i]), 0, doc[r], tie[r], at, n, texts[r][at : at + n + n_bytes]))
                 else:
                     for k in range(at, at + n + 1):
                         hot.append((int(anchors[i]), doc[r], tie[r], k, hashlib.blake2b(texts[r][k : k + n_bytes], digest_size=16).digest()))
             if hot:
                 h, d, t, k, digest = zip(*hot, strict=True)
                 halves = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                known = not_first([halves[:, 0], halves[:, 1]], [np.array(d), np.array(t), np.array(k)])
+                d, t, k = (np.array(x, np.int64) for x in (d, t, k))
+                known = not_first([halves[:, 0], halves[:, 1]], [d, t, k])
                 share = 1 + (halves[:, 0].view(np.uint64) % np.uint64(shares)).astype(np.int64)
-                for i in range(len(h)):
-                    out.append((int(halves[i, 1]) if known[i] else h[i], int(share[i]), d[i], t[i], k[i], None if known[i] else digest[i]))
+                out += [(h[i], int(share[i]), d[i], t[i], k[i], 0, digest[i]) for i in np.flatnonzero(~known).tolist()]
+                doc_k, tie_k, s, e = united(d[known], t[known], k[known], k[known] + n_bytes)
+                spread = _mix(doc_k.view(np.uint64) * np.uint64(_ODD) ^ s.astype(np.uint64)).view(np.int64)
+                out += list(zip(spread.tolist(), [0] * len(s), doc_k, tie_k, s, e - s - n_bytes, [None] * len(s), strict=True))
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 cols = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "share", "doc", "tie", "lo", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "share", "doc", "tie", "lo", "more", "bytes"])
 
     return run
 
 
+def united(doc: np.ndarray, tie: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Spans of each document, those that touch or overlap as one."""
+    order = np.lexsort((s, tie, doc))
+    doc, tie, s, e = (x[order].astype(np.int64) for x in (doc, tie, s, e))
+    if not len(s):
+        return doc, tie, s, e
+    own = np.append(0, np.cumsum((doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]))) << 33
+    reach = np.maximum.accumulate(own + e)
+    new = np.flatnonzero(np.append(True, (own + s)[1:] > reach[:-1]))
+    return doc[new], tie[new], s[new], (reach - own)[np.append(new[1:], len(s)) - 1]
+
+
 def refine(buf: np.ndarray, ends: np.ndarray, n_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts of all n-byte strings in the contexts whose bucket has another member, and their bucket.
 
@@ -222,35 +237,27 @@ def refine(buf: np.ndarray, ends: np.ndarray, n_bytes: int) -> tuple[np.ndarray,
 def _refined(n_bytes: int, most: int):
     """Spans of the strings that also start earlier, among rows of _contexts that come grouped by anchor."""
 
-    def merged(doc, tie, place):
-        order = np.lexsort((place, tie, doc))
-        doc, tie, place = doc[order], tie[order], place[order]
-        cut = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (tie[1:] != tie[:-1]) | (place[1:] > place[:-1] + 1)))
-        end = np.append(cut[1:], len(doc)) - 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(doc[cut]), pa.array(tie[cut]), pa.array(place[cut].astype(np.int32)), pa.array((place[end] + n_bytes).astype(np.int32))], names=["doc", "tie", "s", "e"]
-        )
-
-    def spans(doc, tie, lo, raw):
+    def spans(doc, tie, lo, more, share, raw):
         size = np.array([-1 if r is None else len(r) for r in raw])
-        repeat, places = [size < 0], [lo]
-        rows = [np.arange(len(lo))]
-        digests = np.flatnonzero(size == 16)
+        pick = size < 0
+        digests = np.flatnonzero((size >= 0) & (share > 0))
         if len(digests):
             halves = np.frombuffer(b"".join(raw[i] for i in digests), np.int64).reshape(-1, 2)
-            repeat[0][digests] = not_first([halves[:, 0], halves[:, 1]], [doc[digests], tie[digests], lo[digests]])
-        whole = np.flatnonzero(size >= n_bytes)
+            pick[digests] = not_first([halves[:, 0], halves[:, 1]], [doc[digests], tie[digests], lo[digests]])
+        row = np.flatnonzero(pick)
+        s, e = lo[row].astype(np.int64), lo[row] + more[row] + n_bytes
+        whole = np.flatnonzero((size >= 0) & (share == 0))
         if len(whole):
             ends = np.cumsum(size[whole])
             at, bucket = refine(np.frombuffer(b"".join(raw[i] for i in whole), np.uint8), ends, n_bytes)
             k = np.searchsorted(ends, at, side="right")
             place = lo[whole[k]] + at - np.append(0, ends[:-1])[k]
-            rows.append(whole[k])
-            places.append(place)
-            repeat.append(not_first([bucket], [doc[whole[k]], tie[whole[k]], place]))
-        pick = np.concatenate(repeat)
-        row, place = np.concatenate(rows)[pick], np.concatenate(places)[pick]
-        return merged(doc[row], tie[row], place) if len(row) else None
+            again = not_first([bucket], [doc[whole[k]], tie[whole[k]], place])
+            row, s, e = (np.append(x, y) for x, y in ((row, whole[k][again]), (s, place[again]), (e, place[again] + n_bytes)))
+        if not len(row):
+            return None
+        d, t, s, e = united(doc[row], tie[row], s, e)
+        return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(s.astype(np.int32)), pa.array(e.astype(np.int32))], names=["doc", "tie", "s", "e"])
 
     def run(batches):
         held: list[tuple] = []
@@ -258,7 +265,7 @@ def _refined(n_bytes: int, most: int):
         for t in whole_groups(batches, ["h", "share"]):
             if t is None:
                 continue
-            cols = [t.column(c).to_numpy() for c in ("doc", "tie", "lo")]
+            cols = [t.column(c).to_numpy() for c in ("doc", "tie", "lo", "more", "share")]
             raw = t.column("bytes").to_pylist()
             bounds = group_bounds([t.column(c).to_numpy() for c in ("h", "share")])
             sizes = np.cumsum([len(r or b"") for r in raw])
@@ -270,12 +277,12 @@ def _refined(n_bytes: int, most: int):
                     total += here
                     cut = e
                     if total >= most:
-                        got = spans(*(np.concatenate([x[i] for x in held]) for i in range(3)), [r for x in held for r in x[3]])
+                        got = spans(*(np.concatenate([x[i] for x in held]) for i in range(5)), [r for x in held for r in x[5]])
                         held, total = [], 0
                         if got is not None:
                             yield got
         if held:
-            got = spans(*(np.concatenate([x[i] for x in held]) for i in range(3)), [r for x in held for r in x[3]])
+            got = spans(*(np.concatenate([x[i] for x in held]) for i in range(5)), [r for x in held for r in x[5]])
             if got is not None:
                 yield got
 
@@ -314,7 +321,7 @@ def duplicate_spans(docs: DataFrame, n_bytes: int = 100, q: int = Q, hot: int =
     mark = F.struct("kind", "h", "lo", F.col("more").cast("int").alias("more"))
     by_doc = marks.groupBy("doc", "tie").agg(F.collect_list(mark).alias("marks"))
     joined = docs.join(by_doc, ["doc", "tie"], "left")
-    contexts = joined.select("doc", "tie", "text", "marks").mapInArrow(_contexts(n_bytes, shares), "h long, share int, doc long, tie long, lo int, bytes binary")
+    contexts = joined.select("doc", "tie", "text", "marks").mapInArrow(_contexts(n_bytes, shares), "h long, share int, doc long, tie long, lo int, more int, bytes binary")
     contexts = contexts.repartition("h", "share").sortWithinPartitions("h", "share")
     refined = contexts.mapInArrow(_refined(n_bytes, 1 << 22), "doc long, tie long, s int, e int")
     refined = refined.groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("refined"))
