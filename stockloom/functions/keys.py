@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Word lists that the keys drop. They decide which records are the same and must stay as they are.
 LEGAL_WORDS = r"\b(pte|ltd|limited|private|co|company)\b"
@@ -55,7 +56,7 @@ def normalized_item_identity(x: str | Column) -> Column:
     return squeeze(bare)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no built-in for it. Only where text is not plain ASCII is it needed."""
     return s.str.normalize("NFKC")

@@ -1,0 +1,199 @@
+"""Operators on small literal tables: the acceptance scenario, negative cases and invariants."""
+
+import datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from stockloom.operators import audit, authority, consensus, gates, health, ledger, matching, resolve, stock
+from stockloom.sources import readers
+
+
+def rows(df):
+    return sorted(tuple(r) for r in df.collect())
+
+
+def items(spark):
+    return spark.createDataFrame([(1, "A1", "Lamp", "x"), (2, "B2", "Mixer", None), (3, "C3", "Screen", "y")], "id long, sku string, item_name string, category string")
+
+
+def summary(spark):
+    bought = spark.createDataFrame([(1, Decimal(2)), (1, Decimal(3)), (2, Decimal(1))], "item_id long, quantity decimal(14,2)")
+    gone = spark.createDataFrame([(1, Decimal(1)), (2, Decimal(4))], "item_id long, quantity decimal(14,2)")
+    return stock.inventory_summary(items(spark), bought, gone)
+
+
+def test_acceptance_scenario(spark):
+    got = rows(summary(spark).select("id", "purchased", "adjusted", "current"))
+    assert got == [(1, 5, 1, 4), (2, 1, 4, -3), (3, 0, 0, 0)]
+    counted = spark.createDataFrame([(1, 4), (2, 0)], "item_id long, physical int")
+    assert [r.status for r in stock.stock_take(summary(spark), counted).orderBy("id").collect()] == ["Match", "Over", "Not counted"]
+    wanted = spark.createDataFrame([(1, 4), (1, 5), (9, 1)], "item_id long, quantity int")
+    assert rows(stock.adjustment_allowed(summary(spark), wanted).select("item_id", "quantity", "allowed")) == [(1, 4, True), (1, 5, False), (9, 1, False)]
+
+
+def test_health_rules_and_score(spark):
+    serials = spark.createDataFrame([(1, "S1"), (2, "s1 ")], "item_id long, serial string")
+    purchases = spark.createDataFrame([(7, None), (8, datetime.date(2024, 1, 1))], "id long, day date")
+    docs, lines = spark.createDataFrame([(7,), (8,)], "id long"), spark.createDataFrame([(8,)], "purchase_id long")
+    found = health.all_findings(summary(spark), serials, purchases, docs, lines, spark.createDataFrame([(3,)], "id long"))
+    assert {r.issue_type for r in found.collect()} == set(health.RULES) - {"Serial review"}
+    assert health.score(found).first().score == 100 - 12 * 3 - 7 * 3 and health.score(found.limit(0)).first().label == "Excellent"
+    keys = [r.issue_key for r in found.orderBy("issue_key").collect()]
+    reviews = spark.createDataFrame([(keys[0], "resolved"), (keys[1], None), ("gone:x:1", None)], "issue_key string, resolution_status string")
+    left = health.open_findings(found, reviews).collect()
+    assert len(left) == len(keys) - 1 and [r.reviewed for r in left if r.issue_key == keys[1]] == [True]
+    assert rows(health.history(reviews, found).select("status")) == [("resolved",), ("still-detected",), ("still-detected",)]
+
+
+def test_orphans_and_contents(spark):
+    kids, parents = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(1,)], "id long")
+    assert health.orphans(kids, "k", parents, "id", "x").first().n == 1 and health.orphans(kids, "k", parents, "id", "x", True).first().n == 2
+    docs = spark.createDataFrame([(1, None, None), (2, "a", None), (3, "b", "00"), (4, "c", "AB"), (5, "d", "ab"), (6, "zz", "ab")], "id long, storage_path string, file_sha256 string")
+    blobs = spark.createDataFrame([("a", "5", "ab"), ("b", "5", "ab"), ("c", "5", "ab"), ("d", "n/a", "ab")], "name string, size string, sha256 string")
+    assert [r.outcome for r in health.verify_contents(docs, blobs).orderBy("id").collect()] == ["no-path", "no-hash", "bad-hash", "verified", "empty", "missing"]
+    ages = spark.createDataFrame([(1.0,), (36.0,), (60.0,), (61.0,), (None,)], "h double")
+    assert [r.s for r in ages.select(health.backup_status(F.col("h")).alias("s")).collect()] == ["PASS", "PASS", "WARN", "FAIL", "UNKNOWN"]
+    assert ages.limit(3).select(health.backup_status(F.col("h")).alias("status")).agg(health.worst().alias("w")).first().w == "WARN"
+
+
+def test_matching_against_the_catalogue(spark):
+    cat = spark.createDataFrame([(1, "AB-1", "Wall Lamp"), (2, "CD-2", "Desk Lamp"), (3, "CD-3", "Desk Lamp"), (4, "none", "Stand")], "id long, sku string, item_name string")
+    lines = spark.createDataFrame([(1, "ab1", "x"), (2, "", "wall lamp"), (3, "", "desk lamp"), (4, "ZZ9", "Wall Lamp"), (5, None, None), (6, "", "Stand"), (7, "", "Chair")], "line_id long, sku string, item_name string")
+    got = {r.line_id: (r.reason, r.item_id) for r in resolve.match_exact_or_name(lines, cat).collect()}
+    assert got == {
+        1: ("exact-sku", 1), 2: ("same-name-single-verified-model", 1), 3: ("conflicting-existing-models", None), 4: ("incoming-model-conflict", None),
+        5: ("no-identity", None), 6: ("same-normalized-name", 4), 7: ("no-existing-match", None),
+    }
+    top = resolve.fuzzy_top(lines.where("line_id = 4").withColumn("sku", F.lit("CD-Z")), cat, "right(item_name, 4)").collect()
+    assert top[0].rank == 1 and top[0].item_id == 2 and top[0].status == "confirmed" and len(top) == 3
+
+
+def test_duplicates_and_merge(spark):
+    it = spark.createDataFrame([(1, "A-1", "Lamp", 2), (2, "a1", "LAMP", 1), (3, "B2", "lamp", 3), (4, "Q", "Solo", 1)], "id long, sku string, item_name string, created int")
+    got = {r.id: (r.action, r.canonical_id, r.review) for r in resolve.duplicate_policy(it).collect()}
+    assert got == {1: ("merge", 2, True), 2: ("keep", 2, True), 3: (None, None, True)}
+    lines = spark.createDataFrame([(1, 5), (3, 7), (None, 1)], "item_id long, q int")
+    after = resolve.remap(lines, "item_id", resolve.duplicate_policy(it).where("action = 'merge'"))
+    assert sorted((r.item_id or 0, r.q) for r in after.collect()) == [(0, 1), (2, 5), (3, 7)]
+    assert resolve.assert_same_totals(lines, after, "q").first().checked
+    with pytest.raises(Exception, match="merge changed totals"):
+        resolve.assert_same_totals(lines, after.where("q <> 7"), "q").collect()
+    plan = resolve.duplicate_pairs(it, "substring(lower(item_name), 1, 2)")._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_votes_stay_blank_on_ties(spark):
+    r = spark.createDataFrame([(1, "a", "s1"), (1, "a", "s2"), (1, "b", "s3"), (2, "a", "s1"), (2, "b", "s2"), (3, "a", "s1"), (3, "a", "s1"), (4, None, "s1")], "doc long, v string, src string")
+    got = {x.doc: (x.value, x.status) for x in ledger.vote(r, ["doc"], "v", "src").collect()}
+    assert got == {1: ("a", "resolved"), 2: (None, "tie"), 3: (None, "weak")}
+    c = spark.createDataFrame([(1, "x", 120.0, "a"), (1, "y", 95.0, "b"), (2, "x", 100.0, "a"), (2, "y", 95.0, "b"), (3, "x", 50.0, "a")], "doc long, value string, score double, source string")
+    assert {x.doc: (x.value, x.status) for x in ledger.choose_header(c, ["doc"]).collect()} == {1: ("x", "resolved"), 2: (None, "conflicting-evidence"), 3: (None, "insufficient-evidence")}
+
+
+def test_ledger_counts_repeats(spark):
+    r = spark.createDataFrame([("a", "k", 1, 5), ("a", "k", 2, 9), ("b", "k", 1, 7), ("b", "", 2, 1)], "origin string, key string, no int, strength int")
+    assert rows(ledger.ledger(r, "key", "origin", "no", "strength")) == [("k", 1, 2, 1, 7), ("k", 2, 1, 2, 9)]
+    assert ledger.dedupe_exact(r, "key", "origin", "no").count() == 2
+    gaps = spark.createDataFrame([(1, 1, 1), (1, 2, None), (1, 3, None), (1, 4, 4), (1, 5, None), (1, 6, 9), (1, 7, None)], "doc long, pos int, ordinal int")
+    assert [x.filled for x in ledger.fill_gaps(gaps, "doc", "pos", "ordinal").orderBy("pos").collect()] == [1, 2, 3, 4, None, 9, None]
+    b = spark.createDataFrame([(1, 2, None, "q"), (1, 1, "p", None)], "doc long, rank int, u string, w string")
+    assert rows(ledger.backfill(b, "doc", [F.asc("rank")], ["u", "w"])) == [(1, "p", "q")]
+
+
+CANDIDATES = "doc_id long, origin string, ordinal int, sku string, item_name string, quantity double, unit_price double, amount double, non_inventory boolean"
+
+
+def test_verdicts(spark):
+    good = lambda d, o: [(d, o, 1, "A1", "Lamp", 2.0, 10.0, 20.0, False), (d, o, 2, "B2", "Mixer", 1.0, 5.0, 5.0, False)]
+    r = [*good(1, "x"), *good(1, "y"), (2, "x", 1, "A1", "Lamp", 2.0, 10.0, 30.0, False), (3, "x", 1, "", "Installation", 1.0, 9.0, 9.0, True), (4, "x", 1, "A1", "Serial no 5", 1.0, 9.0, 9.0, False)]
+    sub = spark.createDataFrame([(1, 25.0)], "doc_id long, subtotal double")
+    df = spark.createDataFrame(r, CANDIDATES)
+    got = {v.doc_id: (v.status, v.winner, v.reasons) for v in consensus.verdicts(df, sub).collect()}
+    assert got[1] == ("review", "x", "low-confidence")  # twins leave no margin
+    assert got[2][2].startswith("economic-mismatch") and got[3][2].startswith("structural-review") and got[4][2].startswith("structural-review")
+    alone = df.where("NOT (doc_id = 1 AND origin = 'y' AND ordinal = 1)")
+    best = {v.doc_id: v for v in consensus.verdicts(alone, sub).collect()}[1]
+    assert best.status == "accepted" and best.confidence >= 0.72 and best.margin > 0
+
+
+def test_page_authority(spark):
+    pages = [(1, 1, "TAX INVOICE\nqty amount total"), (1, 2, "more lines"), (1, 3, "Purchase Order\nqty unit price total"), (1, 4, "more"), (2, 1, "lines only"), (2, 2, "Invoice\nPurchase order ref: 7")]
+    df = spark.createDataFrame(pages, "doc long, page int, text string").withColumn("mark", authority.page_marks("text"))
+    assert [r.allowed for r in authority.page_authority(df, "doc", "page", "mark").orderBy("doc", "page").collect()] == [True, True, False, False, False, True]
+    names = ["Mic stand", "Supply and install projector installation", "Wall mount bracket", "Projector 4k", "Extended warranty", "Chair", None]
+    got = spark.createDataFrame([(n,) for n in names], "t string").select(authority.line_class("t").alias("c")).collect()
+    assert [r.c for r in got] == ["equipment", "service", "accessory", "equipment", "warranty", "uncertain", "uncertain"]
+    content = spark.createDataFrame([(1, "service", False), (1, "x", True), (2, "service", False), (3, "x", False), (4, "noninventory", True)], "doc_id long, class string, strong boolean")
+    assert dict(rows(authority.content_authority(content))) == {1: "equipment", 2: "service", 3: "uncertain", 4: "noninventory"}
+
+
+def events(spark):
+    t = lambda s: datetime.datetime(2024, 1, 1) + datetime.timedelta(seconds=s)
+    e = [(1, t(0), 7, "purchase"), (2, t(8), 7, "line"), (3, t(8.001), 7, "line"), (4, t(1), 8, "line"), (5, t(-8), 7, "line"), (6, t(4), 7, "purchase")]
+    return spark.createDataFrame(e, "event_id long, ts timestamp, user_id long, event_type string")
+
+
+def test_audit_windows(spark):
+    got = {r.event_id: r.n_hidden for r in audit.consolidate(events(spark), "purchase", "line", 8).collect()}
+    assert got == {1: 1, 4: None, 6: 2}
+    assert rows(audit.sessions(events(spark), 4).select("user_id", "n_events")) == [(7, 1), (7, 4), (8, 1)]
+    j = spark.createDataFrame([(1, '{"a":"1","b":"2","updated_at":"x"}', '{"a":"1","b":"3","c":"4","updated_at":"y"}'), (2, None, '{"a":"5"}')], "id long, o string, n string")
+    assert rows(audit.change_summary(j, "id", "o", "n").na.fill("-")) == [(1, "b", "2", "3"), (1, "c", "-", "4"), (2, "a", "-", "5")]
+
+
+def test_gates(spark):
+    lines = spark.createDataFrame([(1, 1, "Lamp", 2.0, 5.0, 10.0), (2, 1, "Lamp", 0.0, 5.0, 0.0), (3, 1, " ", 1.0, None, 5.0), (4, 1, "Lamp", 1.0, 5.0, 5.07)], "doc_id long, line_no int, item_name string, quantity double, unit_price double, amount double")
+    serials = spark.createDataFrame([(1, 1, "s1"), (4, 1, "S1 ")], "doc_id long, line_no int, serial string")
+    bad = gates.save_violations(lines, serials)
+    assert rows(bad.select("doc_id", "violation")) == [(1, "duplicate-serial"), (2, "quantity"), (3, "economics-missing"), (3, "item-name"), (4, "duplicate-serial"), (4, "economics-mismatch")]
+    assert rows(gates.publishable(lines, gates.save_violations(lines)).select("doc_id")) == [(1,)]
+    batch = spark.createDataFrame([("Acme Ltd", "sku", "a", "b"), ("ACME", "sku", "a", "b"), ("Acme", "sku", "a", "a"), ("Acme", "note", "a", "b"), ("Bolt", "sku", "c", "d")], "supplier string, field_name string, source_value string, corrected_value string")
+    known = spark.createDataFrame([("bolt", "sku", "c", "d", "approved")], "supplier_key string, field_name string, source_value string, corrected_value string, status string")
+    assert rows(gates.new_corrections(batch, known, ("sku",))) == [("acme", "sku", "a", "b")]
+    old = spark.createDataFrame([("a", {"x": "1", "y": "2"}, 3, 10, 20)], "supplier_key string, labels map<string,string>, sample_count long, first_seen int, last_seen int")
+    seen = spark.createDataFrame([("a", {"y": "9"}, 30), ("b", {"z": "1"}, 5)], "supplier_key string, labels map<string,string>, seen_at int")
+    got = {r.supplier_key: (r.labels, r.sample_count, r.first_seen, r.last_seen) for r in gates.upsert_profiles(old, seen).collect()}
+    assert got == {"a": ({"x": "1", "y": "9"}, 4, 10, 30), "b": ({"z": "1"}, 1, 5, 5)}
+
+
+def test_greedy_matches_keep_counts(spark):
+    r = [(1, "primary", 1, "A", "red lamp", 1.0, 2.0, 2.0), (1, "primary", 2, "A", "red lamp", 1.0, 2.0, 2.0), (1, "secondary", 1, "A", "red lamp", 1.0, 2.0, 2.0), (1, "secondary", 2, "Z", "chair", 9.0, 9.0, 81.0)]
+    df = spark.createDataFrame(r, "doc_id long, side string, no int, sku string, name string, quantity double, unit_price double, amount double")
+    got = rows(matching.greedy_matches(df).select("status"))
+    assert got == [("matched",), ("missing",), ("unexpected",)]
+
+
+def test_bands_cells_and_triples(spark):
+    words = [(1, "b", 50.0, 10.4, 10.0, 5.0), (1, "a", 10.0, 10.0, 10.0, 5.0), (1, "c", 10.0, 30.0, 10.0, 5.0)]
+    w = spark.createDataFrame(words, "page long, text string, x double, y double, height double, width double")
+    assert [r.text for r in matching.row_bands(w).orderBy("band").collect()] == ["a b", "c"]
+    cols = spark.createDataFrame([(1, "name", 0.0, 30.0), (1, "qty", 30.0, 90.0)], "page long, name string, lo double, hi double")
+    assert rows(matching.assign_cells(w, cols).select("text", "name")) == [("a", "name"), ("b", "qty"), ("c", "name")]
+    t = spark.createDataFrame([(1, 1, float(i), v) for i, v in enumerate((7.0, 2.0, 5.0, 10.0))] + [(1, 2, 1.0, 3.0)], "page long, row int, x double, value double")
+    assert rows(matching.numeric_triples(t).select("quantity", "unit_price", "amount")) == [(2.0, 5.0, 10.0)]
+
+
+def test_readers(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    (tmp_path / "s.json").write_text('{"items": [{"id": 1}, {"id": 2}], "docs": []}')
+    store = readers.read_json_store(spark, str(tmp_path / "s.json"), {n: T.StructType.fromDDL("id long") for n in ("items", "docs")})
+    assert store["items"].count() == 2 and store["docs"].count() == 0
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "f.bin").write_bytes(b"abc")
+    blob = readers.read_blobs(spark, str(tmp_path / "b")).first()
+    assert (blob["name"], blob["size"], blob["sha256"][:8]) == ("f.bin", 3, "ba7816bf")
+    (tmp_path / "w.tsv").write_text("level\tpage\tblock\tpar\tline\tword\tleft\ttop\twidth\theight\tconf\ttext\n5\t1\t1\t1\t1\t1\t3\t4\t5\t6\t90\tHi\n4\t1\t1\t1\t1\t1\t3\t4\t5\t6\t90\tno\n")
+    assert rows(readers.read_word_tsv(spark, str(tmp_path / "w.tsv")).select("text", "x")) == [("Hi", 3.0)]
+    hocr = spark.createDataFrame([(1, "<span class='ocrx_word' id='w' title='bbox 1 2 11 22; x_wconf 91'>Yo</span>")], "page int, markup string")
+    assert rows(readers.words_of_hocr(hocr)) == [(1, "Yo", 1.0, 2.0, 10.0, 20.0, 91.0)]
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:p><w:t>Hello</w:t></w:p><w:p><w:t>You</w:t></w:p></w:document>')
+    (tmp_path / "bad.docx").write_bytes(b"nope")
+    assert sorted((r.text or "", r.error or "") for r in readers.read_docx(spark, str(tmp_path)).collect()) == [("", "BadZipFile"), ("Hello\nYou", "")]
+    kinds = spark.createDataFrame([("a.PDF", None), ("b", "image/png"), ("c.docx", ""), ("d.xyz", None)], "n string, m string").select(readers.file_kind("n", "m").alias("k"))
+    assert [r.k for r in kinds.collect()] == ["pdf", "image", "docx", "unsupported"]
