@@ -197,3 +197,84 @@ def test_readers(spark, tmp_path):
     assert sorted((r.text or "", r.error or "") for r in readers.read_docx(spark, str(tmp_path)).collect()) == [("", "BadZipFile"), ("Hello\nYou", "")]
     kinds = spark.createDataFrame([("a.PDF", None), ("b", "image/png"), ("c.docx", ""), ("d.xyz", None)], "n string, m string").select(readers.file_kind("n", "m").alias("k"))
     assert [r.k for r in kinds.collect()] == ["pdf", "image", "docx", "unsupported"]
+
+
+def test_lines_and_sessions(spark):
+    from stockloom.operators import parsers
+
+    page = "Invoice\nDescription Qty Unit Price Amount\nAB-12 Wall lamp 2 10.00 20.00\nwith long arm\nS/N: X1, X2\n14\n1| Chair 5.00 5.00\nSub Total 25.00\nCD-9 Ghost 1 9.00 9.00\fDescription Qty Price\nEF-3 Desk I 7.50 7.50"
+    df = spark.createDataFrame([(1, page), (2, None), (3, "nothing here")], "doc_id long, text string")
+    got = {(r.page, r.row_no): r for r in parsers.parse_pages(df).collect()}
+    assert set(got) == {(1, 1), (1, 2), (2, 1)}
+    a = got[1, 1]
+    assert (a.sku, a.item_name, a.quantity, a.unit_price, a.amount, a.description, a.serials) == ("AB-12", "Wall lamp", 2.0, 10.0, 20.0, "Wall lamp with long arm", ["X1", "X2"])
+    assert (got[1, 2].sku, got[1, 2].item_name, got[1, 2].quantity) == (None, "Chair", 1.0) and got[2, 1].quantity == 1.0
+    blocks = parsers.blocks_by_ordinal(spark.createDataFrame([(1, 1, i, t) for i, t in enumerate(["head", "1. a", "more", "7 not next", "2. b"])], "doc_id long, page int, line_no int, line string"))
+    assert rows(blocks) == [(1, 1, "1. a more 7 not next"), (1, 2, "2. b")]
+    parts = [spark.createDataFrame([(1, i, v) for i, v in enumerate(vs)], f"doc_id long, ordinal int, {n} string") for n, vs in (("code", "ab"), ("name", "cd"), ("price", "ef"))]
+    assert rows(parsers.zip_columns(*parts)) == [(1, 1, "a", "c", "e"), (1, 2, "b", "d", "f")]
+    assert parsers.zip_columns(parts[0], parts[1], parts[2].limit(1)).count() == 0
+
+
+def test_row_guards(spark):
+    from stockloom.operators import parsers
+
+    spec = spark.createDataFrame([("Lamp 5500 lumens", 5500.0), ("Lamp 5500 lumens", 2.0), ("Tube 1.5 m 15 w", 15.0), (None, 1.0)], "n string, q double")
+    assert [r.s for r in spec.select(parsers.quantity_is_specification("n", "q").alias("s")).collect()] == [True, False, True, False]
+    r = spark.createDataFrame([(1, 1, "equipment", ["a"], 1.0, "MX1"), (1, 2, "warranty", ["b", "MX1"], 1.0, ""), (2, 1, "warranty", ["c"], 1.0, "")], "doc_id long, row_no int, class string, serials array<string>, quantity double, item_name string")
+    moved = {(x.doc_id, x.row_no): x.serials for x in parsers.move_warranty_serials(r).collect()}
+    assert moved == {(1, 1): ["a", "b", "MX1"], (1, 2): [], (2, 1): ["c"]}
+    cleaned = {(x.doc_id, x.row_no): x.serials for x in parsers.serials_that_are_models(r).collect()}
+    assert cleaned[1, 2] == ["b"]
+    lines = spark.createDataFrame([(1, "x 2.00 3.00 12.00"), (2, "x 5.00"), (3, "y 7.00 7.00")], "doc_id long, line string")
+    assert {x.doc_id: (x.quantity, x.amount) for x in parsers.direct_candidates(lines, ["doc_id"]).collect()} == {1: (4.0, 12.0), 2: (None, None), 3: (1.0, 7.0)}
+
+
+def test_cells_vote_by_group(spark):
+    from stockloom.operators import evidence
+
+    def cell(doc, field, text, group, dpi=300, scope="cell"):
+        return doc, field, text, group, dpi, scope
+
+    r = [cell(1, "quantity", "2", "a"), cell(1, "unit_price", "5.00", "a"), cell(1, "amount", "10.00", "a"), cell(1, "amount", "11.00", "b")]
+    r += [cell(2, "quantity", "2", "a"), cell(2, "quantity", "3", "b"), cell(2, "unit_price", "5.00", "a"), cell(2, "amount", "10.00", "a"), cell(2, "amount", "15.00", "b")]
+    r += [cell(3, "quantity", "2", "a", 200), cell(3, "unit_price", "5.00", "a"), cell(3, "amount", "10.00", "a")]
+    r += [*r[4:9], cell(4, "quantity", "2", "a")]
+    df = spark.createDataFrame(r, "doc_id long, field string, text string, evidence_group string, render_dpi int, scope string")
+    assert {x.doc_id: (x.quantity, x.status) for x in evidence.resolve_cells(df, ["doc_id"]).collect()} == {1: (2.0, "resolved"), 2: (None, "ambiguous"), 3: (None, "unsupported"), 4: (None, "unsupported")}
+
+
+def test_web_and_documents(spark):
+    from stockloom.operators import evidence
+
+    res = [(1, "Sure SM58 mic", "", "https://www.sure.com/sm58"), (2, "Sure SM58", "", "https://shop-a.test/x"), (2, "sure sm-58", "", "https://shop-b.test/x"), (3, "Sure SM58", "", "https://www.ebay.com/x"), (3, "SM57", "", "https://a.test")]
+    cand = [(i, "Sure", "SM58", ["mic"]) for i in (1, 2, 3)]
+    scored = evidence.web_scores(spark.createDataFrame(res, "candidate_id long, title string, snippet string, url string"), spark.createDataFrame(cand, "candidate_id long, brand string, model string, words array<string>"))
+    assert {x.candidate_id: (x.status, x.domains) for x in evidence.web_verdicts(scored).collect()} == {1: ("confirmed", 1), 2: ("confirmed", 2), 3: ("unconfirmed", 0)}
+    d = spark.createDataFrame([(10.0, None, 10.7), (10.0, None, 9.0), (None, 0.7, 10.7), (10.0, 0.7, 11.0)], "s double, t double, g double")
+    got = [x.m for x in d.select(evidence.document_money(F.col("s"), F.col("t"), F.col("g")).alias("m")).collect()]
+    assert [(m.tax, m.adds_up) for m in got] == [(0.7, True), (None, False), (0.7, True), (0.7, False)] and got[2].subtotal == 10.0
+    v = spark.createDataFrame([(1, "name", "red wall lamp"), (1, "x", "blue chair")], "doc_id long, field string, value string")
+    ln = spark.createDataFrame([(1, 1, 1, "a Red wall-lamp"), (1, 1, 2, "blue")], "doc_id long, page int, line_no int, line string")
+    assert {x.field: (round(x.coverage, 2), x.supported) for x in evidence.coverage(v, ln).collect()} == {"name": (1.0, True), "x": (0.5, False)}
+    m = evidence.recall_metrics(v.select("field"), v.select("field").limit(1), ["field"]).first()
+    assert (m.expected, m.found, m.both, m.recall) == (2, 1, 1, 0.5)
+    t = spark.createDataFrame([(1, "Wall-Lamp", "a"), (1, "WALL LAMP", "b"), (1, "Chair", "c")], "doc_id long, name string, src string")
+    assert evidence.shortest_popular(t, ["doc_id"], "name", "src").first().votes == 2
+
+
+def test_saving_and_deleting(spark):
+    from stockloom.sources import sinks
+
+    masters = spark.createDataFrame([(1, "AB-1", "Lamp"), (2, "", "Desk")], "id long, sku string, item_name string")
+    lines = spark.createDataFrame([(1, 1, "ab1", "x", 1, ["s1"]), (1, 2, "", "desk", 1, [" "]), (1, 3, "N9", "New", 1, []), (2, 1, "n-9", "New!", 1, [])], "doc_id long, line_no int, sku string, item_name string, quantity int, serials array<string>")
+    lines = lines.withColumns({"unit_price": F.lit(1.0), "amount": F.lit(1.0)})
+    plan = sinks.save_plan(masters, lines, lines)
+    assert [r.item for r in plan["lines"].orderBy("doc_id", "line_no").collect()] == ["1", "2", "new:sku:N9", "new:sku:N9"]
+    assert rows(plan["new_items"]) == [("sku:N9", "N9", "New")] and rows(plan["serials"]) == [(1, 1, "s1")]
+    inc = spark.createDataFrame([("Acme ", "IN1"), ("Bolt", "IN2")], "supplier_name string, invoice_number string")
+    assert sinks.duplicate_invoices(inc, spark.createDataFrame([("ACME", "in1")], inc.schema)).count() == 1
+    names = spark.createDataFrame([(1, "a.pdf"), (2, "A.pdf"), (3, "b")], "id int, name string")
+    assert [r.unique_name for r in sinks.unique_names(names, "name", "id").orderBy("id").collect()] == ["a.pdf", "A-2.pdf", "b"]
+    doc = sinks.invoice_documents(lines.withColumnRenamed("doc_id", "purchase_id"), spark.createDataFrame([(1, "Acme", None)], "id long, supplier_name string, invoice_number string")).first()
+    assert doc.missing == ["invoice_number"] and len(doc.lines) == 3
