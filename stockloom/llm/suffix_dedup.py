@@ -30,7 +30,7 @@ Q = 24
 _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(1729).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: Bytes that are hashed at a time; a longer document is its own chunk.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 
 def _powers(n: int, _kept: dict = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006
@@ -323,7 +323,7 @@ def duplicate_spans(docs: DataFrame, n_bytes: int = 100, q: int = Q, hot: int =
     joined = docs.join(by_doc, ["doc", "tie"], "left")
     contexts = joined.select("doc", "tie", "text", "marks").mapInArrow(_contexts(n_bytes, shares), "h long, share int, doc long, tie long, lo int, more int, bytes binary")
     contexts = contexts.repartition("h", "share").sortWithinPartitions("h", "share")
-    refined = contexts.mapInArrow(_refined(n_bytes, 1 << 22), "doc long, tie long, s int, e int")
+    refined = contexts.mapInArrow(_refined(n_bytes, 1 << 20), "doc long, tie long, s int, e int")
     refined = refined.groupBy("doc", "tie").agg(F.collect_list(F.struct("s", "e")).alias("refined"))
     return joined.join(refined, ["doc", "tie"], "left")
 
