@@ -10,15 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
-from .linear import logistic_fit, sigmoid
 from .toxicity import labelled
 
 LEVEL = 3
 #: Bytes that are compressed at a time. All blocks of a text count; one alone would learn from the text itself and
 #: let the dictionaries matter less the longer the text is.
 BLOCK = 1024
-#: Bounds of the buckets in which the calibration counts; the outer ones are open.
-BINS = 24
 
 
 @dataclass
@@ -88,18 +85,21 @@ def train(texts: list, y: np.ndarray, size: int = 112_640) -> Model:
 
 
 def _calibrate(d: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Balanced share of good texts in quantile buckets of the difference, drawn towards a logistic curve where
-    a bucket holds few texts."""
-    cuts = np.unique(np.quantile(d, np.linspace(0, 1, BINS + 1)[1:-1]))
-    at = np.searchsorted(cuts, d, side="right")
-    scale = max(1e-9, float(d.std()))
-    w = logistic_fit((d / scale)[:, None], y)
-    mid = np.array([d[at == i].mean() if (at == i).any() else np.nan for i in range(len(cuts) + 1)])
-    mid = np.where(np.isnan(mid), np.append(cuts, cuts[-1:])[: len(mid)], mid)
-    prior = sigmoid(mid / scale * w[0] + w[1])
-    good, bad = (np.bincount(at[y == k], minlength=len(mid)) / max(1, (y == k).sum()) for k in (1, 0))
-    weight = 8.0 / len(d)
-    return cuts, (good + weight * prior) / (good + bad + weight)
+    """The rising step function closest to the labels, both classes weighing alike: neighbouring steps that fall
+    are pooled until none does. Each step is drawn a little towards one half, so that none is certain."""
+    order = d.argsort(kind="stable")
+    d, y = d[order], y[order]
+    w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    pools: list[list[float]] = []  # first difference, weight, weight of good texts
+    for x, k, v in zip(d.tolist(), y.tolist(), w.tolist(), strict=True):
+        pools.append([x, v, v * k])
+        while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]):
+            _, v1, g1 = pools.pop()
+            pools[-1][1] += v1
+            pools[-1][2] += g1
+    last = [d[np.searchsorted(d, p[0], side="left") - 1] for p in pools[1:]]
+    cuts = np.array([(a + p[0]) / 2 for a, p in zip(last, pools[1:], strict=True)])
+    return cuts, np.array([(g + 1.0) / (v + 2.0) for _, v, g in pools])
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
