@@ -31,7 +31,6 @@ SIDE_WORDS = re.compile(
 MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content|main|body)(?![a-z])")
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _HINT = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
-_SPACE = re.compile(r"\s+")
 
 
 @dataclass
@@ -40,7 +39,6 @@ class Block:
     links: int = 0  # words inside links
     side: bool = False
     main: bool = False
-    heading: bool = False
     words: int = field(init=False)
 
     def __post_init__(self):
@@ -62,16 +60,15 @@ def blocks(page: str | None) -> list[Block]:
     in_link = 0
 
     def close():
-        text = _SPACE.sub(" ", "".join(parts)).strip()
+        text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            name, side, main = stack[-1] if stack else ("", False, False)
-            heading = any(re.fullmatch("h[1-6]", s[0]) for s in stack[-3:])
-            out.append(Block(text, len("".join(linked).split()), side, main, heading))
+            _, side, main = stack[-1] if stack else ("", False, False)
+            out.append(Block(text, len("".join(linked).split()) if linked else 0, side, main))
         parts.clear()
         linked.clear()
 
     def say(raw: str):
-        text = _html.unescape(raw)
+        text = _html.unescape(raw) if "&" in raw else raw
         parts.append(text)
         if in_link:
             linked.append(text)
@@ -111,11 +108,10 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        hints = " ".join(h.strip("\"'") for h in _HINT.findall(m[3])).lower()
+        hints = " ".join(h.strip("\"'") for h in _HINT.findall(m[3])).lower() if m[3] else ""
         _, side, main = stack[-1] if stack else ("", False, False)
-        here_main = name in MAIN or bool(MAIN_WORDS.search(hints))
-        page_wide = name in ("html", "body")
-        here_side = not page_wide and (name in SIDE or bool(SIDE_WORDS.search(hints)) and name not in MAIN)
+        here_main = name in MAIN or bool(hints and MAIN_WORDS.search(hints))
+        here_side = name in SIDE or bool(hints and SIDE_WORDS.search(hints)) and name not in MAIN and name not in ("html", "body")
         stack.append((name, side or here_side, (main or here_main) and not here_side))
     close()
     return out
@@ -125,17 +121,14 @@ def blocks(page: str | None) -> list[Block]:
 FEATURES = ("words", "density", "prev_words", "prev_density", "next_words", "next_density", "side", "main", "any_main", "prev_side", "next_side")
 
 
-def features(found: list[Block]) -> np.ndarray:
-    any_main = float(any(b.main and not b.side for b in found))
-    rows = np.zeros((len(found), len(FEATURES)))
-    for i, b in enumerate(found):
-        p = found[i - 1] if i else None
-        q = found[i + 1] if i + 1 < len(found) else None
-        rows[i] = (
-            b.words, b.density, p.words if p else 0, p.density if p else 0.0, q.words if q else 0, q.density if q else 0.0,
-            b.side, b.main, any_main, p.side if p else 1.0, q.side if q else 1.0,
-        )
-    return rows
+def features(found: list[Block]) -> list[tuple]:
+    """One tuple per block. Before the first and after the last block stands an empty one that belongs to no article."""
+    any_main = any(b.main and not b.side for b in found)
+    own = [(0, 0.0, True), *((b.words, b.density, b.side) for b in found), (0, 0.0, True)]
+    return [
+        (b.words, here[1], p[0], p[1], q[0], q[1], b.side, b.main, any_main, p[2], q[2])
+        for b, p, here, q in zip(found, own, own[1:], own[2:], strict=False)
+    ]
 
 
 #: Labelled blocks: the features as above, then 1 for text of the article. Written by hand from typical pages.
@@ -182,7 +175,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
         impurity[v[1:] == v[:-1]] = np.inf
         if len(impurity) and np.isfinite(impurity.min()) and (best is None or impurity.min() < best[0] - 1e-12):
             i = int(impurity.argmin())
-            best = (impurity[i], f, (v[i] + v[i + 1]) / 2)
+            best = (impurity[i], f, float(v[i] + v[i + 1]) / 2)
     if best is None:
         return float(y.mean())
     _, f, cut = best
