@@ -35,6 +35,8 @@ class Codec:
         for s, v in self.rank.items():
             self.automaton.add_word(s, (len(s), v))
         self.automaton.make_automaton()
+        self.size = {v: len(k) for k, v in ranks.items()}
+        self.prefix: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         self.fits: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
@@ -86,33 +88,45 @@ class Codec:
             else:
                 before, right = (right, 1), r_parts[0]
 
+    def _shorter(self, token: int) -> int:
+        """The longest token that this one begins with, other than itself; -1 if it is a single byte."""
+        found = self.prefix.get(token)
+        if found is None:
+            s = self.text[token]
+            found = self.prefix[token] = next((self.rank[s[:i]] for i in range(len(s) - 1, 0, -1) if s[:i] in self.rank), -1)
+        return found
+
     def _search(self, s: str) -> list[int]:
-        starts: list[list[tuple[int, int]]] = [[] for _ in s]
+        n = len(s)
+        longest = [-1] * n
         for end, (length, token) in self.automaton.iter(s):
-            starts[end - length + 1].append((length, token))  # ends ascend, so lengths do
-        n, at = len(s), 0
+            longest[end - length + 1] = token  # ends ascend, so the last one at a start is the longest
+        sizes, fits = self.size, self.fits
+        at, token, last = 0, longest[0], -1
         dead = bytearray(n + 1)
-        path: list[tuple[int, int, int]] = []  # token, start, choice
-        choice = len(starts[0]) - 1
+        path: list[int] = []
         while at < n:
-            last = path[-1][0] if path else None
-            options = starts[at]
-            while choice >= 0:
-                length, token = options[choice]
-                if not dead[at + length] and (last is None or self.follows(last, token)):
-                    break
-                choice -= 1
-            if choice >= 0:
-                path.append((token, at, choice))
-                at += length
-                choice = len(starts[at]) - 1 if at < n else -1
+            while token >= 0:
+                if not dead[at + sizes[token]]:
+                    if last < 0:
+                        break
+                    good = fits.get((last, token))
+                    if self.follows(last, token) if good is None else good:
+                        break
+                token = self._shorter(token)
+            if token >= 0:
+                path.append(token)
+                last = token
+                at += sizes[token]
+                token = longest[at] if at < n else -1
             else:
                 dead[at] = 1
                 if not path:
                     return self._merge(s, 1 << 62)
-                _, at, choice = path.pop()
-                choice -= 1
-        return [t for t, _, _ in path]
+                token = path.pop()
+                at -= sizes[token]
+                last = path[-1] if path else -1
+        return path
 
     def piece(self, s: str) -> tuple[tuple[int, ...], str]:
         """Ids of one match of the pattern, and their decimal text. Memoised: words repeat."""
