@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import SMALL_SIDE, broadcast_if_under
+
 
 def labelled_sample(rows: DataFrame, group: str, per_group: int, key: str = "doc_id") -> DataFrame:
     """About `per_group` rows of each value of `group` (all, if there are fewer), picked by a hash of the key.
@@ -18,7 +20,8 @@ def labelled_sample(rows: DataFrame, group: str, per_group: int, key: str = "doc
     """
     part = F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(17)), 11) / F.lit(float(1 << 53))
     counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    return rows.join(F.broadcast(counts), group).where(part < F.lit(float(per_group)) / F.col("_n")).drop("_n")
+    counts = broadcast_if_under(counts, SMALL_SIDE)  # one row a group
+    return rows.join(counts, group).where(part < F.lit(float(per_group)) / F.col("_n")).drop("_n")
 
 
 def collected(sample: DataFrame) -> pd.DataFrame:
