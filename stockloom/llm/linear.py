@@ -26,7 +26,7 @@ def labelled_sample(rows: DataFrame, group: str, per_group: int, key: str = "doc
 
 def collected(sample: DataFrame) -> pd.DataFrame:
     """A bounded sample on the driver, in an order that does not depend on partitions."""
-    frame = pd.DataFrame([r.asDict() for r in sample.toLocalIterator()], columns=sample.columns)
+    frame = pd.DataFrame([r.asDict() for r in sample.collect()], columns=sample.columns)
     return frame.sort_values(["doc_id", "text"], kind="stable", ignore_index=True) if len(frame) else frame
 
 
