@@ -47,32 +47,6 @@ def greedy_matches(rows: DataFrame, least: float = 6.0) -> DataFrame:
     return rows.select(F.col("doc_id").cast("long"), "side", F.col("no").cast("int").alias("no"), "sku", "name", *[F.col(c).cast("double").alias(c) for c in ("quantity", "unit_price", "amount")]).groupBy("doc_id").applyInPandas(match, SCHEMA)
 
 
-BANDS = "page long, band int, y double, text string, n_words int"
-
-
-def row_bands(words: DataFrame, floor: float = 4.0, rate: float = 0.7) -> DataFrame:
-    """Words of a page gathered into text rows: from top to bottom each word joins the nearest row whose running mean
-    height is within the tolerance, or opens one. words: page, text, x, y, height. One page is one group."""
-
-    def gather(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["y", "x", "text"])
-        heights = sorted(frame["height"])
-        tolerance = max(floor, rate * heights[len(heights) // 2])
-        bands: list[list] = []  # mean, words
-        for w in frame.itertuples(index=False):
-            near = min(bands, key=lambda b: abs(b[0] - w.y), default=None)
-            if near is None or abs(near[0] - w.y) > tolerance:
-                bands.append([w.y, [w]])
-            else:
-                near[1].append(w)
-                near[0] += (w.y - near[0]) / len(near[1])
-        bands.sort(key=lambda b: b[0])
-        rows = [(frame["page"].iloc[0], i, b[0], " ".join(w.text for w in sorted(b[1], key=lambda w: w.x)), len(b[1])) for i, b in enumerate(bands)]
-        return pd.DataFrame(rows, columns=["page", "band", "y", "text", "n_words"])
-
-    return words.select(F.col("page").cast("long"), "text", *[F.col(c).cast("double").alias(c) for c in ("x", "y", "height")]).groupBy("page").applyInPandas(gather, BANDS)
-
-
 def assign_cells(words: DataFrame, columns: DataFrame) -> DataFrame:
     """Words with the column whose interval holds their centre: a range join within a page. columns: page, name, lo, hi."""
     w = words.withColumn("centre", F.col("x") + F.col("width") / 2)
