@@ -2,8 +2,6 @@
 
 import random
 
-import duckdb  # noqa: F401
-
 import corpus_pipeline
 from stockloom.llm import queries
 
