@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +53,22 @@ def base_counts(text: str | None, window: int = 5) -> tuple[int, int, int, int,
 
 
 def add_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, stratum and the base counts. Texts stay behind, unless columns are to be carried along, in
+    """doc_id, stratum and the base counts. Texts stay behind, unless columns are to be carried along, the text among them, in
     a struct `row`. A null stratum is one of its own."""
 
     def run(batches):
         for b in batches:
-            rows = [base_counts(t.as_py()) for t in b.column(2)]
+            texts = pa.compute.struct_field(b.column(2), text_col) if carry else b.column(2)
+            rows = [base_counts(t.as_py()) for t in texts]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
             names = ["doc_id", "stratum", *(x.split()[0] for x in BASE.split(", ")), "row"]
-            arrays = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols), *b.columns[3:]]
+            arrays = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols), *([b.column(2)] if carry else [])]
             yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
 
     stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit(""))
-    row = [F.struct(*carry).alias("row")] if carry else []
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), stratum.alias("stratum"), F.col(text_col).cast("string").alias("text"), *row)
-    schema = f"doc_id long, stratum string, {BASE}" + "".join(f", row {picked.schema['row'].dataType.simpleString()}" for _ in row)
+    body = F.struct(*carry).alias("row") if carry else F.col(text_col).cast("string").alias("text")  # either way a text travels once
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), stratum.alias("stratum"), body)
+    schema = f"doc_id long, stratum string, {BASE}" + (f", row {picked.schema['row'].dataType.simpleString()}" if carry else "")
     return picked.mapInArrow(run, schema)
 
 
