@@ -5,13 +5,17 @@ from __future__ import annotations
 import base64
 import hashlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Characters of a text that are taken apart at a time.
+LONG = 1 << 20
+
+
 class Codec:
     """A vocabulary of ranks; encodes and decodes bytes.
 
@@ -30,7 +34,7 @@ class Codec:
         self.rank = {k.decode("latin-1"): v for k, v in ranks.items()}
         self.bytes = {v: k for k, v in ranks.items()}
         self.text = {v: k for k, v in self.rank.items()}
-        self.find = regex.compile(pattern).findall
+        self.find, self.matches = regex.compile(pattern).findall, regex.compile(pattern).finditer
         self.automaton = ahocorasick.Automaton()
         for s, v in self.rank.items():
             self.automaton.add_word(s, (len(s), v))
@@ -148,12 +152,27 @@ class Codec:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
+    def _blocks(self, text: str):
+        """The matches of the pattern, in lists of bounded length."""
+        if len(text) <= LONG:
+            yield self.find(text)
+            return
+        matches = (m.group() for m in self.matches(text))
+        while block := list(islice(matches, LONG // 8)):
+            yield block
+
     def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of ids, SHA-256 of the ids, SHA-256 of the bytes that the ids decode to."""
-        pieces = [self.memo.get(s) or self.piece(s) for s in self.find(text or "")]
-        ids = list(chain.from_iterable([p[0] for p in pieces]))
-        listed = ",".join([p[1] for p in pieces])
-        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(self.decode(ids)).hexdigest()
+        """Number of ids, SHA-256 of the ids, SHA-256 of the bytes that the ids decode to. A long text is never held as one list."""
+        n, listed, decoded = 0, hashlib.sha256(), hashlib.sha256()
+        for block in self._blocks(text or ""):
+            pieces = [self.memo.get(s) or self.piece(s) for s in block]
+            ids = list(chain.from_iterable([p[0] for p in pieces]))
+            if n and ids:
+                listed.update(b",")
+            n += len(ids)
+            listed.update(",".join([p[1] for p in pieces]).encode())
+            decoded.update(self.decode(ids))
+        return n, listed.hexdigest(), decoded.hexdigest()
 
 
 @lru_cache(maxsize=4)

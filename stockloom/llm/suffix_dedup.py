@@ -29,7 +29,8 @@ from .common import SMALL_SIDE, broadcast_if_under, group_bounds, materialize, w
 Q = 24
 _ODD = 0x9E3779B97F4A7C15
 _BYTE = np.random.default_rng(1729).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Bytes that are hashed at a time; a longer document is its own chunk.
+#: Bytes that are hashed at a time. A longer document is hashed in parts that overlap by a string: each string starts
+#: in one part. A run that such a border cuts is two runs with one anchor, and so goes through the refinement.
 CHUNK = 1 << 20
 
 
@@ -100,7 +101,7 @@ def not_first(bucket: list[np.ndarray], place: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _anchors(n_bytes: int, q: int):
+def _anchors(n_bytes: int, q: int, chunk: int):
     def run(batches):
         for b in batches:
             ids, ties = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -109,16 +110,20 @@ def _anchors(n_bytes: int, q: int):
             found, at = [], 0
             while at < len(texts):
                 to, total = at, 0
-                while to < len(texts) and (to == at or total + sizes[to] <= CHUNK):
+                while to < len(texts) and (to == at or total + sizes[to] <= chunk):
                     total += int(sizes[to])
                     to += 1
+                joined = b"".join(texts[at:to])
                 ends = np.cumsum(sizes[at:to])
-                got = runs_of(np.frombuffer(b"".join(texts[at:to]), np.uint8), ends, n_bytes, q)
-                if got is not None and len(got[0]):
-                    h, ctx, lo, hi, place = got
-                    doc = np.searchsorted(ends, lo, side="right")
-                    start = np.append(0, ends[:-1])[doc]
-                    found.append((h, ctx, ids[at + doc], ties[at + doc], lo - start, hi - start, place - lo))
+                starts = np.append(0, ends[:-1])
+                for part in range(0, len(joined), chunk) if to == at + 1 else (0,):
+                    piece = joined[part : part + chunk + n_bytes - 1] if to == at + 1 else joined
+                    got = runs_of(np.frombuffer(piece, np.uint8), ends if to > at + 1 else np.array([len(piece)]), n_bytes, q)
+                    if got is not None and len(got[0]):
+                        h, ctx, lo, hi, place = got
+                        doc = np.searchsorted(ends, lo, side="right") if to > at + 1 else np.zeros(len(lo), np.int64)
+                        start = starts[doc] - part
+                        found.append((h, ctx, ids[at + doc], ties[at + doc], lo - start, hi - start, place - lo))
                 at = to
             if not found:
                 continue
@@ -289,7 +294,7 @@ def _refined(n_bytes: int, most: int):
     return run
 
 
-def duplicate_spans(docs: DataFrame, n_bytes: int = 100, q: int = Q, hot: int = 2000, shares: int = 512, columns: tuple[str, ...] = ()) -> DataFrame:
+def duplicate_spans(docs: DataFrame, n_bytes: int = 100, q: int = Q, hot: int = 2000, shares: int = 512, chunk: int = CHUNK, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc, tie, text, marks (runs to remove, and others), refined (spans to remove), row (the named columns).
 
     One hash shuffle of the anchors and one of the texts, which both joins share. hot: an anchor that holds over one part in so
@@ -304,12 +309,12 @@ def duplicate_spans(docs: DataFrame, n_bytes: int = 100, q: int = Q, hot: int =
     docs = docs.select("doc", F.when(F.col("_twice"), F.xxhash64("text")).otherwise(F.lit(0)).alias("tie"), "text", *["row" for _ in row])
     schema = "h long, ctx long, again boolean, doc long, tie long, lo int, more short, off short"
     texts = docs.select("doc", "tie", "text")
-    sample = texts.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(64)) == 0).mapInArrow(_anchors(n_bytes, q), schema)
+    sample = texts.where(F.pmod(F.xxhash64("doc", F.lit(5)), F.lit(64)) == 0).mapInArrow(_anchors(n_bytes, q, chunk), schema)
     seen = materialize(sample.groupBy("h").agg(F.count(F.lit(1)).alias("n")), "sampled-anchors")
     total = seen.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot_keys = F.broadcast(seen.where(F.col("n") > max(8, total / hot)).select("h", F.lit(True).alias("_hot")))
 
-    runs = texts.mapInArrow(_anchors(n_bytes, q), schema).drop("off").join(hot_keys, "h", "left")
+    runs = texts.mapInArrow(_anchors(n_bytes, q, chunk), schema).drop("off").join(hot_keys, "h", "left")
     runs = runs.withColumn("share", F.when(F.col("_hot"), F.pmod("ctx", F.lit(shares))).otherwise(F.lit(-1)).cast("int")).drop("_hot")
     runs = runs.repartition("h", "share")
     first = Window.partitionBy("h", "share", "ctx").orderBy("doc", "tie", "lo")

@@ -48,7 +48,7 @@ def passages(seed, n_docs=80):
     return [*rows, (900, None), (901, ""), (902, "a" * 3000), (903, "a" * 99), (904, "a" * 100)]
 
 
-@pytest.mark.parametrize(("n", "kw"), [(100, {}), (30, {"q": 12}), (100, {"hot": 10**9}), (50, {"hot": 10**9, "shares": 3})])
+@pytest.mark.parametrize(("n", "kw"), [(100, {}), (30, {"q": 12}), (100, {"hot": 10**9}), (50, {"hot": 10**9, "shares": 3}), (100, {"chunk": 130}), (30, {"q": 12, "chunk": 1})])
 def test_suffix_dedup_equals_brute_force(spark, n, kw):
     rows = passages(n)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, marks string, lo int").repartition(5)
@@ -118,6 +118,9 @@ def test_token_digests(spark, tokenizer):
         text = {1: "Über the  moon!", 3: "lang " * 3000}.get(r.doc_id, "")
         ids = lib.encode_ordinary(text)
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    long = "Ein langer Text,  mit 12 Zahlen. " * 40_000
+    ids = lib.encode_ordinary(long)
+    assert bpe.codec(path, pattern).digest(long) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(long.encode()).hexdigest())
     full = {(r.doc_id, tuple(r.ids), r.decoded) for r in bpe.encode_documents(df, path, pattern).collect()}
     assert (1, tuple(lib.encode_ordinary("Über the  moon!")), "Über the  moon!") in full
     assert bpe.token_digests(df.limit(0), path, pattern).count() == 0
