@@ -33,29 +33,30 @@ def in_table(lines: DataFrame, key: str = "doc_id") -> DataFrame:
     return lines.withColumns({"_mark": mark, "_open": F.last(mark, True).over(w)}).where("_open = 1 AND _mark IS NULL").drop("_mark", "_open")
 
 
-def economic_line(line: str | Column) -> Column:
-    """Struct of sku, item_name, quantity, unit_price and amount of a priced line; null if it is none.
-
-    The last two amounts are price and amount; the count before them, or amount over price where that is
-    whole, is the quantity. A first word with a digit is the sku."""
-    t = clean(line)
-    pattern = rf"^(.*?)\s*({MONEY})\s+({MONEY})\s*[|/.,;:]*$"
-    left = F.regexp_replace(F.regexp_extract(t, pattern, 1), r"^\d{1,3}\s*[|\[]\s*", "")
-    p, a = money(F.regexp_extract(t, pattern, 2)), money(F.regexp_extract(t, pattern, 3))
-    printed = F.regexp_extract(left, r"(?:^|\s)(\d{1,3}|[Iil|])$", 1)
-    count = F.when(printed.rlike(r"^[Iil|]$"), F.lit(1.0)).otherwise(printed.try_cast("double"))
-    q = F.coalesce(derived_quantity(p, a), count)
-    said = F.trim(F.regexp_replace(left, r"(?:^|\s)(?:\d{1,3}|[Iil|])$", ""))
-    sku = F.regexp_extract(said, r"^([A-Za-z0-9+._/'-]*\d[A-Za-z0-9+._/'-]*)\s+\S", 1)
-    name = F.when(sku != "", F.trim(F.substring(said, F.length(sku) + 1, F.length(said)))).otherwise(said)
-    row = F.struct(F.nullif(sku, F.lit("")).alias("sku"), name.alias("item_name"), q.alias("quantity"), p.alias("unit_price"), a.alias("amount"))
-    return F.when(t.rlike(pattern) & (q > 0) & (name != ""), row)
+PRICED = rf"^(.*?)\s*({MONEY})\s+({MONEY})\s*[|/.,;:]*$"
+
+
+def with_economic_row(lines: DataFrame, line: str = "line", name: str = "e") -> DataFrame:
+    """Adds a struct of sku, item_name, quantity, unit_price and amount for priced lines of clean text; null for others.
+
+    The last two amounts are price and amount; amount over price where that is whole, else the count before them, is the
+    quantity. A first word with a digit is the sku. Each step is a column of its own, so no pattern runs twice on a line."""
+    out = lines.withColumn("_parts", F.split(F.regexp_replace(line, PRICED, "$1\u0001$2\u0001$3"), "\u0001"))
+    part = lambda i: F.when(F.size("_parts") == 3, F.get("_parts", F.lit(i)))
+    out = out.withColumns({"_left": F.regexp_replace(part(0), r"^\d{1,3}\s*[|\[]\s*", ""), "_p": money(part(1)), "_a": money(part(2))})
+    out = out.withColumn("_count", F.nullif(F.regexp_extract("_left", r"(?:^|\s)(\d{1,3}|[Iil|])$", 1), F.lit("")))
+    out = out.withColumn("_said", F.trim(F.expr("if(_count IS NULL, _left, left(_left, length(_left) - length(_count)))")))
+    out = out.withColumn("_sku", F.regexp_extract("_said", r"^([A-Za-z0-9+._/'-]*\d[A-Za-z0-9+._/'-]*)\s+\S", 1))
+    count = F.when(F.col("_count").rlike(r"^[Iil|]$"), F.lit(1.0)).otherwise(F.col("_count").try_cast("double"))
+    out = out.withColumns({"_q": F.coalesce(derived_quantity(F.col("_p"), F.col("_a")), count), "_name": F.trim(F.expr("substring(_said, length(_sku) + 1)"))})
+    row = F.struct(F.nullif(F.col("_sku"), F.lit("")).alias("sku"), F.col("_name").alias("item_name"), F.col("_q").alias("quantity"), F.col("_p").alias("unit_price"), F.col("_a").alias("amount"))
+    return out.withColumn(name, F.when((F.col("_q") > 0) & (F.col("_name") != ""), row)).drop("_parts", "_left", "_p", "_a", "_count", "_said", "_sku", "_q", "_name")
 
 
 def parse_pages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Line items of the item tables of a text. A priced line opens a row; serial lines and lines of words up to the next
     one belong to it: rows are sessions over the line table, so no parser state passes between tasks."""
-    ln = in_table(lines_of(docs, key, text), key).withColumn("e", economic_line("line"))
+    ln = with_economic_row(in_table(lines_of(docs, key, text), key))
     w = Window.partitionBy(key, "page").orderBy("line_no")
     ln = ln.withColumn("row_no", F.count("e").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("row_no > 0")
     serial = F.nullif(F.regexp_extract(F.lower("line"), SERIAL_LABEL, 1), F.lit(""))
