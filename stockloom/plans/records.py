@@ -8,6 +8,7 @@ from ..functions.keys import health_issue_key, norm
 from ..functions.text import local_day
 from ..operators import audit, authority, evidence, gates, ledger
 from ..sources.views import table
+from ..streaming import feed
 from .queries import query
 
 
@@ -110,3 +111,12 @@ def issue_keys(spark, d):
     """Keys of findings, sorted without regard to case or accents."""
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", health_issue_key(F.lit("Name review"), F.lit("supplier"), F.col("s_name")).alias("issue_key"))
     return s.orderBy(F.collate("s_name", "UNICODE_CI_AI"), "s_suppkey").limit(50).select("s_suppkey", "issue_key")
+
+
+@query("""SELECT event_type, count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS actors FROM events GROUP BY 1""")
+def audit_feed_replay(spark, d):
+    """The feed replayed as a stream: events once each, then counted. Equal to the batch answer."""
+    schema = table(spark, d, "events").schema
+    feed_rows = feed.read_feed(spark, f"{d}/events.parquet*", schema).withColumn("ts", F.col("ts").cast("timestamp")).select("event_id", "ts", "user_id", "event_type")
+    seen = feed.drain(feed.distinct_events(feed_rows, late="3650 days"), "feed-replay")
+    return seen.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("user_id").alias("actors"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,3 +36,14 @@ def refresh(events: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
     """Calls write(batch, id) for every micro-batch; without `every` it drains what is there and stops. A restart resumes at the checkpoint."""
     q = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (q.trigger(processingTime=every) if every else q.trigger(availableNow=True)).start()
+
+
+def drain(events: DataFrame, name: str) -> DataFrame:
+    """Runs a stream over what has arrived and returns what it wrote, as a table in the folder of spark.checkpoint.dir, which all executors
+    share; only where that is unset (tests) in one of this machine."""
+    spark = events.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="feed-")
+    base = f"{root}/{name}-{uuid.uuid4().hex}"
+    out = events.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append")
+    out.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{base}/rows")
