@@ -11,7 +11,7 @@ from ..functions.economics import PROFILES, econ_ok, half_up_2
 from ..functions.keys import compact, norm, normalized_item_identity, ocr_skeleton, standard_item_name_key, supplier_key
 from ..functions.similarity import MEASURES, STOP_WORDS, similarity
 from ..functions.text import model_tokens, money, money_tokens, parse_day_first
-from ..operators import audit, authority, consensus, gates, health, ledger, matching, resolve, stock
+from ..operators import audit, authority, consensus, evidence, gates, health, ledger, matching, resolve, stock
 from ..sources.views import adjustments, items, purchase_lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -541,11 +541,17 @@ LINES_SQL = "l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS l
 @query(f"""WITH {LINES_SQL}, b AS (SELECT item_id, trim(unnest(string_split(text, chr(10)))) AS line FROM benchmark)
 SELECT DISTINCT b.item_id, l.doc_id FROM b JOIN l USING (line) WHERE length(line) >= 20""")
 def evidence_containment(spark, d):
-    """Documents that hold a line of a benchmark text: an equi-join on lines, not a search of all texts in all texts."""
+    """Documents that have a whole line of a benchmark text as a line, as its SQL says; `evidence_text_containment` finds texts anywhere."""
     line = lambda t, k: table(spark, d, t).select(k, F.explode(F.split("text", "\n")).alias("line")).select(k, F.trim("line").alias("line")).where(F.length("line") >= 20)
     return line("benchmark", "item_id").distinct().join(line("documents", "doc_id").distinct(), "line").select("item_id", "doc_id").distinct()
 
 
+@query("SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
+def evidence_text_containment(spark, d):
+    """Documents that hold the whole text of a benchmark item, wherever it stands in their lines."""
+    return evidence.contained_texts(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
 # --- audit and intelligence -------------------------------------------------------------------------------------
 
 NEAR_SQL = """near AS (SELECT a.event_id AS lead_id, b.event_id AS follow_id, a.user_id AS actor, a.ts AS lead_ts FROM events a JOIN events b ON a.user_id = b.user_id

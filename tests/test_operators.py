@@ -277,3 +277,17 @@ def test_saving_and_deleting(spark):
     assert [r.unique_name for r in sinks.unique_names(names, "name", "id").orderBy("id").collect()] == ["a.pdf", "A-2.pdf", "b"]
     doc = sinks.invoice_documents(lines.withColumnRenamed("doc_id", "purchase_id"), spark.createDataFrame([(1, "Acme", None)], "id long, supplier_name string, invoice_number string")).first()
     assert doc.missing == ["invoice_number"] and len(doc.lines) == 3
+
+
+def test_contained_texts_anywhere_in_a_line(spark):
+    from stockloom.operators import evidence
+
+    words = "red lamp on the old oak table near door".split()
+    docs = [(1, "we saw a red lamp on the old oak table near door nine"), (2, "red lamp on the"), (3, "a shared lamp on thermal pads, old\n"), (4, None), (None, "colour red lamp on the old oak table near doors"), (1, "x"), (5, "")]
+    needles = [(1, " ".join(words)), (2, "red lamp on the"), (3, "lamp"), (4, "red lamp on"), (5, "old\n"), (6, None), (7, "red  lamp on the"), (8, "lamp on")]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(needles, "item_id long, text string")
+    want = {(i, k) for i, n in needles for k, t in docs if n is not None and t is not None and n in t}
+    for few in (100_000, 0):
+        got = [tuple(r) for r in evidence.contained_texts(d, b, few).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert evidence.contained_texts(d, b.limit(0)).count() == 0
