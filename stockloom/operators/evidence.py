@@ -132,18 +132,18 @@ def contained_texts(docs: DataFrame, needles: DataFrame, few: int = 100_000) ->
     candidate; contains() decides. Needles of one or two words have no key and are sought in all texts, up to `few` by broadcast."""
     inner = F.expr("slice(w, 2, greatest(size(w) - 2, 0))")
     b = needles.where("text IS NOT NULL").select("item_id", F.col("text").alias("needle")).distinct().withColumn("w", F.split("needle", r"\s+"))
-    b = b.withColumn("n", F.least(F.size(inner), F.lit(5))).withColumn("key", F.xxhash64(F.array_join(F.slice(inner, 1, 5), " ")))
+    b = b.withColumn("n", F.least(F.size(inner), F.lit(5))).withColumn("key", F.xxhash64("n", F.array_join(F.slice(inner, 1, 5), " ")))
     sizes = {r["n"]: r["count"] for r in b.groupBy("n").count().collect()}  # six rows at most
     hint = F.broadcast if sum(sizes.values()) <= few else lambda x: x
     texts = docs.where("text IS NOT NULL").select("doc_id", "text")
     found = []
     lengths = sorted(n for n in sizes if n > 0)
     if lengths:
-        runs = lambda n: F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> struct({n} AS n, xxhash64(array_join(slice(w, i, {n}), ' ')) AS key))")
-        none = F.expr("array()").cast("array<struct<n:int,key:bigint>>")
+        runs = lambda n: F.expr(f"transform(sequence(1, size(w) - {n - 1}), i -> xxhash64({n}, array_join(slice(w, i, {n}), ' ')))")
+        none = F.expr("array()").cast("array<bigint>")
         each = F.array_distinct(F.concat(*[F.when(F.size("w") >= n, runs(n)).otherwise(none) for n in lengths]))
-        keys = texts.withColumn("w", F.split("text", r"\s+")).select("doc_id", F.explode(each).alias("k")).select("doc_id", "k.n", "k.key")
-        hits = keys.join(hint(b.where("n > 0").select("n", "key", "item_id", "needle")), ["n", "key"]).select(F.col("doc_id").alias("_d"), "item_id", "needle").distinct()
+        keys = texts.withColumn("w", F.split("text", r"\s+")).select("doc_id", F.explode(each).alias("key"))
+        hits = keys.join(hint(b.where("n > 0").select("key", "item_id", "needle")), "key").select(F.col("doc_id").alias("_d"), "item_id", "needle").distinct()
         found.append(texts.join(hits, F.col("doc_id").eqNullSafe(F.col("_d"))).where(F.contains("text", "needle")).select("item_id", "doc_id"))
     if 0 in sizes:
         found.append(texts.join(hint(b.where("n = 0").select("item_id", "needle")), F.contains("text", "needle")).select("item_id", "doc_id"))
