@@ -388,10 +388,20 @@ t AS (SELECT CASE WHEN n = 1 THEN 'single' WHEN alike THEN 'collapsed' ELSE 'con
 UNION ALL SELECT CASE WHEN alike THEN 'duplicate-collapsed' ELSE 'conflict-member' END, n - 1 FROM s WHERE n > 1)
 SELECT status, CAST(sum(k) AS BIGINT) AS n FROM t GROUP BY 1""")
 def unique_sku_consolidation(spark, d):
+    """One order in five, as its SQL says; `unique_sku_consolidation_all` takes all orders."""
     r = _readings(spark, d).where("doc_id % 50 < 10")
     return ledger.consolidate_sku(r, "part", "quantity", F.col("amount"), "doc_id", "ordinal").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""WITH s AS (SELECT l_partkey AS part, count(*) AS n, min(CAST(l_quantity AS DECIMAL(14,2))) = max(CAST(l_quantity AS DECIMAL(14,2))) AS alike FROM lineitem GROUP BY 1),
+t AS (SELECT CASE WHEN n = 1 THEN 'single' WHEN alike THEN 'collapsed' ELSE 'conflict' END AS status, 1 AS k FROM s
+UNION ALL SELECT CASE WHEN alike THEN 'duplicate-collapsed' ELSE 'conflict-member' END, n - 1 FROM s WHERE n > 1)
+SELECT status, CAST(sum(k) AS BIGINT) AS n FROM t GROUP BY 1""")
+def unique_sku_consolidation_all(spark, d):
+    r = _readings(spark, d)
+    return ledger.consolidate_sku(r, "part", "quantity", F.col("amount"), "doc_id", "ordinal").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("""WITH v AS (SELECT l_orderkey AS doc_id, CAST(l_quantity AS INT) % 5 AS v, count(DISTINCT l_returnflag) AS votes FROM lineitem GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY votes DESC, v DESC) AS n, lead(votes) OVER (PARTITION BY doc_id ORDER BY votes DESC, v DESC) AS second FROM v)
 SELECT doc_id, CASE WHEN coalesce(second = votes, FALSE) OR votes < 2 THEN NULL ELSE v END AS value, votes, CASE WHEN coalesce(second = votes, FALSE) THEN 'tie' WHEN votes < 2 THEN 'weak' ELSE 'resolved' END AS status FROM r WHERE n = 1""")

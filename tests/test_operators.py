@@ -1,6 +1,7 @@
 """Operators on small literal tables: the acceptance scenario, negative cases and invariants."""
 
 import datetime
+import os
 from decimal import Decimal
 
 import pytest
@@ -291,3 +292,13 @@ def test_contained_texts_anywhere_in_a_line(spark):
         got = [tuple(r) for r in evidence.contained_texts(d, b, few).collect()]
         assert len(got) == len(set(got)) and set(got) == want
     assert evidence.contained_texts(d, b.limit(0)).count() == 0
+
+
+def test_every_order_line_has_a_sku_status(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("no tables here")
+    got = entry.queries()["unique_sku_consolidation_all"](spark, sf).agg(F.sum("n")).first()[0]
+    assert got == spark.read.parquet(f"{sf}/lineitem.parquet").count()
