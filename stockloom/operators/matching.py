@@ -1,50 +1,57 @@
-"""One-to-one matches inside a document: sequential by nature, so one small group at a time in Arrow batches."""
+"""One-to-one matches inside a document: pairs are scored in joins, and only the choice among them is sequential."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, primary_no int, secondary_no int, score double, status string"
+
+def _points(a: str, b: str) -> Column:
+    """How well two rows agree: 3 for shared words, 6 for an equal sku, and economics that agree or differ."""
+    x, y = F.col(f"{a}.words"), F.col(f"{b}.words")
+    out = F.when((F.size(x) > 0) & (F.size(y) > 0), F.lit(3.0) * F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))).otherwise(F.lit(0.0))
+    out = out + F.when((F.col(f"{a}.sku") != "") & (F.col(f"{a}.sku") == F.col(f"{b}.sku")), 6.0).otherwise(0.0)
+    for c, weight in (("quantity", 1.0), ("unit_price", 2.0), ("amount", 2.0)):
+        u, v = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
+        out = out + F.when(u.isNull() | v.isNull(), 0.0).when(F.abs(u - v) <= 0.01, weight).otherwise(-weight)
+    return out
 
 
 def greedy_matches(rows: DataFrame, least: float = 6.0) -> DataFrame:
-    """In the order of the primary rows, each takes the best secondary row that is still free.
+    """In the order of the primary rows, each takes the best secondary row that is still free; of equal ones the first.
 
     rows: doc_id, side ('primary' or 'secondary'), no, sku, name, quantity, unit_price, amount. A score under `least` is no match; then the
-    primary row is `missing`, and secondary rows left over are `unexpected`. Documents are dealt over tasks; one document is one group."""
+    primary row is `missing`, and secondary rows left over are `unexpected`. Rows with equal numbers are ordered by their other columns.
 
-    def words(s) -> set:
-        return {w for w in str(s or "").lower().split() if len(w) > 2}
+    Pairs are made by equi-joins on the document and a sku, price or amount in common: without one of these a pair has 4 points at
+    most, so nothing over that is lost; a lower `least` joins on the document. Only the assignment over scored pairs is a fold per document."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    r = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "side", F.col("no").cast("int").alias("no"), F.col("sku").cast("string").alias("sku"), F.coalesce(F.col("name").cast("string"), F.lit("")).alias("name"), *map(number, ("quantity", "unit_price", "amount")))
+    w = Window.partitionBy("doc_id", "side").orderBy("no", "sku", "name", "quantity", "unit_price", "amount")
+    words = F.array_distinct(F.filter(F.split(F.lower("name"), r"(?U)\s+"), lambda t: F.length(t) > 2))
+    r = r.where("side IN ('primary', 'secondary')").withColumns({"i": F.row_number().over(w), "words": words})
 
-    def points(a, b) -> float:
-        x, y = words(a.name_), words(b.name_)
-        out = 3.0 * len(x & y) / max(len(x), len(y)) if x and y else 0.0
-        if a.sku and a.sku == b.sku:
-            out += 6.0
-        for c, weight in (("quantity", 1.0), ("unit_price", 2.0), ("amount", 2.0)):
-            u, v = getattr(a, c), getattr(b, c)
-            if pd.notna(u) and pd.notna(v):
-                out += weight if abs(u - v) <= 0.01 else -weight
-        return out
+    cell = lambda c: F.floor(F.col(c) * 50)  # noqa: E731  values 0.01 apart lie in cells that are equal or neighbours
+    tag = lambda kind, v: F.concat(F.lit(kind), v.cast("string"))
+    own = [F.when(F.col("sku") != "", tag("s", F.col("sku")))] + [tag(k, cell(c)) for k, c in (("p", "unit_price"), ("a", "amount"))]
+    near = own[:1] + [tag(k, cell(c) + j) for k, c in (("p", "unit_price"), ("a", "amount")) for j in (-1, 0, 1)]
+    fields = F.struct("no", "i", "sku", "words", "quantity", "unit_price", "amount")
+    side = lambda s, keys, name: r.where(F.col("side") == s).select("doc_id", fields.alias(name), F.explode(F.array_compact(F.array(*(keys if least > 4 else [F.lit("")])))).alias("key"))
+    pairs = side("primary", own, "a").join(side("secondary", near, "b"), ["doc_id", "key"])
+    pairs = pairs.select("doc_id", F.col("a.i").alias("p"), F.col("b.i").alias("s"), F.col("b.no").alias("no"), _points("a", "b").alias("score")).where(F.col("score") >= least).distinct()
 
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        doc = frame["doc_id"].iloc[0]
-        frame = frame.rename(columns={"name": "name_"}).sort_values("no")
-        first, second = (list(frame[frame["side"] == s].itertuples(index=False)) for s in ("primary", "secondary"))
-        free, out = dict(enumerate(second)), []
-        for a in first:
-            best = max(((points(a, b), -i) for i, b in free.items()), default=(-1.0, 0))
-            if best[0] >= least:
-                b = free.pop(-best[1])
-                out.append((doc, a.no, b.no, best[0], "matched"))
-            else:
-                out.append((doc, a.no, None, None, "missing"))
-        out += [(doc, None, b.no, None, "unexpected") for b in free.values()]
-        return pd.DataFrame(out, columns=["doc_id", "primary_no", "secondary_no", "score", "status"]).astype({"primary_no": "Int32", "secondary_no": "Int32"})
+    cand = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", (-F.col("score")).alias("minus"), "s", "no"))).alias("c"))
+    taken = "array<struct<p:int,minus:double,s:int,no:int>>"
+    fold = f"""aggregate(c, named_struct('p', 0, 'used', cast(array() AS array<int>), 'm', cast(array() AS {taken})),
+      (acc, x) -> CASE WHEN x.p = acc.p OR array_contains(acc.used, x.s) THEN acc ELSE named_struct('p', x.p, 'used', array_append(acc.used, x.s), 'm', array_append(acc.m, x)) END).m"""
+    won = cand.select("doc_id", F.explode(F.expr(fold)).alias("x")).select("doc_id", "x.p", "x.s", F.col("x.no").alias("secondary_no"), (-F.col("x.minus")).alias("score"))
 
-    return rows.select(F.col("doc_id").cast("long"), "side", F.col("no").cast("int").alias("no"), "sku", "name", *[F.col(c).cast("double").alias(c) for c in ("quantity", "unit_price", "amount")]).groupBy("doc_id").applyInPandas(match, SCHEMA)
+    out = [F.col("doc_id"), F.col("primary_no"), F.col("secondary_no"), F.col("score"), F.col("status")]
+    first, second = (r.where(F.col("side") == s).select(F.col("doc_id").alias("d"), "i", F.col("no").alias(f"{s}_no")) for s in ("primary", "secondary"))
+    at = lambda k: F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("i") == F.col(k))
+    one = first.join(won, at("p"), "left").withColumns({"status": F.when(F.col("p").isNull(), "missing").otherwise("matched"), "doc_id": F.col("d")}).select(*out)
+    two = second.join(won, at("s"), "left_anti").select(F.col("d").alias("doc_id"), F.lit(None).cast("int").alias("primary_no"), "secondary_no", F.lit(None).cast("double").alias("score"), F.lit("unexpected").alias("status"))
+    return one.unionByName(two)
 
 
 def assign_cells(words: DataFrame, columns: DataFrame) -> DataFrame:

@@ -302,3 +302,56 @@ def test_every_order_line_has_a_sku_status(spark):
         pytest.skip("no tables here")
     got = entry.queries()["unique_sku_consolidation_all"](spark, sf).agg(F.sum("n")).first()[0]
     assert got == spark.read.parquet(f"{sf}/lineitem.parquet").count()
+
+
+def greedy_by_hand(table):
+    words = lambda s: {w for w in (s or "").lower().split() if len(w) > 2}
+
+    def points(a, b):
+        x, y = words(a[4]), words(b[4])
+        out = 3.0 * len(x & y) / max(len(x), len(y)) if x and y else 0.0
+        out += 6.0 if a[3] and a[3] == b[3] else 0.0
+        for c, weight in ((5, 1.0), (6, 2.0), (7, 2.0)):
+            if a[c] is not None and b[c] is not None:
+                out += weight if abs(a[c] - b[c]) <= 0.01 else -weight
+        return out
+
+    out = []
+    for doc in {r[0] for r in table}:
+        first, free = (sorted((r for r in table if r[0] == doc and r[1] == s), key=lambda r: r[2]) for s in ("primary", "secondary"))
+        for a in first:
+            best = max(((points(a, b), -i) for i, b in enumerate(free)), default=(-1.0, 0))
+            if best[0] >= 6.0:
+                out.append((doc, a[2], free.pop(-best[1])[2], round(best[0], 6), "matched"))
+            else:
+                out.append((doc, a[2], None, None, "missing"))
+        out += [(doc, None, b[2], None, "unexpected") for b in free]
+    return sorted(out, key=repr)
+
+
+def test_greedy_matches_equal_brute_force(spark):
+    import random
+
+    rnd = random.Random(7)
+    table = []
+    for doc in range(1, 21):
+        for side in ("primary", "secondary"):
+            for no in range(rnd.randint(0, 9)):
+                name = rnd.choice([None, "", " ".join(rnd.sample(["red", "oak", "lamp", "desk", "of", "stand"], 3))])
+                economics = [rnd.choice([None, 1.0, 1.005, 1.01, 2.0, 9.99, 10.0]) for _ in range(3)]
+                table.append((doc, side, no, rnd.choice([None, "", "A", "B", "C"]), name, *economics))
+    df = spark.createDataFrame(table, "doc_id long, side string, no int, sku string, name string, quantity double, unit_price double, amount double")
+    got = sorted(((r[0], r[1], r[2], None if r[3] is None else round(r[3], 6), r[4]) for r in matching.greedy_matches(df).collect()), key=repr)
+    assert got == greedy_by_hand(table)
+    assert any(r[4] == "matched" for r in got)
+
+
+def test_greedy_match_covers_all_documents(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.exists(sf):
+        pytest.skip("no tables here")
+    got = entry.queries()["greedy_match"](spark, sf).agg(F.count("primary_no"), F.count("secondary_no")).first()
+    li = spark.read.parquet(f"{sf}/lineitem.parquet")
+    assert tuple(got) == (li.where("l_returnflag = 'N'").count(), li.where("l_returnflag = 'A'").count())
