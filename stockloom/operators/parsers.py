@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.economics import derived_quantity, econ_ok
-from ..functions.keys import clean, compact
+from ..functions.keys import clean, compact, norm
 from ..functions.similarity import similarity
 from ..functions.text import MONEY, model_tokens, money
 
@@ -112,11 +112,17 @@ def direct_candidates(rows: DataFrame, key: list[str], name: str = "line") -> Da
 
 
 def evidence_lines(values: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
-    """First line of the document that holds a value, compared as bare letters and digits; null if none does.
-    values: key, field, value."""
+    """First line of the document that holds a value as whole words, compared as bare letters and digits; null if none does.
+    values: key, field, value.
+
+    A value may be written with other marks and spaces than the line has (MX-12 and MX12), but it begins and ends where words do,
+    so MX12 is not in MX123. Runs of words no longer than the longest value of the document are joined to the values by equality."""
     v = values.withColumn("k", compact("value"))
-    hit = v.where("k <> ''").join(lines.select(key, "page", "line_no", "line").withColumn("h", compact("line")), key).where(F.contains("h", "k"))
-    first = hit.groupBy(key, "field", "value").agg(F.min(F.struct("page", "line_no", "line")).alias("at"))
+    longest = v.where("k <> ''").groupBy(key).agg(F.max(F.length("k")).alias("most"))
+    w = lines.select(key, "page", "line_no", "line", F.filter(F.split(norm("line"), " "), lambda t: t != "").alias("w")).join(longest, key).where("size(w) > 0")
+    runs = F.expr("""array_distinct(filter(flatten(transform(sequence(1, size(w)), i -> transform(sequence(1, least(most, size(w) - i + 1)), n -> array_join(slice(w, i, n), '')))), r -> length(r) <= most))""")
+    hit = w.select(key, "page", "line_no", "line", F.explode(runs).alias("r")).withColumn("k", F.upper("r")).drop("r")
+    first = v.where("k <> ''").select(key, "field", "value", "k").distinct().join(hit, [key, "k"]).groupBy(key, "field", "value").agg(F.min(F.struct("page", "line_no", "line")).alias("at"))
     return values.join(first, [key, "field", "value"], "left").select(key, "field", "value", "at.page", "at.line_no", "at.line")
 
 

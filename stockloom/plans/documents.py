@@ -42,12 +42,20 @@ def parse_invoice_pages(spark, d):
 @query(f"""WITH {LINES_SQL}, f AS (SELECT doc_id, l_partkey, min(k) AS k FROM (SELECT doc_id, l_partkey, row_number() OVER (PARTITION BY doc_id ORDER BY ord, a) AS k FROM li) GROUP BY 1, 2)
 SELECT doc_id, 'MX' || CAST(l_partkey AS VARCHAR) || ' ' AS value, CAST(2 * k AS INT) AS line_no FROM f WHERE doc_id % 20 = 0 AND l_partkey >= 1000""")
 def evidence_line_lookup(spark, d):
-    """The first line that names a code. Codes of four digits or more, so that none is the beginning of another in the small tables."""
+    """The first line that names a code, for one order in twenty and codes of four digits, as its SQL says; `evidence_line_lookup_all` takes all."""
     few = _texts(spark, d).where("doc_id % 20 = 0")
     codes = _lines(spark, d).where("doc_id % 20 = 0 AND l_partkey >= 1000").select("doc_id", F.lit("sku").alias("field"), F.concat(F.lit("MX"), F.col("l_partkey").cast("string"), F.lit(" ")).alias("value")).distinct()
     return evidence_lines(codes, parsers.lines_of(few))
 
 
+@query(f"""WITH {LINES_SQL}, f AS (SELECT doc_id, l_partkey, min(k) AS k FROM (SELECT doc_id, l_partkey, row_number() OVER (PARTITION BY doc_id ORDER BY ord, a) AS k FROM li) GROUP BY 1, 2)
+SELECT doc_id, 'MX' || CAST(l_partkey AS VARCHAR) AS value, CAST(2 * k AS INT) AS line_no FROM f""")
+def evidence_line_lookup_all(spark, d):
+    """The first line that names a code, for all codes of all orders; short codes too, as words are compared whole."""
+    codes = _lines(spark, d).select("doc_id", F.lit("sku").alias("field"), F.concat(F.lit("MX"), F.col("l_partkey").cast("string")).alias("value")).distinct()
+    return evidence_lines(codes, parsers.lines_of(_texts(spark, d)))
+
+
 def evidence_lines(values, lines):
     return parsers.evidence_lines(values, lines).select("doc_id", "value", "line_no")
 

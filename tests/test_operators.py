@@ -355,3 +355,13 @@ def test_greedy_match_covers_all_documents(spark):
     got = entry.queries()["greedy_match"](spark, sf).agg(F.count("primary_no"), F.count("secondary_no")).first()
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
     assert tuple(got) == (li.where("l_returnflag = 'N'").count(), li.where("l_returnflag = 'A'").count())
+
+
+def test_evidence_lines_hold_whole_words(spark):
+    from stockloom.operators import parsers
+
+    docs = spark.createDataFrame([(1, "MX123 lamp\nold MX-12 lamp\nMX 12 again"), (2, "AB 34 CD\nplain")], "doc_id long, text string")
+    values = spark.createDataFrame([(1, "sku", "MX12"), (1, "sku", "MX123"), (1, "sku", "MX1"), (2, "sku", "AB-34"), (2, "sku", "ab34cd"), (2, "sku", "34C"), (2, "sku", "--")], "doc_id long, field string, value string")
+    got = {(r.doc_id, r.value): r.line_no for r in parsers.evidence_lines(values, parsers.lines_of(docs)).collect()}
+    base = min(x for x in got.values() if x is not None)
+    assert {k: None if x is None else x - base for k, x in got.items()} == {(1, "MX12"): 1, (1, "MX123"): 0, (1, "MX1"): None, (2, "AB-34"): 0, (2, "ab34cd"): 0, (2, "34C"): None, (2, "--"): None}
