@@ -121,6 +121,23 @@ def delete_cascade(spark, d):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
+@query("""WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
+SELECT 'kept' AS name, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone) UNION ALL SELECT 'deleted', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone)""")
+def delete_cascade_serials(spark, d):
+    """The serials of the cascade, one for each order line: those that stay and those that go. `delete_cascade` counts the other tables."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    line = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
+    serials = li.select(line.alias("purchase_item_id"), F.concat(F.lit("SN"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("serial"))
+    after = sinks.delete_cascade(
+        o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document_id")), o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("document_id")),
+        li.select(line.alias("id"), F.col("l_orderkey").alias("purchase_id"), F.col("l_partkey").alias("master_item_id")),
+        serials, table(spark, d, "part").select(F.col("p_partkey").alias("id")), li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("master_item_id")),
+    )
+    kept, whole = after["serials"].agg(F.count(F.lit(1)).alias("kept")), serials.agg(F.count(F.lit(1)).alias("whole"))
+    both = kept.join(F.broadcast(whole))  # one row each
+    return both.select(F.expr("stack(2, 'kept', kept, 'deleted', whole - kept) AS (name, n)"))
+
+
 @query(f"""WITH {LINES_SQL}, known AS (SELECT DISTINCT p_partkey FROM part WHERE p_size <= 25)
 SELECT CASE WHEN l_partkey IN (SELECT p_partkey FROM known) THEN CAST(l_partkey AS VARCHAR) ELSE 'new:sku:MX' || CAST(l_partkey AS VARCHAR) END AS item, count(*) AS n, CAST(sum(a) AS DECIMAL(24,2)) AS amount FROM li GROUP BY 1""")
 def save_plan(spark, d):

@@ -108,11 +108,18 @@ def level_one_gate(spark, d):
 
 @query("""SELECT s_suppkey, 'name-review:supplier:' || lower(s_name) AS issue_key FROM supplier ORDER BY lower(s_name), s_suppkey LIMIT 50""")
 def issue_keys(spark, d):
-    """Keys of findings, sorted without regard to case or accents."""
+    """The first 50 keys of findings, as its SQL says, sorted without regard to case or accents; `issue_keys_all` lists all."""
     s = table(spark, d, "supplier").select("s_suppkey", "s_name", health_issue_key(F.lit("Name review"), F.lit("supplier"), F.col("s_name")).alias("issue_key"))
     return s.orderBy(F.collate("s_name", "UNICODE_CI_AI"), "s_suppkey").limit(50).select("s_suppkey", "issue_key")
 
 
+@query("""SELECT s_suppkey, 'name-review:supplier:' || lower(s_name) AS issue_key FROM supplier ORDER BY lower(s_name), s_suppkey""")
+def issue_keys_all(spark, d):
+    """Keys of findings for all suppliers, sorted without regard to case or accents."""
+    s = table(spark, d, "supplier").select("s_suppkey", "s_name", health_issue_key(F.lit("Name review"), F.lit("supplier"), F.col("s_name")).alias("issue_key"))
+    return s.orderBy(F.collate("s_name", "UNICODE_CI_AI"), "s_suppkey").select("s_suppkey", "issue_key")
+
+
 @query("""SELECT event_type, count(DISTINCT event_id) AS n, count(DISTINCT user_id) AS actors FROM events GROUP BY 1""")
 def audit_feed_replay(spark, d):
     """The feed replayed as a stream: events once each, then counted. Equal to the batch answer."""

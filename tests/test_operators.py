@@ -365,3 +365,15 @@ def test_evidence_lines_hold_whole_words(spark):
     got = {(r.doc_id, r.value): r.line_no for r in parsers.evidence_lines(values, parsers.lines_of(docs)).collect()}
     base = min(x for x in got.values() if x is not None)
     assert {k: None if x is None else x - base for k, x in got.items()} == {(1, "MX12"): 1, (1, "MX123"): 0, (1, "MX1"): None, (2, "AB-34"): 0, (2, "ab34cd"): 0, (2, "34C"): None, (2, "--"): None}
+
+
+def test_key_listing_and_serial_cascade_are_whole(spark):
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.exists(sf):
+        pytest.skip("no tables here")
+    got = [r.issue_key for r in entry.queries()["issue_keys_all"](spark, sf).collect()]
+    assert len(got) == spark.read.parquet(f"{sf}/supplier.parquet").count() > 50 and got == sorted(got)
+    n = {r.name: r.n for r in entry.queries()["delete_cascade_serials"](spark, sf).collect()}
+    assert n["kept"] > 0 and n["deleted"] > 0 and sum(n.values()) == spark.read.parquet(f"{sf}/lineitem.parquet").count()
