@@ -48,7 +48,7 @@ def passages(seed, n_docs=80):
     return [*rows, (900, None), (901, ""), (902, "a" * 3000), (903, "a" * 99), (904, "a" * 100)]
 
 
-@pytest.mark.parametrize(("n", "kw"), [(100, {}), (30, {"q": 12}), (100, {"hot": 10**9}), (50, {"hot": 10**9, "shares": 3}), (100, {"chunk": 130}), (30, {"q": 12, "chunk": 1})])
+@pytest.mark.parametrize(("n", "kw"), [(100, {}), (30, {"q": 12}), (100, {"hot": 2, "sampled": 1}), (50, {"hot": 1, "sampled": 1, "bits": 4}), (100, {"bits": 4}), (100, {"chunk": 130, "most": 500}), (30, {"q": 12, "chunk": 1}), (6, {"q": 4})])
 def test_suffix_dedup_equals_brute_force(spark, n, kw):
     rows = passages(n)
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, marks string, lo int").repartition(5)
@@ -66,13 +66,14 @@ def test_suffix_dedup_edges(spark):
     assert removed == [119, 120]
 
 
-def test_refinement_finds_all_repeats():
+@pytest.mark.parametrize("strip", [1 << 15, 7])
+def test_refinement_finds_all_repeats(strip):
     rng = np.random.default_rng(0)
     buf = rng.integers(97, 99, 400).astype(np.uint8)
     ends = np.array([100, 100, 230, 400])
     for n in (4, 8, 10, 17, 40):
-        at, bucket = suffix_dedup.refine(buf, ends, n)
         raw, where = buf.tobytes(), {}
+        at, bucket = suffix_dedup.refine(raw, ends, n, strip)
         for s, e in zip([0, *ends[:-1]], ends, strict=True):
             for p in range(s, e - n + 1):
                 where.setdefault(raw[p : p + n], []).append(p)
