@@ -7,7 +7,6 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,13 +14,12 @@ from .common import SMALL_SIDE, broadcast_if_under, materialize
 
 SYMBOLS = b"#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
-#: Rules by name: a document fails a rule when its value is above the cutoff. Cutoffs, loosest first.
-RULES: dict[str, tuple[float, ...]] = {
-    "symbols_per_word": (8.0, 4.0, 2.0, 1.5, 1.0, 0.75, 0.5, 0.35, 0.25, 0.15, 0.1, 0.05),
-    "dup_line_share": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05),
-    "repeat_word_share": (0.18, 0.16, 0.14, 0.12, 0.1, 0.08, 0.06, 0.04, 0.02, 0.01),
-    "chars_per_word": (60.0, 40.0, 30.0, 25.0, 20.0, 16.0, 14.0, 12.0, 11.0, 10.0, 9.0, 8.0),
-}
+#: A document fails a rule when its value is above the cutoff.
+RULES = ("symbols_per_word", "dup_line_share", "repeat_word_share", "chars_per_word", "words_per_char")
+#: Shares of the good tuning documents that a rule alone may reject, loosest first: the steps of the path.
+STEPS = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01)
+#: Values are counted by 64 bins a doubling; zero is in the lowest one.
+_BINS, _ZERO = 64, 2.0**-10
 
 
 def base_counts(text: str | None, window: int = 5) -> tuple[int, int, int, int, int, int]:
@@ -52,24 +50,33 @@ def base_counts(text: str | None, window: int = 5) -> tuple[int, int, int, int,
     return n, chars, symbols, len(lines) - len(set(lines)), repeated, len(lines)
 
 
-def add_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, stratum and the base counts. Texts stay behind, unless columns are to be carried along, the text among them, in
-    a struct `row`. A null stratum is one of its own."""
+def _stratum(stratum_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit("")).alias("stratum")
+
+
+def add_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
+    """doc_id, stratum and the base counts. Texts stay behind. A null stratum is one of its own."""
 
     def run(batches):
         for b in batches:
-            texts = pa.compute.struct_field(b.column(2), text_col) if carry else b.column(2)
-            rows = [base_counts(t.as_py()) for t in texts]
+            rows = [base_counts(t.as_py()) for t in b.column(2)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 6
-            names = ["doc_id", "stratum", *(x.split()[0] for x in BASE.split(", ")), "row"]
-            arrays = [b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols), *([b.column(2)] if carry else [])]
-            yield pa.RecordBatch.from_arrays(arrays, names=names[: len(arrays)])
+            names = ["doc_id", "stratum", *(x.split()[0] for x in BASE.split(", "))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=names)
+
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), _stratum(stratum_col), F.col(text_col).cast("string").alias("text"))
+    return picked.mapInArrow(run, f"doc_id long, stratum string, {BASE}")
+
+
+def base_column(text_col: str = "text") -> Column:
+    """The base counts as a struct beside the row: only the text goes to Python, and only counts come back."""
 
-    stratum = F.coalesce(F.concat(F.lit("="), F.col(stratum_col).cast("string")), F.lit(""))
-    body = F.struct(*carry).alias("row") if carry else F.col(text_col).cast("string").alias("text")  # either way a text travels once
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), stratum.alias("stratum"), body)
-    schema = f"doc_id long, stratum string, {BASE}" + (f", row {picked.schema['row'].dataType.simpleString()}" if carry else "")
-    return picked.mapInArrow(run, schema)
+    def run(texts: pa.Array) -> pa.Array:
+        rows = [base_counts(t.as_py()) for t in texts]
+        cols = list(zip(*rows, strict=True)) if rows else [()] * 6
+        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in BASE.split(", ")])
+
+    return F.arrow_udf(run, f"struct<{BASE.replace(' long', ':long')}>")(F.col(text_col).cast("string"))
 
 
 def base_failed() -> Column:
@@ -83,6 +90,7 @@ def rule_values() -> dict[str, Column]:
         "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
         "repeat_word_share": F.col("n_repeat_words") / w,
         "chars_per_word": F.col("word_chars") / w,
+        "words_per_char": w / F.greatest(F.col("word_chars"), F.lit(1)),
     }
 
 
@@ -100,50 +108,94 @@ def upper_bound(errors: int, n: int, delta: float) -> float:
     return hi
 
 
-def learn_cutoffs(base: DataFrame, labels: DataFrame, risk: float = 0.01, delta: float = 0.05, label_col: str = "quality") -> DataFrame:
-    """stratum, one column per rule: the cutoff, or infinity where none is certified.
-
-    Labelled documents that the base test passes are the holdout of their stratum; label 1 is good. The rules share the
-    allowed false rejection `risk` of a stratum, and strata x rules share the error probability `delta`
-    (Bonferroni), so with probability 1 - delta no stratum loses more than `risk` of its good documents. Within a rule
-    cutoffs are tested from the loosest to stricter ones, stopping at the first whose exact upper bound is above its part of the
-    risk (a fixed sequence needs no further correction). Of the certified ones the rule takes
-    that with the largest difference of rejected bad and good shares, the loosest among equals; without
-    bad documents to reject it rejects nothing. All labelled documents count; a document with several labels has
-    the largest. The counts are sums by stratum, a few hundred numbers each; the bounds are computed on executors.
-    """
-    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_y")).where("_y IS NOT NULL AND doc_id IS NOT NULL")
+def _path(hist: list, steps: tuple[float, ...]) -> list[list[float]]:
+    """Cutoffs of each rule at each step, from rows (rule, bin, label, count) of the tuning documents: the least bin edge above
+    which lies no more than the step's share of good documents; none where the rule would reject hardly more of the bad."""
+    out = []
+    for step in steps:
+        cuts = []
+        for r in range(len(RULES)):
+            count = {y: {} for y in (0, 1)}
+            for x in hist:
+                if x["r"] == r:
+                    count[x["y"]][x["bin"]] = x["n"]
+            good, bad = sum(count[1].values()), sum(count[0].values())
+            above, cut = [0, 0], math.inf
+            for edge in sorted({*count[0], *count[1]}, reverse=True):
+                if not good or above[1] > step * good:
+                    break
+                useful = bad and above[0] / bad > 2 * above[1] / good
+                cut = 2.0 ** ((edge + 1) / _BINS) - _ZERO if useful else math.inf
+                above = [above[y] + count[y].get(edge, 0) for y in (0, 1)]
+            cuts.append(cut)
+        out.append(cuts)
+    return out
+
+
+def holdout_counts(base: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple[DataFrame, list[list[float]], int]:
+    """Counts by stratum of the labelled documents that each step rejects; the cutoffs of the steps; the last step of use.
+
+    One labelled document in four tunes the path, all strata together, and counts no further; the rest are the holdout."""
+    lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_y")).where("_y IN (0, 1) AND doc_id IS NOT NULL")
     lab = lab.groupBy("doc_id").agg(F.max("_y").alias("_y"))
-    hold = base.where(~base_failed()).join(lab, "doc_id")
     values = rule_values()
-    sums = []
-    for r, (name, cuts) in enumerate(RULES.items()):
-        for y in (0, 1):
-            for i, c in enumerate(cuts):
-                sums.append(F.sum(((values[name] > c) & (F.col("_y") == y)).cast("long")).alias(f"r{r}_{y}_{i}"))
-    sums += [F.sum((F.col("_y") == y).cast("long")).alias(f"n_{y}") for y in (0, 1)]
-    counts = materialize(hold.groupBy("stratum").agg(*sums), "holdout")
-    tests = max(1, counts.count()) * len(RULES)
-    part = risk / len(RULES)
-
-    def choose(frames):
+    hold = base.where(~base_failed()).join(lab, "doc_id").select(
+        "stratum", F.col("_y").alias("y"), (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4)) == 0).alias("tune"), *[values[r].alias(r) for r in RULES]
+    )
+    hold = materialize(hold, "holdout")
+    bins = F.array(*[F.floor(F.log2(F.col(r) + F.lit(_ZERO)) * F.lit(float(_BINS))).cast("int") for r in RULES])
+    hist = hold.where("tune").select("y", F.posexplode(bins).alias("r", "bin")).groupBy("r", "bin", "y").agg(F.count(F.lit(1)).alias("n"))
+    path = _path([r.asDict() for r in hist.collect()], STEPS)  # some thousand rows at most: bins, not documents
+    sums = [F.sum((F.col("y") == y).cast("long")).alias(f"n_{y}") for y in (0, 1)]
+    for t, cuts in enumerate(path):
+        fails = F.lit(False)
+        for r, c in zip(RULES, cuts, strict=True):
+            fails = fails | (F.col(r) > F.lit(c))
+        sums += [F.sum((fails & (F.col("y") == y)).cast("long")).alias(f"f{t}_{y}") for y in (0, 1)]
+    tuned = hold.where("tune").agg(*sums).first()
+    gain = [(tuned[f"f{t}_0"] or 0) / max(1, tuned["n_0"] or 0) - (tuned[f"f{t}_1"] or 0) / max(1, tuned["n_1"] or 0) for t in range(len(path))]
+    best = max(range(len(path)), key=lambda t: (gain[t], -t))
+    return hold.where("NOT tune").groupBy("stratum").agg(*sums), path, best if gain[best] > 0 else -1
+
+
+def learn_cutoffs(base: DataFrame, labels: DataFrame, risk: float = 0.03, delta: float = 0.05, label_col: str = "quality") -> DataFrame:
+    """stratum, one column per rule: the cutoff, or infinity where none is certified; and what the holdout shows:
+    n_good, n_bad, bad_rejected, good_rejected, bound (of the false rejection).
+
+    Label 1 is good; labelled documents that the base test passes take part, all of them; a document with several labels has the largest.
+    A path of rule sets, each step stricter than the one before in every rule, and its last step of use come from the tuning
+    documents. On the holdout of a stratum the steps are tested in that order, all rules together, until the exact binomial upper bound
+    (Clopper-Pearson) of the share of good documents rejected is above `risk`; a fixed sequence needs no
+    correction. Strata share the error probability `delta` in equal parts (Bonferroni). So with probability 1 - delta no stratum
+    loses more than `risk` of the good documents that pass the base test. Strata whose good documents are too few to
+    certify anything are pooled into one, which is tested alike; its guarantee holds for the pool as a whole. The counts are a
+    few numbers a stratum; bounds are computed on executors.
+    """
+    counts, path, best = holdout_counts(base, labels, label_col)
+    counts = materialize(counts, "strata")
+    per = delta / max(1, counts.count() + 1)
+    need = math.ceil(math.log(per) / math.log1p(-risk))
+    pool = F.when(F.col("n_1") >= need, F.col("stratum")).otherwise(F.lit("*"))
+    counts = counts.withColumn("pool", pool)
+    sums = counts.groupBy("pool").agg(*[F.sum(c).alias(c) for c in counts.columns if c not in ("stratum", "pool")])
+
+    def certify(frames):
         for f in frames:
-            out = {"stratum": f["stratum"]}
-            for r, (name, cuts) in enumerate(RULES.items()):
-                picked = []
-                for row in f.to_dict("records"):
-                    best, gain = math.inf, 0.0
-                    for i, c in enumerate(cuts):
-                        if row[f"r{r}_1_{i}"] > part * row["n_1"] or upper_bound(int(row[f"r{r}_1_{i}"]), int(row["n_1"]), delta / tests) > part:
-                            break
-                        bad = row[f"r{r}_0_{i}"] / max(1, row["n_0"]) - row[f"r{r}_1_{i}"] / max(1, row["n_1"])
-                        if bad > gain:
-                            best, gain = c, bad
-                    picked.append(best)
-                out[name] = picked
-            yield pd.DataFrame(out)
-
-    return counts.mapInPandas(choose, "stratum string, " + ", ".join(f"{n} double" for n in RULES))
+            rows = []
+            for row in f.to_dict("records"):
+                level, bound = -1, 0.0
+                for t in range(best + 1):
+                    up = upper_bound(int(row[f"f{t}_1"]), int(row["n_1"]), per)
+                    if up > risk:
+                        break
+                    level, bound = t, up
+                cuts = path[level] if level >= 0 else [math.inf] * len(RULES)
+                rejected = [int(row[f"f{level}_{y}"]) if level >= 0 else 0 for y in (0, 1)]
+                rows.append((row["pool"], *cuts, int(row["n_1"]), int(row["n_0"]), *rejected, bound))
+            yield pd.DataFrame(rows, columns=["pool", *RULES, "n_good", "n_bad", "bad_rejected", "good_rejected", "bound"])
+
+    schema = "pool string, " + ", ".join(f"{r} double" for r in RULES) + ", n_good long, n_bad long, bad_rejected long, good_rejected long, bound double"
+    return counts.select("stratum", "pool").join(sums.mapInPandas(certify, schema), "pool")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
@@ -151,11 +203,12 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
 
     kept is false if the base test fails or a rule's value is above its stratum's certified cutoff. Null
     and empty texts have no words and fail the base test. A stratum without labelled documents, and every stratum of a
-    corpus with too few to certify anything, rejects by the base test only. Repeated rows are judged alike;
+    corpus with too few in all to certify anything, rejects by the base test only. Repeated rows are judged alike;
     null ids have no label but are judged like others. Strata are languages.
     """
     base = materialize(add_base(docs), "base-counts")  # some numbers a document: texts are split once
     cuts = learn_cutoffs(base, labels, **kw)
+    cuts = broadcast_if_under(cuts.select("stratum", *RULES), SMALL_SIDE)
     return base.join(cuts, "stratum", "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & _within_cutoffs()).alias("kept")
     )
@@ -170,8 +223,10 @@ def _within_cutoffs() -> Column:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), **kw) -> DataFrame:
-    """The rows of docs that quality_verdicts keeps. Texts are read twice and never shuffled: cutoffs are
-    learned from counts alone, and joining them to a document takes one row per stratum."""
-    cuts = learn_cutoffs(materialize(add_base(docs), "base-counts"), labels, **kw)
-    judged = add_base(docs, carry=columns).join(broadcast_if_under(cuts, SMALL_SIDE), "stratum", "left")
+    """The rows of docs that quality_verdicts keeps. Rows are written once beside their counts and never shuffled;
+    joining cutoffs to a document takes one row per stratum."""
+    rows = materialize(docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _stratum("lang"), base_column().alias("base")), "counted")
+    base = rows.select("doc_id", "stratum", "base.*")
+    cuts = learn_cutoffs(base, labels, **kw).select("stratum", *RULES)
+    judged = rows.select("row", "stratum", "base.*").join(broadcast_if_under(cuts, SMALL_SIDE), "stratum", "left")
     return judged.where(~base_failed() & _within_cutoffs()).select("row.*")
