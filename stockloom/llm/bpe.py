@@ -22,9 +22,10 @@ class Codec:
     Bytes are mapped to Latin-1 so that the automaton sees one character a byte. From the longest match at a
     position the encoder backs off to shorter ones; a token may follow another only if merging their joined bytes by rank
     gives those two tokens again. Texts that no choice fits never occur, since single bytes are tokens.
+    memo: bytes, about, of the pieces and of the borders that are remembered; each memory is dropped by halves, the older one first.
     """
 
-    def __init__(self, path: str, pattern: str, memo: int = 400_000):
+    def __init__(self, path: str, pattern: str, memo: int = 24 << 20):
         import ahocorasick
         import regex
 
@@ -42,9 +43,10 @@ class Codec:
         self.size = {v: len(k) for k, v in ranks.items()}
         self.prefix: dict[int, int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.memo: dict[str, tuple[tuple[int, ...], str]] = {}
-        self.most = memo
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.held, self.most, self.most_fits = 0, memo // 2, memo // 128
 
     def _halves(self, token: int) -> tuple[int, int]:
         """The two tokens whose merge makes this one; itself twice for a token that no merge makes."""
@@ -66,10 +68,10 @@ class Codec:
 
     def follows(self, left: int, right: int) -> bool:
         """Whether merging leaves the border between the two tokens alone. Memoised."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
-            if len(self.fits) >= self.most:
+            if len(self.fits) >= self.most_fits:
                 self.fits.clear()
             known = self.fits[key] = self._border_holds(left, right)
         return known
@@ -114,7 +116,7 @@ class Codec:
                 if not dead[at + sizes[token]]:
                     if last < 0:
                         break
-                    good = fits.get((last, token))
+                    good = fits.get(last << 32 | token)
                     if self.follows(last, token) if good is None else good:
                         break
                 token = self._shorter(token)
@@ -136,14 +138,17 @@ class Codec:
         """Ids of one match of the pattern, and their decimal text. Memoised: words repeat."""
         found = self.memo.get(s)
         if found is None:
-            raw = s.encode("utf-8", "surrogatepass").decode("latin-1")
-            whole = self.rank.get(raw)
-            ids = (whole,) if whole is not None else tuple(self._search(raw))
-            if len(self.memo) >= self.most:
-                self.memo.clear()
-            found = (ids, ",".join(map(str, ids)))
+            found = self.older.get(s)
+            if found is None:
+                raw = s.encode("utf-8", "surrogatepass").decode("latin-1")
+                whole = self.rank.get(raw)
+                ids = (whole,) if whole is not None else tuple(self._search(raw))
+                found = (ids, ",".join(map(str, ids)))
             if len(s) <= 64:
+                if self.held >= self.most:
+                    self.older, self.memo, self.held = self.memo, {}, 0
                 self.memo[s] = found
+                self.held += 300 + 4 * len(s)
         return found
 
     def encode(self, text: str | None) -> list[int]:
