@@ -118,11 +118,13 @@ def group_bounds(arrays: list[np.ndarray]) -> np.ndarray:
 def local_labels(linked: np.ndarray) -> np.ndarray:
     """Smallest index that each index of a symmetric link matrix can reach."""
     n = len(linked)
-    near = linked | np.eye(n, dtype=bool)
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     while True:
-        new = np.where(near, label[None, :], n).min(axis=1)
+        new = label.copy()
+        for s in range(0, n, 256):  # a few MB at a time
+            part = linked[s : s + 256]
+            new[s : s + 256] = np.minimum(new[s : s + 256], np.where(part, label[None, :], np.int32(n)).min(axis=1, initial=n))
         new = new[new]
         if (new == label).all():
-            return label
+            return label.astype(np.int64)
         label = new

@@ -137,4 +137,28 @@ def test_simhash_edges(spark):
     assert simhash.simhash_near_dups(spark.createDataFrame([], schema)).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (4, "a b c"), (4, "a b c"), (9, None)], schema)
     got = sorted((r.doc_id or -1, r.component_id) for r in simhash.simhash_near_dups(rows).collect())
-    assert [x for x in got if x[0] > 0] == [(4, 4), (4, 4), (9, 9)]
+    assert got == [(-1, 4), (4, 4), (4, 4), (9, 9)]
+    nameless = simhash.simhash_near_dups(rows.where("doc_id IS NULL")).first()
+    assert nameless.component_id is None and nameless.kept
+    long = " ".join(str(i % 991 * i) for i in range(140_000))  # several blocks of 65 536 shingles
+    assert simhash.fingerprint(long) & (2**64 - 1) == brute_fingerprint(long)
+
+
+def test_tiles_beyond_the_radius_are_skipped(spark):
+    block = 0x123456  # one bit block in common, bit counts from few to many
+    fps = [(block << 40) | ((1 << k) - 1) for k in range(0, 40, 1)]
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    row = simhash.tile_pairs(df).first()
+    assert row.skipped > row.compared > 0
+    cells = {r.cell for r in simhash.banded(df, 2).where("block = 2").collect()}
+    assert len(cells) > 10  # one block value, many cells: bands far apart never meet
+    comp = {r.component for r in simhash.simhash_components(df).collect()}
+    assert len(comp) == 1  # neighbours differ by one bit
+
+
+def test_one_of_each_keeps_one_row_of_each_component(spark):
+    rows = [(3, "a b c d"), (3, "a b c d"), (7, "a b c d"), (None, "a b c d"), (3, "other words here now"), (5, "other words here now"), (None, "only without id"), (None, "only without id"), (9, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r.doc_id, r.text) for r in simhash.one_of_each(df).collect()), key=repr)
+    assert got == sorted([(3, "a b c d"), (3, "other words here now"), (None, "only without id"), (8, "")], key=repr)
+    assert simhash.one_of_each(df.limit(0)).count() == 0
