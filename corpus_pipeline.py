@@ -20,12 +20,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that with the smallest id. Documents without id stay.
-
-    Rows of an id that stays all stay if they are alike or not near each other."""
-    kept = simhash.simhash_near_dups(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    picked = docs.select(*COLUMNS)
-    return picked.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").select(*COLUMNS).union(picked.where("doc_id IS NULL"))
+    """One row of each group of near-duplicates: that with the smallest id, a null id after all others."""
+    return simhash.one_of_each(docs, COLUMNS)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
