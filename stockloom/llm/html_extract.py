@@ -19,18 +19,47 @@ SILENT = frozenset("script style noscript template svg math head title iframe ob
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold what is not the article.
-SIDE = frozenset("nav header footer aside form menu dialog fieldset figcaption".split())
+#: Elements that hold what is not the article. A form may be wrapped around a whole page: an article inside it counts.
+SIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
 #: Elements that hold the article.
 MAIN = frozenset("article main".split())
-#: Words in a class, id or role that tell what a container is for.
-SIDE_WORDS = re.compile(
-    r"(?:^|[^a-z])(?:ads?|adverts?|advertisement|banner|sponsor(?:ed)?|promo(?:tion)?s?|cookies?|consent|gdpr|notice|popup|modal|newsletter|subscribe|signup|login|search|share|social|related|recommended|"
-    r"sidebar|side|menu|navbar|navigation|nav|breadcrumbs?|pagination|pager|header|masthead|footer|copyright|legal|widget|tags?|comments?|comment-list|replies|reply|disqus|respond|contentinfo|complementary)(?![a-z])"
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+# Words of class names, ids and roles; a name is taken apart at marks, digits and capitals. They are features of a block; what they are worth, the tree learns.
+#: They tell of something else than the article wherever a name begins or ends with them.
+SIDE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising banner sponsor sponsored cookie cookies consent gdpr notice popup modal newsletter subscribe subscription sidebar menu navbar navigation nav "
+    "breadcrumb breadcrumbs pagination pager header masthead footer copyright comment comments replies reply disqus respond responses discussion contentinfo complementary".split()
 )
-MAIN_WORDS = re.compile(r"(?:^|[^a-z])(?:article|post|entry|story|content|main|body)(?![a-z])")
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_HINT = re.compile(r"""(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+#: These do so only alone or beside a word for a container.
+WEAK_WORDS = frozenset("share sharing social tag tags search related recommended legal side widget promo promotion promotions login signup".split())
+CONTAINERS = frozenset("list links bar box block buttons widget widgets section area container wrapper posts articles stories items nav menu form icons panel".split())
+MAIN_WORDS = frozenset("article post entry story content main body".split())
+_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
+_HINT = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+
+
+@lru_cache(maxsize=4096)
+def marks(names: str) -> tuple[bool, bool]:
+    """Whether class names, ids and roles tell of a side part, and of the article. A name that is one word counts before a longer one."""
+    whole, side, main = set(), False, False
+    for name in names.split():
+        words = [w.lower() for w in _WORD.findall(name)]
+        if not words:
+            continue
+        if len(words) == 1:
+            whole.add(words[0])
+            continue
+        ends = {words[0], words[-1]}
+        if ends & SIDE_WORDS or ends & WEAK_WORDS and ends & CONTAINERS:
+            side = True
+        elif ends & MAIN_WORDS:
+            main = True
+    if whole & (SIDE_WORDS | WEAK_WORDS):
+        return True, False
+    if whole & MAIN_WORDS:
+        return False, True
+    return side, main and not side
 
 
 @dataclass
@@ -39,6 +68,7 @@ class Block:
     links: int = 0  # words inside links
     side: bool = False
     main: bool = False
+    heading: bool = False
     words: int = field(init=False)
 
     def __post_init__(self):
@@ -56,14 +86,14 @@ def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, inside a side part, inside the article
+    stack: list[tuple[str, int, bool, bool]] = []  # name, inside a side part (1: a form only), inside the article, inside a heading
     in_link = 0
 
     def close():
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            _, side, main = stack[-1] if stack else ("", False, False)
-            out.append(Block(text, len("".join(linked).split()) if linked else 0, side, main))
+            _, side, main, heading = stack[-1] if stack else ("", 0, False, False)
+            out.append(Block(text, len("".join(linked).split()) if linked else 0, side > 0, main, heading))
         parts.clear()
         linked.clear()
 
@@ -108,56 +138,73 @@ def blocks(page: str | None) -> list[Block]:
             continue
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
-        hints = " ".join(h.strip("\"'") for h in _HINT.findall(m[3])).lower() if m[3] else ""
-        _, side, main = stack[-1] if stack else ("", False, False)
-        here_main = name in MAIN or bool(hints and MAIN_WORDS.search(hints))
-        here_side = name in SIDE or bool(hints and SIDE_WORDS.search(hints)) and name not in MAIN and name not in ("html", "body")
-        stack.append((name, side or here_side, (main or here_main) and not here_side))
+        said = marks(" ".join(h.strip("\"'") for h in _HINT.findall(m[3]))) if m[3] and name not in ("html", "body") else (False, False)
+        _, side, main, heading = stack[-1] if stack else ("", 0, False, False)
+        if name in MAIN and side == 1:
+            side = 0
+        here = 2 if name in SIDE and name != "form" or said[0] else int(name == "form")
+        stack.append((name, max(side, here), (main or name in MAIN or said[1]) and not here, heading or name in HEADINGS))
     close()
     return out
 
 
-#: Features of a block, in the order of the table below.
-FEATURES = ("words", "density", "prev_words", "prev_density", "next_words", "next_density", "side", "main", "any_main", "prev_side", "next_side")
+#: Features of a block, in this order.
+FEATURES = ("words", "density", "prev_words", "prev_density", "next_words", "next_density", "side", "main", "heading", "any_main", "prev_side", "next_side", "longest_near")
 
 
 def features(found: list[Block]) -> list[tuple]:
-    """One tuple per block. Before the first and after the last block stands an empty one that belongs to no article."""
+    """One tuple per block. Before the first and after the last block stands an empty one that belongs to no article.
+    longest_near: words of the longest block within two places that is mostly no link and in no side part."""
     any_main = any(b.main and not b.side for b in found)
     own = [(0, 0.0, True), *((b.words, b.density, b.side) for b in found), (0, 0.0, True)]
+    plain = [0, 0, *(0 if b.side or b.density > 0.5 else b.words for b in found), 0, 0]
     return [
-        (b.words, here[1], p[0], p[1], q[0], q[1], b.side, b.main, any_main, p[2], q[2])
-        for b, p, here, q in zip(found, own, own[1:], own[2:], strict=False)
+        (b.words, here[1], p[0], p[1], q[0], q[1], b.side, b.main, b.heading, any_main, p[2], q[2], max(plain[i : i + 2] + plain[i + 3 : i + 5]))
+        for i, (b, p, here, q) in enumerate(zip(found, own, own[1:], own[2:], strict=False))
     ]
 
 
-#: Labelled blocks: the features as above, then 1 for text of the article. Written by hand from typical pages.
-LABELLED = (
-    # menus, breadcrumbs, tag lists
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 1, 1, 1, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 1, 1, 1, 0), (2, 1.0, 1, 1.0, 7, 0.0, 1, 0, 1, 1, 1, 0),
-    (3, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0, 0), (2, 1.0, 3, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), (6, 0.9, 4, 1.0, 5, 0.8, 0, 0, 0, 0, 0, 0), (4, 1.0, 55, 0.0, 3, 1.0, 0, 0, 0, 0, 0, 0),
-    (8, 1.0, 60, 0.1, 9, 1.0, 0, 0, 0, 0, 0, 0), (12, 0.8, 3, 1.0, 14, 0.7, 0, 0, 0, 0, 0, 0),
-    # adverts, notices, forms, sidebars and comments inside marked containers, long ones too
-    (8, 0.0, 1, 1.0, 9, 0.0, 1, 0, 1, 1, 0, 0), (40, 0.0, 2, 1.0, 60, 0.0, 1, 0, 1, 1, 0, 0), (120, 0.0, 8, 0.0, 80, 0.0, 1, 0, 1, 0, 1, 0), (25, 0.1, 70, 0.0, 12, 0.2, 1, 0, 1, 0, 1, 0),
-    (60, 0.0, 30, 0.0, 45, 0.0, 1, 0, 0, 1, 1, 0), (15, 0.0, 90, 0.0, 10, 0.0, 1, 0, 0, 0, 1, 0), (5, 0.2, 6, 0.0, 4, 0.5, 1, 0, 0, 1, 1, 0), (200, 0.0, 50, 0.0, 0, 0.0, 1, 0, 1, 0, 1, 0),
-    (30, 0.3, 100, 0.0, 0, 0.0, 1, 0, 1, 0, 1, 0), (9, 0.0, 40, 0.0, 11, 0.0, 1, 0, 0, 0, 0, 0), (35, 0.0, 80, 0.0, 90, 0.0, 1, 0, 1, 0, 0, 0), (2, 0.0, 80, 0.0, 90, 0.0, 1, 0, 1, 0, 0, 0),
-    # footers without a mark
-    (7, 0.3, 90, 0.0, 5, 0.4, 0, 0, 0, 0, 1, 0), (5, 0.0, 4, 0.75, 0, 0.0, 0, 0, 0, 0, 1, 0), (10, 0.5, 6, 0.6, 0, 0.0, 0, 0, 0, 0, 1, 0),
-    # text outside the article, on pages that mark one
-    (50, 0.0, 3, 1.0, 70, 0.0, 0, 0, 1, 1, 0, 0), (12, 0.0, 80, 0.0, 9, 0.0, 0, 0, 1, 0, 1, 0), (90, 0.1, 60, 0.0, 40, 0.0, 0, 0, 1, 0, 0, 0), (3, 0.0, 2, 1.0, 4, 0.0, 0, 0, 1, 1, 0, 0),
-    # the article, where it is marked: long and short paragraphs, headings, list items, with and without links
-    (9, 0.0, 8, 0.0, 70, 0.0, 0, 1, 1, 1, 0, 1), (70, 0.0, 9, 0.0, 55, 0.0, 0, 1, 1, 0, 0, 1), (2, 0.0, 60, 0.0, 30, 0.0, 0, 1, 1, 0, 0, 1), (1, 0.0, 2, 0.0, 3, 0.0, 0, 1, 1, 0, 0, 1),
-    (4, 0.0, 90, 0.0, 10, 0.0, 0, 1, 1, 0, 1, 1), (45, 0.2, 20, 0.1, 60, 0.0, 0, 1, 1, 0, 0, 1), (12, 0.4, 50, 0.0, 40, 0.0, 0, 1, 1, 0, 0, 1), (200, 0.0, 3, 0.0, 10, 0.3, 0, 1, 1, 1, 1, 1),
-    (3, 0.0, 2, 1.0, 0, 0.0, 0, 1, 1, 1, 1, 1), (6, 0.0, 6, 0.0, 7, 0.0, 0, 1, 1, 1, 1, 1), (25, 0.6, 25, 0.0, 25, 0.0, 0, 1, 1, 0, 0, 1), (3, 1.0, 40, 0.0, 50, 0.0, 0, 1, 1, 0, 0, 1),
-    # link lists inside the article
-    (2, 1.0, 3, 1.0, 3, 1.0, 0, 1, 1, 0, 0, 0), (5, 1.0, 4, 1.0, 6, 1.0, 0, 1, 1, 0, 0, 0),
-    # pages without marks: long paragraphs and what stands between them
-    (60, 0.0, 4, 1.0, 80, 0.0, 0, 0, 0, 0, 0, 1), (35, 0.1, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 0, 1), (20, 0.0, 45, 0.0, 50, 0.1, 0, 0, 0, 0, 0, 1), (8, 0.0, 30, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1),
-    (3, 0.0, 50, 0.0, 60, 0.0, 0, 0, 0, 0, 0, 1), (7, 0.0, 3, 1.0, 60, 0.0, 0, 0, 0, 1, 0, 1), (90, 0.05, 9, 0.0, 6, 0.5, 0, 0, 0, 0, 0, 1), (18, 0.0, 70, 0.0, 8, 0.4, 0, 0, 0, 0, 1, 1),
-    (40, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 0, 1, 1), (80, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1, 1, 1), (25, 0.05, 80, 0.0, 3, 1.0, 0, 0, 0, 0, 1, 1), (30, 0.0, 2, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 1), (45, 0.15, 0, 0.0, 35, 0.0, 0, 0, 0, 1, 0, 1),
-    # short lines between short lines on such pages: dates, captions, calls to act
-    (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 0, 0, 0), (2, 0.0, 5, 0.2, 3, 0.0, 0, 0, 0, 1, 0, 0), (5, 0.0, 6, 0.0, 2, 0.0, 0, 0, 0, 0, 0, 0), (4, 0.0, 3, 0.3, 6, 0.0, 0, 0, 0, 0, 1, 0), (6, 0.1, 5, 0.0, 7, 0.0, 0, 0, 0, 0, 0, 0),
-)
+#: Labelled pages, written by hand after common forms of pages: g20 stands for 20 words of the article, b3 for 3 words of
+#: something else. Each is taken at several lengths.
+PAGES = (
+    # marked articles
+    "<nav><ul><li><a>b1</a><li><a>b2</a><li><a>b1</a></ul></nav><div class=ad>b8</div><article><h1>g9</h1><p>g40</p><p>g70<p>g12</article><footer>b7</footer>",
+    "<header><p>b12</p></header><nav><a>b4</a></nav><main><h1>g7</h1><p>g4</p><p>g60 <a>g2</a> g8</p><ul><li>g6<li>g9<li>g4</ul><p>g33</p><h2>g3</h2><p>g50</p></main><aside><p>b25</p><p>b12</p></aside><footer><p>b5</p><a>b2</a></footer>",
+    "<div class='site-header'>b6</div><div class='cookie-notice'><p>b35</p><a>b2</a></div><div class='post type-post tag-economy'><h1>g8</h1><p>g55</p><p>g18</p><div class=ad>b14</div><p>g75</p></div><div class='related-posts'><h3>b2</h3><a>b7</a><a>b9</a></div><section id=comments><p>b40</p><p>b15</p></section>",
+    "<form id=f><div class=menu><a>b1</a><a>b2</a></div><article><h2>g6</h2><p>g30</p><p>g3</p><blockquote>g25</blockquote><p>g44</p></article><div class=footer>b9</div></form>",
+    "<nav><a>b6</a></nav><aside>b30</aside><div class='entry-content'><p>g65</p><p>g2</p><p>g1</p><table><tr><td>g2<td>g1<tr><td>g3<td>g2</table><p>g48</p><ul><li><a>b3</a><li><a>b4</a><li><a>b2</a></ul></div><div class=newsletter><p>b18</p><form>b4</form></div>",
+    "<div class=banner>b20</div><main><p>g22</p><p>g31 <a>g6</a></p><section class=discussion><p>b50</p><p>b22</p></section></main><footer>b30</footer>",
+    "<p>b4</p><div>b12</div><main><h1>g5</h1><p>g80</p><p>g26</p></main><div>b10</div><p>b25</p><div><a>b3</a></div>",
+    "<div>b45</div><article><p>g60</p><h3>g4</h3><p>g8</p><p>g7</p><p>g52</p></article><div>b60</div><p>b30</p>",
+    "<article><header><a>b3</a></header><p>g45</p><figure><figcaption>g9</figcaption></figure><p>g38</p><p><a>g3</a></p><p>g64</p></article><aside><a>b5</a><p>b60</p></aside>",
+    # pages without marks
+    "<div><a>b1</a> <a>b1</a> <a>b2</a></div><h1>g8</h1><p>g60</p><p>g45</p><p>g6</p><p>g80</p><div><a>b3</a> <a>b2</a></div><div>b5</div>",
+    "<ul><li><a>b2</a><li><a>b1</a><li><a>b3</a></ul><h2>g5</h2><div>g90</div><div>g24 <a>g2</a></div><div>g55</div><p>b4 <a>b3</a></p><p>b3</p>",
+    "<table><tr><td><a>b2</a><br><a>b3</a><td><p>g35</p><p>g62</p><p>g20</p></table><p>b6 <a>b5</a></p>",
+    "<p>g70</p><p>g40</p><p>g15</p><p>g35</p>",
+    "<p>g45</p>",
+    "<p>b2</p><p>b3</p><p><a>b4</a></p><p>b5</p>",
+    "<div><a>b6</a></div><p>b2</p><h1>g7</h1><p>b3</p><p>g50</p><h3>g3</h3><p>g42</p><p>g11</p><p>g66</p><p>b2 <a>b2</a></p><div><a>b8</a></div><div><a>b9</a></div><div>b6</div>",
+    # side parts before and after unmarked articles
+    "<nav><a>b6</a></nav><p>g50</p><p>g30</p><footer>b14</footer>",
+    "<div class=ad>b10</div><p>g40</p><div class=ad>b35</div><p>g60</p><aside>b90</aside><p>g28</p>",
+    "<div class='cookie-notice'>b16</div><aside>b7</aside><form>b5</form><h1>g6</h1><p>g48</p><p>g33</p><div id=comments><p>b55</p><p>b9</p></div>",
+    "<header>b5</header><aside><p>b3</p></aside><nav><a>b3</a></nav><p>g30</p><p>g90</p><footer><p>b40</p></footer>",
+    "<nav><a>b2</a></nav><aside><p>b60</p></aside><footer>b8</footer>",
+    "<div class=modal>b30</div><form><p>b3</p><p>b12</p></form><div class=sidebar><p>b22</p><a>b4</a></div>",
+)
+LENGTHS = (0.4, 0.7, 1.0, 1.6, 3.0)
+
+
+def labelled_blocks(pages=PAGES, lengths=LENGTHS) -> np.ndarray:
+    """Features of the blocks of the labelled pages; last column: 1 for text of the article."""
+    rows = []
+    for page in pages:
+        for k in lengths:
+            text = re.sub(r"\b([gb])(\d+)\b", lambda m, k=k: " ".join([m[1]] * max(1, round(int(m[2]) * (k if int(m[2]) > 4 else 1)))), page)
+            found = blocks(text)
+            rows += [(*f, b.text[0] == "g") for b, f in zip(found, features(found), strict=True)]
+    return np.array(rows, float)
 
 
 def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
@@ -185,7 +232,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 8):
 
 @lru_cache(maxsize=1)
 def tree():
-    t = np.array(LABELLED, float)
+    t = labelled_blocks()
     return grow(t[:, :-1], t[:, -1])
 
 
@@ -196,9 +243,9 @@ def keeps(node, row) -> bool:
     return node >= 0.5
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, model=None) -> str:
+    model = model or tree()
     found = blocks(page)
-    model = tree()
     return " ".join(b.text for b, row in zip(found, features(found), strict=True) if keeps(model, row))
 
 
@@ -206,9 +253,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars: one row per row, no shuffle. Null, empty and textless pages have an empty text.
     Nothing but ids is judged by repeated or null ids and urls: they pass through."""
 
+    model = tree()  # some dozens of nodes
+
     def run(batches):
         for b in batches:
-            text = [main_text(h.as_py()) for h in b.column(2)]
+            text = [main_text(h.as_py(), model) for h in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string")).mapInArrow(

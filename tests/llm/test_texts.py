@@ -145,6 +145,50 @@ def test_main_text_of_a_page(spark):
     assert sorted(r.n_chars for r in got) == [0, 63, 63] and html_extract.extract(df.limit(0)).count() == 0
 
 
+def words(n, c="w"):
+    return " ".join([c] * n)
+
+
+ART = f"<p>{words(50)}</p><p>{words(40)}</p>"
+
+
+@pytest.mark.parametrize("before", ["<nav><a>b b b b b b</a></nav>", f'<div class="cookie-notice">{words(12, "b")}</div>', f"<aside>{words(9, 'b')}</aside>", f"<form>{words(7, 'b')}</form>", f'<div class="ad">{words(9, "b")}</div>', f"<header><p>{words(16, 'b')}</p></header>"])
+def test_marked_boilerplate_before_an_article_goes(before):
+    assert html_extract.main_text(before + ART) == words(90)
+
+
+@pytest.mark.parametrize("name", ["post type-post tag-economy category-x", "story share-price-analysis", "post sidebar-left", "page-content-side", "articleBody", "entry-content"])
+def test_articles_with_odd_class_names_stay(name):
+    assert html_extract.main_text(f'<nav><a>b</a></nav><div class="{name}">{ART}</div><footer>b b</footer>') == words(90)
+
+
+def test_comments_apostrophes_and_long_pages():
+    assert html_extract.main_text(f'<main>{ART}<section id="discussion"><p>{words(30, "b")}</p></section></main>') == words(90)
+    assert html_extract.main_text(f"<main><p title=it's class='x'>{words(30)}</p><p>a &lt;b&gt; c</p></main><p") == words(30) + " a <b> c"
+    long = html_extract.main_text("<nav><a>b</a></nav><article>" + "<p>w w w <b>w</b> w w</p>" * 40_000 + "</article>")
+    assert long == words(240_000)
+
+
+#: Pages that teach the tree nothing: g is the article's, b is not.
+HELD_OUT = (
+    f"<div id=top-nav><a>b b</a><a>b</a></div><div class=story-body><h1>{words(7, 'g')}</h1><p>{words(33, 'g')}</p><p>{words(71, 'g')}</p><p>{words(9, 'g')}</p></div><div class=sidebar><h4>b b</h4><a>{words(6, 'b')}</a></div>",
+    f"<header class=masthead><a>b</a></header><main role=main><h1>{words(5, 'g')}</h1><ol><li>{words(14, 'g')}<li>{words(3, 'g')}<li>{words(22, 'g')}</ol><p>{words(51, 'g')}</p></main><div role=contentinfo>{words(20, 'b')}</div>",
+    f"<ul><li><a>b</a><li><a>b b</a><li><a>b</a><li><a>b b</a></ul><h1>{words(6, 'g')}</h1><p>{words(38, 'g')}</p><p>{words(27, 'g')}</p><p>{words(90, 'g')}</p><p><a>{words(5, 'b')}</a></p><p><a>{words(8, 'b')}</a></p>",
+    f"<div class='banner top'>{words(24, 'b')}</div><article id=a1 class='hentry'><p>{words(44, 'g')}</p><aside>{words(30, 'b')}</aside><p>{words(60, 'g')}</p><ul class='share-buttons'><li><a>b</a><li><a>b</a></ul></article><div class=comments-area><p>{words(80, 'b')}</p></div>",
+    f"<div class=wrap><p>{words(64, 'g')}</p><p>{words(29, 'g')}</p></div><div class=subscribe-box><p>{words(17, 'b')}</p><form>{words(6, 'b')}</form></div>",
+    f"<form id=aspnet><nav><a>b b</a></nav><main><p>{words(41, 'g')}</p><p>{words(58, 'g')}</p></main></form>",
+    f"<nav><a>{words(3, 'b')}</a></nav><div class=consent-popup><p>{words(45, 'b')}</p></div>",
+)
+
+
+def test_held_out_pages():
+    kept = gold = right = 0
+    for page in HELD_OUT:
+        got = html_extract.main_text(page).split()
+        kept, gold, right = kept + len(got), gold + len(re.findall(r"\bg\b", page)), right + got.count("g")
+    assert right / kept > 0.97 and right / gold > 0.97
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
