@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 
 from .common import fold
 from .linear import collected, labelled_sample, logistic_fit, sigmoid, svm
-from .ngrams import chunks, grams, plain
+from .ngrams import char_chunks, char_grams, characters
 
-ORDERS, BITS = (4, 5, 6), 22
+#: Characters of an n-gram, of any script.
+ORDERS, BITS = (2, 4, 6), 22
 
 
 def _present(text: str | None) -> np.ndarray:
     """Buckets of the n-grams that a text has, each once."""
-    buf = np.frombuffer(plain(text), np.uint8)
-    return np.unique(np.concatenate([grams(buf, n, BITS) ^ np.uint32(n * 0x2F0B4C47 & ((1 << BITS) - 1)) for n in ORDERS]))
+    codes = characters(text)
+    return np.unique(np.concatenate([char_grams(codes, n, BITS) for n in ORDERS]))
 
 
 @dataclass
@@ -38,11 +39,11 @@ class Model:
             at[self.buckets] = True
             self._at = at
         out = np.full(len(texts), self.bias)
-        for s, e, buf, sizes in chunks(texts):
+        for s, e, codes, sizes in char_chunks(texts):
             ends = np.cumsum(sizes)
             keys = []
             for n in ORDERS:
-                h = grams(buf, n, BITS) ^ np.uint32(n * 0x2F0B4C47 & ((1 << BITS) - 1))
+                h = char_grams(codes, n, BITS)
                 hit = np.flatnonzero(self._at[h])
                 doc = np.searchsorted(ends, hit, side="right")
                 inside = hit + n <= ends[doc]
@@ -112,6 +113,7 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, per_class: int = 2000) -> DataFrame:
-    """doc_id, held_out, score, predicted. Learns from labels outside fold `held`."""
+    """doc_id, held_out, score, predicted. Learns from labels outside fold `held`. The calibration weighs both
+    labels alike: 0.5 is where a text is as likely among the toxic as among the others, whatever their shares in the corpus."""
     model = train(*labelled(docs, labels, "toxic", fold() % folds != held, per_class))
     return score_toxicity(docs, model).select("doc_id", (fold() % folds == held).alias("held_out"), "score", "predicted")

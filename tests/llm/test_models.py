@@ -22,7 +22,7 @@ def crc_fold(ids, n):
 @needs_data
 def test_language_of_held_out_texts(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = language_id.identify(docs, per_language=250).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
+    got = language_id.identify(docs).toPandas().merge(docs.select("doc_id", "lang").toPandas(), on="doc_id")
     assert (got.held_out.to_numpy() == (crc_fold(got.doc_id, 5) == 0)).all()
     held = got[got.held_out]
     assert (held.lang_pred == held.lang).mean() > 0.97 and held.score.between(0, 1).all()
@@ -31,7 +31,7 @@ def test_language_of_held_out_texts(spark):
 @needs_data
 def test_toxicity_of_held_out_texts(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    got = toxicity.toxicity(docs, labels, per_class=600).toPandas().merge(labels.toPandas(), on="doc_id")
+    got = toxicity.toxicity(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
     held = got[got.held_out]
     assert held[held.toxic == 1].predicted.mean() > 0.8 and held[held.toxic == 0].predicted.mean() < 0.06
     assert ((held.score >= 0.5).astype(int) == held.predicted).all()
@@ -40,7 +40,7 @@ def test_toxicity_of_held_out_texts(spark):
 @needs_data
 def test_quality_of_held_out_texts(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
-    got = quality_classifier.quality(docs, labels, per_class=600).toPandas().merge(labels.toPandas(), on="doc_id")
+    got = quality_classifier.quality(docs, labels).toPandas().merge(labels.toPandas(), on="doc_id")
     assert (got.held_out.to_numpy() == (crc_fold(got.doc_id, 3) == 1)).all()
     held = got[got.held_out]
     assert held[held.quality == 1].predicted.mean() > 0.9 and held[held.quality == 0].predicted.mean() < 0.12
@@ -66,3 +66,9 @@ def test_grams_do_not_cross_texts():
     m = toxicity.train(["you idiot you"] * 12 + ["a fine day"] * 12, np.array([1] * 12 + [0] * 12))
     assert m.score(["you idi", "ot you"])[0] == m.score(["you idi"])[0]
     assert m.score(["you idiot"])[0] > 0.5 > m.score(["a fine day"])[0]
+
+
+def test_toxicity_sees_characters_of_any_script():
+    bad, fine = ["你这个笨蛋 走开", "sh1t happens", "f*ck that", "ты дурак"], ["今天天气很好", "ship happens", "back that", "ты дома"]
+    m = toxicity.train(bad * 8 + fine * 8, np.array([1] * 32 + [0] * 32))
+    assert (m.score(bad) > 0.5).all() and (m.score(fine) < 0.5).all()
