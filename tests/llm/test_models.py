@@ -70,5 +70,6 @@ def test_grams_do_not_cross_texts():
 
 def test_toxicity_sees_characters_of_any_script():
     bad, fine = ["你这个笨蛋 走开", "sh1t happens", "f*ck that", "ты дурак"], ["今天天气很好", "ship happens", "back that", "ты дома"]
-    m = toxicity.train(bad * 8 + fine * 8, np.array([1] * 32 + [0] * 32))
+    order = np.random.default_rng(0).permutation(64)  # every fourth text calibrates only
+    m = toxicity.train([(bad * 8 + fine * 8)[i] for i in order], (order < 32).astype(int))
     assert (m.score(bad) > 0.5).all() and (m.score(fine) < 0.5).all()
