@@ -88,6 +88,31 @@ def test_embedding_links_equal_brute_force(spark, tile):
         assert (r.n_links, r.component_id, r.kept) == (sum(i in pair for pair in links), want[i], want[i] == i)
 
 
+def test_recall_of_pairs_at_the_threshold_with_production_parameters(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((1500, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    side = rng.standard_normal((1500, 64))
+    side -= (side * base).sum(axis=1)[:, None] * base
+    side /= np.linalg.norm(side, axis=1)[:, None]
+    c = rng.uniform(0.9301, 0.945, 1500)[:, None]
+    x = np.concatenate([base, c * base + np.sqrt(1 - c * c) * side])
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    cos = unit @ unit.T
+    np.fill_diagonal(cos, 0)
+    want = (cos >= 0.93).sum(axis=1)
+    assert sum(r.n_links for r in got.values()) >= 0.97 * want.sum() > 2900 and all(got[i].n_links <= want[i] for i in got)
+
+
+def test_buckets_do_not_grow_with_the_rows():
+    near, far = embedding_dedup.agreement(math.sqrt(0.14), 2.0), embedding_dedup.agreement(math.sqrt(2), 2.0)
+    for n in (100, 10_000, 1_000_000, 10**9):
+        tables, k = embedding_dedup.shape(n, 0.93, 2.0)
+        assert 1 - (1 - near**k) ** tables >= 0.98 and n * far**k < 1024 and tables <= 400
+
+
 def test_embedding_edges(spark):
     schema = "vec_id long, embedding array<float>, label string"
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
