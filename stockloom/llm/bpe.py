@@ -25,7 +25,7 @@ class Codec:
     memo: bytes, about, of the pieces and of the borders that are remembered; each memory is dropped by halves, the older one first.
     """
 
-    def __init__(self, path: str, pattern: str, memo: int = 24 << 20):
+    def __init__(self, path: str, pattern: str, memo: int = 96 << 20):
         import ahocorasick
         import regex
 
