@@ -3,6 +3,8 @@ supplied tables, so what stands in them is known and the SQL beside each query c
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.economics import half_up_2
@@ -39,18 +41,9 @@ def parse_invoice_pages(spark, d):
     return rows.select("doc_id", "sku", "item_name", "quantity", "unit_price", "amount", F.array_join("serials", ",").alias("serial"))
 
 
-@query(f"""WITH {LINES_SQL}, f AS (SELECT doc_id, l_partkey, min(k) AS k FROM (SELECT doc_id, l_partkey, row_number() OVER (PARTITION BY doc_id ORDER BY ord, a) AS k FROM li) GROUP BY 1, 2)
-SELECT doc_id, 'MX' || CAST(l_partkey AS VARCHAR) || ' ' AS value, CAST(2 * k AS INT) AS line_no FROM f WHERE doc_id % 20 = 0 AND l_partkey >= 1000""")
-def evidence_line_lookup(spark, d):
-    """The first line that names a code, for one order in twenty and codes of four digits, as its SQL says; `evidence_line_lookup_all` takes all."""
-    few = _texts(spark, d).where("doc_id % 20 = 0")
-    codes = _lines(spark, d).where("doc_id % 20 = 0 AND l_partkey >= 1000").select("doc_id", F.lit("sku").alias("field"), F.concat(F.lit("MX"), F.col("l_partkey").cast("string"), F.lit(" ")).alias("value")).distinct()
-    return evidence_lines(codes, parsers.lines_of(few))
-
-
 @query(f"""WITH {LINES_SQL}, f AS (SELECT doc_id, l_partkey, min(k) AS k FROM (SELECT doc_id, l_partkey, row_number() OVER (PARTITION BY doc_id ORDER BY ord, a) AS k FROM li) GROUP BY 1, 2)
 SELECT doc_id, 'MX' || CAST(l_partkey AS VARCHAR) AS value, CAST(2 * k AS INT) AS line_no FROM f""")
-def evidence_line_lookup_all(spark, d):
+def evidence_line_lookup(spark, d):
     """The first line that names a code, for all codes of all orders; short codes too, as words are compared whole."""
     codes = _lines(spark, d).select("doc_id", F.lit("sku").alias("field"), F.concat(F.lit("MX"), F.col("l_partkey").cast("string")).alias("value")).distinct()
     return evidence_lines(codes, parsers.lines_of(_texts(spark, d)))
@@ -109,33 +102,19 @@ def vault_and_names(spark, d):
 @query("""WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'), kept AS (SELECT * FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone)),
 lost AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone) AND l_partkey NOT IN (SELECT l_partkey FROM kept))
 SELECT 'purchases' AS name, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT 'lines', count(*) FROM kept
-UNION ALL SELECT 'masters', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lost) UNION ALL SELECT 'adjustments', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT l_partkey FROM lost)""")
+UNION ALL SELECT 'masters', count(*) FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lost) UNION ALL SELECT 'adjustments', count(*) FROM lineitem WHERE l_returnflag = 'R' AND l_partkey NOT IN (SELECT l_partkey FROM lost)
+UNION ALL SELECT 'serials', count(*) FROM kept""")
 def delete_cascade(spark, d):
-    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    after = sinks.delete_cascade(
-        o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document_id")), o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("document_id")),
-        li.select(F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"), F.col("l_orderkey").alias("purchase_id"), F.col("l_partkey").alias("master_item_id")),
-        li.limit(0).select(F.lit("").alias("purchase_item_id")), table(spark, d, "part").select(F.col("p_partkey").alias("id")), li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("master_item_id")),
-    )
-    parts = [after[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in ("purchases", "lines", "masters", "adjustments")]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-
-
-@query("""WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
-SELECT 'kept' AS name, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone) UNION ALL SELECT 'deleted', count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM gone)""")
-def delete_cascade_serials(spark, d):
-    """The serials of the cascade, one for each order line: those that stay and those that go. `delete_cascade` counts the other tables."""
+    """What is left of each table; each order line has a serial."""
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     line = F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
-    serials = li.select(line.alias("purchase_item_id"), F.concat(F.lit("SN"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0")).alias("serial"))
     after = sinks.delete_cascade(
         o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("document_id")), o.select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").alias("document_id")),
         li.select(line.alias("id"), F.col("l_orderkey").alias("purchase_id"), F.col("l_partkey").alias("master_item_id")),
-        serials, table(spark, d, "part").select(F.col("p_partkey").alias("id")), li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("master_item_id")),
+        li.select(line.alias("purchase_item_id")), table(spark, d, "part").select(F.col("p_partkey").alias("id")), li.where("l_returnflag = 'R'").select(F.col("l_partkey").alias("master_item_id")),
     )
-    kept, whole = after["serials"].agg(F.count(F.lit(1)).alias("kept")), serials.agg(F.count(F.lit(1)).alias("whole"))
-    both = kept.join(F.broadcast(whole))  # one row each
-    return both.select(F.expr("stack(2, 'kept', kept, 'deleted', whole - kept) AS (name, n)"))
+    parts = [after[n].agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n in ("purchases", "lines", "masters", "adjustments", "serials")]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query(f"""WITH {LINES_SQL}, known AS (SELECT DISTINCT p_partkey FROM part WHERE p_size <= 25)

@@ -116,29 +116,40 @@ def topn_recent(spark, d):
 
 
 def _serials(spark, d):
-    """Priority and status of an order stand for a serial: a few values, so duplicates exist; parts above a size have none."""
-    return table(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("item_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("serial"))
+    """Order and supplier of a line stand for a serial: a supplier that delivers twice to an order makes a duplicate."""
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("item_id"), F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("serial"))
 
 
 def _findings(spark, d):
-    pairs = resolve.duplicate_pairs(items(spark, d), "concat_ws('|', brand, item_name)", 0.72)
+    named = items(spark, d).select("id", F.concat_ws(" ", "brand", "item_name").alias("item_name"))
     return health.all_findings(
         _summary(spark, d), _serials(spark, d),
         table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate")).alias("day")),
         table(spark, d, "orders").select(F.col("o_orderkey").alias("id")), table(spark, d, "lineitem").select(F.col("l_orderkey").alias("purchase_id")),
-        pairs.select(F.col("id_b").alias("id")).distinct(),
+        resolve.linked_items(named, 0.72).where("first_id < id").select("id"),
     )
 
 
-FINDINGS_SQL = f"""{ITEMS_SQL},
-serials AS (SELECT l_partkey AS item_id, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS serial FROM lineitem WHERE l_linenumber = 1),
+def _alike_sql(named: str) -> str:
+    """Brute force: classes of equal words, all against all. named: a query of id and t."""
+    words = f"list_sort(list_distinct(list_filter(string_split({NORM('t')}, ' '), lambda w: length(w) >= 2)))"
+    return f"""own AS (SELECT id, {words} AS w FROM ({named})), cl AS (SELECT w, min(id) AS class_id, count(*) AS copies FROM own GROUP BY 1),
+lk AS (SELECT a.class_id, sum(b.copies) AS others, min(b.class_id) AS low FROM cl a JOIN cl b ON a.class_id <> b.class_id AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(a.w), len(b.w)) >= 0.72 GROUP BY 1),
+alike AS (SELECT id, cl.class_id, CAST(CASE WHEN len(own.w) > 0 THEN copies - 1 ELSE 0 END + coalesce(others, 0) AS BIGINT) AS n_links, CASE WHEN len(own.w) > 0 THEN least(cl.class_id, coalesce(low, cl.class_id)) ELSE id END AS first_id
+ FROM own JOIN cl ON cl.w = own.w LEFT JOIN lk ON lk.class_id = cl.class_id)"""
+
+
+NORM = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+
+FINDINGS_SQL = f"""{ITEMS_SQL}, {_alike_sql("SELECT p_partkey AS id, p_brand || ' ' || p_name AS t FROM part")},
+serials AS (SELECT l_partkey AS item_id, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS serial FROM lineitem),
 raw AS (
 SELECT 'Missing category' AS issue_type, 'medium' AS severity, 'master_items' AS entity_type, CAST(id AS VARCHAR) AS entity_id FROM summary WHERE category IS NULL
 UNION ALL SELECT 'Serial review', 'low', 'master_items', CAST(id AS VARCHAR) FROM summary WHERE purchased > 0 AND id NOT IN (SELECT item_id FROM serials)
 UNION ALL SELECT 'Negative inventory', 'high', 'master_items', CAST(id AS VARCHAR) FROM summary WHERE current < 0
 UNION ALL SELECT 'Missing invoice date', 'high', 'purchases', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P' OR o_orderdate IS NULL
 UNION ALL SELECT 'Unlinked document', 'medium', 'documents', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-UNION ALL SELECT 'Possible duplicate', 'medium', 'master_items', CAST(id AS VARCHAR) FROM (SELECT *, row_number() OVER (PARTITION BY brand, item_name ORDER BY id) AS n FROM items) WHERE n > 1
+UNION ALL SELECT 'Possible duplicate', 'medium', 'master_items', CAST(id AS VARCHAR) FROM alike WHERE first_id < id
 UNION ALL SELECT 'Duplicate serial', 'high', 'serial_numbers', lower(serial) FROM serials GROUP BY lower(serial) HAVING count(*) > 1),
 findings AS (SELECT regexp_replace(lower(issue_type), '[^a-z0-9]+', '-', 'g') || ':' || entity_type || ':' || lower(entity_id) AS issue_key, severity, issue_type, entity_type, entity_id FROM raw)"""
 
@@ -207,9 +218,6 @@ def byte_totals(spark, d):
 
 # --- keys, arithmetic, similarity -------------------------------------------------------------------------------
 
-NORM = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
-
-
 @query(f"""SELECT s_suppkey, {NORM('s_name')} AS norm_key, regexp_replace(upper(s_name), '[^A-Z0-9]+', '', 'g') AS compact_key,
 translate(regexp_replace(upper(s_name), '[^A-Z0-9]+', '', 'g'), 'ILOSB', '11058') AS skeleton,
 trim(regexp_replace(regexp_replace(lower(s_name || ' Private Ltd Co'), '\\b(pte|ltd|limited|private|co|company)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS company FROM supplier""")
@@ -307,12 +315,10 @@ def safe_duplicate_groups(spark, d):
     return it.groupBy("name_key", "sku_key").agg(F.min("id").alias("id_a"), F.max("id").alias("id_b"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
-@query(f"""WITH w AS (SELECT p_partkey AS id, p_brand, list_distinct(list_filter(string_split({NORM("p_name || ' ' || p_type")}, ' '), lambda w: length(w) >= 2)) AS t, p_type FROM part)
-SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.t, b.t))::DOUBLE / greatest(len(a.t), len(b.t)) AS score
-FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.id < b.id WHERE len(list_intersect(a.t, b.t))::DOUBLE / greatest(len(a.t), len(b.t)) >= 0.72""")
+@query(f"WITH {_alike_sql("SELECT p_partkey AS id, p_name || ' ' || p_type AS t FROM part")} SELECT id, class_id, n_links, first_id FROM alike")
 def duplicate_pairs_blocked(spark, d):
-    it = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("item_name"), "p_brand", "p_type")
-    return resolve.duplicate_pairs(it, "concat_ws('|', p_brand, p_type)", 0.72).withColumn("score", F.col("score").cast("double"))
+    """All parts against all: the class of equal words each belongs to, and the number of parts that look alike."""
+    return resolve.linked_items(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("item_name")), 0.72)
 
 
 @query(f"""WITH it AS (SELECT p_partkey AS id, regexp_replace(upper(p_brand || '-' || CAST(p_size AS VARCHAR)), '[^A-Z0-9]+', '', 'g') AS k, {NORM('p_name')} AS n FROM part WHERE p_partkey % 3 <> 0),
@@ -331,10 +337,11 @@ def exact_or_fallback_match(spark, d):
 
 @query()
 def fuzzy_sku_match(spark, d):
-    it = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string")).alias("sku"), F.col("p_name").alias("item_name"), "p_brand")
-    misread = F.translate("sku", "015", "OIS")
-    lines = it.select(F.col("id").alias("line_id"), misread.alias("sku"), "item_name")
-    return resolve.fuzzy_top(lines, it, "item_name")
+    """Each part read with look-alike characters, every seventh with one character too few and every fifth name cut short."""
+    it = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat_ws("-", "p_brand", F.col("p_partkey").cast("string")).alias("sku"), F.col("p_name").alias("item_name"))
+    misread = F.when(F.col("id") % 7 == 0, F.expr("substring(sku, 2)")).otherwise(F.translate("sku", "015", "OIS"))
+    name = F.when(F.col("id") % 5 == 0, F.expr("left(item_name, length(item_name) - 2)")).otherwise(F.col("item_name"))
+    return resolve.fuzzy_top(it.select(F.col("id").alias("line_id"), misread.alias("sku"), name.alias("item_name")), it)
 
 
 @query(f"""WITH {NAMED_SQL}, m AS (SELECT id, first_value(id) OVER (PARTITION BY name_key, sku_key ORDER BY created, id) AS canonical FROM named),
@@ -383,21 +390,11 @@ def exact_row_dedupe(spark, d):
     return r.groupBy(F.col("row_key").alias("signature")).agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("decimal(28,2)").alias("amount"))
 
 
-@query("""WITH s AS (SELECT l_partkey AS part, count(*) AS n, min(CAST(l_quantity AS DECIMAL(14,2))) = max(CAST(l_quantity AS DECIMAL(14,2))) AS alike FROM lineitem WHERE l_orderkey % 50 < 10 GROUP BY 1),
-t AS (SELECT CASE WHEN n = 1 THEN 'single' WHEN alike THEN 'collapsed' ELSE 'conflict' END AS status, 1 AS k FROM s
-UNION ALL SELECT CASE WHEN alike THEN 'duplicate-collapsed' ELSE 'conflict-member' END, n - 1 FROM s WHERE n > 1)
-SELECT status, CAST(sum(k) AS BIGINT) AS n FROM t GROUP BY 1""")
-def unique_sku_consolidation(spark, d):
-    """One order in five, as its SQL says; `unique_sku_consolidation_all` takes all orders."""
-    r = _readings(spark, d).where("doc_id % 50 < 10")
-    return ledger.consolidate_sku(r, "part", "quantity", F.col("amount"), "doc_id", "ordinal").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH s AS (SELECT l_partkey AS part, count(*) AS n, min(CAST(l_quantity AS DECIMAL(14,2))) = max(CAST(l_quantity AS DECIMAL(14,2))) AS alike FROM lineitem GROUP BY 1),
 t AS (SELECT CASE WHEN n = 1 THEN 'single' WHEN alike THEN 'collapsed' ELSE 'conflict' END AS status, 1 AS k FROM s
 UNION ALL SELECT CASE WHEN alike THEN 'duplicate-collapsed' ELSE 'conflict-member' END, n - 1 FROM s WHERE n > 1)
 SELECT status, CAST(sum(k) AS BIGINT) AS n FROM t GROUP BY 1""")
-def unique_sku_consolidation_all(spark, d):
+def unique_sku_consolidation(spark, d):
     r = _readings(spark, d)
     return ledger.consolidate_sku(r, "part", "quantity", F.col("amount"), "doc_id", "ordinal").groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
@@ -470,7 +467,7 @@ def pipeline_verdicts(spark, d):
 
 @query()
 def greedy_match(spark, d):
-    r = _candidate_rows(spark, d).where("origin IN ('A', 'N')")
+    r = _candidate_rows(spark, d)
     return matching.greedy_matches(r.select("doc_id", F.when(F.col("origin") == "N", "primary").otherwise("secondary").alias("side"), F.col("ordinal").alias("no"), "sku", F.col("item_name").alias("name"), "quantity", "unit_price", "amount"))
 
 
@@ -545,19 +542,8 @@ def content_fingerprint(spark, d):
     return table(spark, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("sha256"), F.octet_length("text").cast("long").alias("n_bytes"))
 
 
-LINES_SQL = "l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)"
-
-
-@query(f"""WITH {LINES_SQL}, b AS (SELECT item_id, trim(unnest(string_split(text, chr(10)))) AS line FROM benchmark)
-SELECT DISTINCT b.item_id, l.doc_id FROM b JOIN l USING (line) WHERE length(line) >= 20""")
-def evidence_containment(spark, d):
-    """Documents that have a whole line of a benchmark text as a line, as its SQL says; `evidence_text_containment` finds texts anywhere."""
-    line = lambda t, k: table(spark, d, t).select(k, F.explode(F.split("text", "\n")).alias("line")).select(k, F.trim("line").alias("line")).where(F.length("line") >= 20)
-    return line("benchmark", "item_id").distinct().join(line("documents", "doc_id").distinct(), "line").select("item_id", "doc_id").distinct()
-
-
 @query("SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
-def evidence_text_containment(spark, d):
+def evidence_containment(spark, d):
     """Documents that hold the whole text of a benchmark item, wherever it stands in their lines."""
     return evidence.contained_texts(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
