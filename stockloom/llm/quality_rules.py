@@ -76,7 +76,8 @@ def base_column(text_col: str = "text") -> Column:
         cols = list(zip(*rows, strict=True)) if rows else [()] * 6
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=[x.split()[0] for x in BASE.split(", ")])
 
-    return F.arrow_udf(run, f"struct<{BASE.replace(' long', ':long')}>")(F.col(text_col).cast("string"))
+    counts = F.arrow_udf(run, f"struct<{BASE.replace(' long', ':long')}>").asNondeterministic()  # else a filter on it would count anew
+    return counts(F.col(text_col).cast("string"))
 
 
 def base_failed() -> Column:
@@ -222,11 +223,12 @@ def _within_cutoffs() -> Column:
     return ok
 
 
-def kept_documents(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), **kw) -> DataFrame:
-    """The rows of docs that quality_verdicts keeps. Rows are written once beside their counts and never shuffled;
-    joining cutoffs to a document takes one row per stratum."""
-    rows = materialize(docs.select(F.struct(*columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), _stratum("lang"), base_column().alias("base")), "counted")
-    base = rows.select("doc_id", "stratum", "base.*")
-    cuts = learn_cutoffs(base, labels, **kw).select("stratum", *RULES)
+def kept_documents(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "lang", "source", "n_chars"), label_col: str = "quality", **kw) -> DataFrame:
+    """The rows of docs that quality_verdicts keeps. Cutoffs are learned from the labelled documents, whose texts alone are read
+    twice; all texts are counted once beside their rows, which are neither written nor shuffled."""
+    known = labels.where(F.col(label_col).cast("int").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").join(broadcast_if_under(known, SMALL_SIDE), "doc_id", "left_semi")
+    cuts = learn_cutoffs(add_base(mine), labels, label_col=label_col, **kw).select("stratum", *RULES)
+    rows = docs.select(F.struct(*columns).alias("row"), _stratum("lang"), base_column().alias("base"))
     judged = rows.select("row", "stratum", "base.*").join(broadcast_if_under(cuts, SMALL_SIDE), "stratum", "left")
     return judged.where(~base_failed() & _within_cutoffs()).select("row.*")

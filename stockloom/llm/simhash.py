@@ -159,7 +159,7 @@ def one_of_each(docs: DataFrame, columns: tuple[str, ...] = ("doc_id", "text", "
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp", "digest")
     best = fps.groupBy("fp").agg(F.min(rank).alias("first")).join(found, "fp", "left")
     best = best.groupBy(F.coalesce("component", "fp").alias("component")).agg(F.min("first").alias("first"))
-    best = best.select(F.col("first.doc_id").alias("_id"), F.col("first.digest").alias("_digest"))
-    rows = docs.select(*columns, F.xxhash64(*columns).alias("_own"))
-    rows = rows.join(best, (F.col("_own") == F.col("_digest")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")), "left_semi")
-    return rows.dropDuplicates(["_own", "doc_id"]).select(*columns)
+    own, nameless = F.xxhash64(*columns), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    best = best.select(F.coalesce("first.doc_id", F.lit(-(1 << 63))).alias("_id"), F.col("first.digest").alias("_own"))
+    rows = docs.select(*columns, own.alias("_own"), nameless.alias("_id")).join(best, ["_own", "_id"], "left_semi")
+    return rows.dropDuplicates(["_own", "_id"]).select(*columns)
