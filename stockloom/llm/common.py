@@ -27,9 +27,11 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests) one of this machine."""
+    """The folder in spark.checkpoint.dir. Where that is unset, a session on this machine alone (tests) gets one of its own; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stockloom-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

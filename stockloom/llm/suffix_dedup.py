@@ -440,14 +440,14 @@ def _hot_anchors(sample: DataFrame, sampled: int, rows: int, strings: int) -> Da
         if total > MOST_HOT:
             least = max(least, 1 << (p + 1))
             break
-    return F.broadcast(seen.where(F.col("n") >= least).select("h", F.ceil(F.col("n") * (sampled * strings) / F.lit(65536.0)).cast("int").alias("parts")))
+    return F.broadcast(seen.where(F.col("n") >= least).select("h", F.ceil(F.col("n") * (sampled * strings) / F.lit(8192.0)).cast("int").alias("parts")))
 
 
 def duplicate_spans(docs: DataFrame, n_bytes: int = 100, q: int = Q, hot: int = 4096, sampled: int = 64, chunk: int = CHUNK, most: int = 2 << 20, bits: int = 64, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc, tie, text, marks (runs to remove, and others), refined (spans to remove), row (the named columns).
 
     One hash shuffle of the anchors and one of the texts, which both joins share. hot: an anchor with so many runs is dealt
-    over tasks string by string, each holding some 65 000 strings; one document in `sampled` is looked at to find them.
+    over tasks string by string, each holding some 8000 strings; one document in `sampled` is looked at to find them.
     bits: hashes keep so many. Neither how a bucket is dealt nor what a hash says changes the result.
     """
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
