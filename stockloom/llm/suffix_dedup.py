@@ -443,7 +443,7 @@ def _hot_anchors(sample: DataFrame, sampled: int, rows: int, strings: int) -> Da
     return F.broadcast(seen.where(F.col("n") >= least).select("h", F.ceil(F.col("n") * (sampled * strings) / F.lit(8192.0)).cast("int").alias("parts")))
 
 
-def duplicate_spans(docs: DataFrame, n_bytes: int = 100, q: int = Q, hot: int = 4096, sampled: int = 64, chunk: int = CHUNK, most: int = 2 << 20, bits: int = 64, columns: tuple[str, ...] = ()) -> DataFrame:
+def duplicate_spans(docs: DataFrame, n_bytes: int = 100, q: int = Q, hot: int = 16_384, sampled: int = 64, chunk: int = CHUNK, most: int = 2 << 20, bits: int = 64, columns: tuple[str, ...] = ()) -> DataFrame:
     """doc, tie, text, marks (runs to remove, and others), refined (spans to remove), row (the named columns).
 
     One hash shuffle of the anchors and one of the texts, which both joins share. hot: an anchor with so many runs is dealt
