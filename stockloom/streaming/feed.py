@@ -40,9 +40,13 @@ def refresh(events: DataFrame, write: Callable[[DataFrame, int], None], checkpoi
 
 def drain(events: DataFrame, name: str) -> DataFrame:
     """Runs a stream over what has arrived and returns what it wrote, as a table in the folder of spark.checkpoint.dir, which all executors
-    share; only where that is unset (tests) in one of this machine."""
+    share; where that is unset, a session on this machine alone (tests) uses one of its own, and a cluster is an error."""
     spark = events.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="feed-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="feed-")
     base = f"{root}/{name}-{uuid.uuid4().hex}"
     out = events.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").outputMode("append")
     out.trigger(availableNow=True).start().awaitTermination()
