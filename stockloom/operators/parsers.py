@@ -111,6 +111,15 @@ def direct_candidates(rows: DataFrame, key: list[str], name: str = "line") -> Da
     return rows.select(*key).distinct().join(best, key, "left").select(*key, "b.quantity", "b.unit_price", "b.amount")
 
 
+def word_runs(lines: DataFrame, wanted: DataFrame, key: str = "doc_id", *carry: str) -> DataFrame:
+    """One row for each distinct run of words of a line, as bare upper-case letters and digits in k, no longer than the longest k
+    wanted in the document. lines: key, page, line_no, line and the columns to carry; wanted: key, k."""
+    longest = wanted.where("k <> ''").groupBy(key).agg(F.max(F.length("k")).alias("most"))
+    w = lines.withColumn("w", F.filter(F.split(norm("line"), " "), lambda t: t != "")).join(longest, key).where("size(w) > 0")
+    runs = F.expr("""array_distinct(filter(flatten(transform(sequence(1, size(w)), i -> transform(sequence(1, least(most, size(w) - i + 1)), n -> array_join(slice(w, i, n), '')))), r -> length(r) <= most))""")
+    return w.select(key, "page", "line_no", "line", *carry, F.explode(runs).alias("r")).withColumn("k", F.upper("r")).drop("r")
+
+
 def evidence_lines(values: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataFrame:
     """First line of the document that holds a value as whole words, compared as bare letters and digits; null if none does.
     values: key, field, value.
@@ -118,10 +127,7 @@ def evidence_lines(values: DataFrame, lines: DataFrame, key: str = "doc_id") ->
     A value may be written with other marks and spaces than the line has (MX-12 and MX12), but it begins and ends where words do,
     so MX12 is not in MX123. Runs of words no longer than the longest value of the document are joined to the values by equality."""
     v = values.withColumn("k", compact("value"))
-    longest = v.where("k <> ''").groupBy(key).agg(F.max(F.length("k")).alias("most"))
-    w = lines.select(key, "page", "line_no", "line", F.filter(F.split(norm("line"), " "), lambda t: t != "").alias("w")).join(longest, key).where("size(w) > 0")
-    runs = F.expr("""array_distinct(filter(flatten(transform(sequence(1, size(w)), i -> transform(sequence(1, least(most, size(w) - i + 1)), n -> array_join(slice(w, i, n), '')))), r -> length(r) <= most))""")
-    hit = w.select(key, "page", "line_no", "line", F.explode(runs).alias("r")).withColumn("k", F.upper("r")).drop("r")
+    hit = word_runs(lines.select(key, "page", "line_no", "line"), v.select(key, "k"), key)
     first = v.where("k <> ''").select(key, "field", "value", "k").distinct().join(hit, [key, "k"]).groupBy(key, "field", "value").agg(F.min(F.struct("page", "line_no", "line")).alias("at"))
     return values.join(first, [key, "field", "value"], "left").select(key, "field", "value", "at.page", "at.line_no", "at.line")
 
