@@ -44,19 +44,24 @@ FIELDS = ("sku", "quantity", "unit_price", "amount", "serials")
 
 
 def has(text: Column, pattern: str) -> Column:
-    return text.rlike(f"(?i){pattern}")
+    """Whether text, in lower case already, holds a pattern; faster than a match without case."""
+    return text.rlike(pattern.lower())
 
 
 def row_text(sku: Column, name: Column) -> Column:
     return squeeze(F.concat_ws(" ", clean(sku), clean(name)))
 
 
-def refusal(sku: Column, name: Column, header: dict[str, Column] | None = None) -> Column:
-    """Why a row is certainly no equipment, null if nothing says so. Header values come first: a row that repeats the document's own
-    supplier, number or date (kinds as in HEADER_KINDS) is no item; values under four letters and digits prove nothing."""
-    s, n, text = clean(sku), clean(name), row_text(sku, name)
-    equipment = has(text, EQUIPMENT)
-    out = F.when(text == "", "empty-row")
+def judged(rows: DataFrame, header: dict[str, str] | None = None) -> DataFrame:
+    """Rows (sku, item_name) with refused: why a row is certainly no equipment, null if nothing says so; equipment: whether words name
+    some; model_like: whether the code looks like a model. Header values come first (kinds as in HEADER_KINDS, with the column that holds
+    them): a row that repeats the document's own supplier, number or date is no item; values under four letters and digits prove nothing.
+
+    Each text and pattern that several rules need is a column of a step before them, so that it is matched once a row."""
+    s, n, text, equipment = (F.col(c) for c in ("_s", "_n", "_text", "equipment"))
+    out = rows.withColumns({"_s": F.lower(clean("sku")), "_n": F.lower(clean("item_name"))}).withColumn("_text", squeeze(F.concat_ws(" ", s, n)))
+    out = out.withColumns({"equipment": has(text, EQUIPMENT), "_named": has(n, EQUIPMENT), "_accessory": has(text, ACCESSORY), "model_like": has(s, MODEL) & s.rlike(r"\d")})
+    rules = [(text == "", F.lit("empty-row"))]
     for kind in HEADER_KINDS:
         if header and kind in header:
             v, whole = compact(header[kind]), compact(text)
@@ -65,19 +70,18 @@ def refusal(sku: Column, name: Column, header: dict[str, Column] | None = None)
                 same = same | (whole == v)
             if kind == "supplier":
                 same = same | ((F.length(v) >= 8) & whole.contains(v) & ~equipment)
-            out = out.when((F.length(v) >= 4) & same, f"document-{kind}")
-    supplied = has(n, SUPPLIED) & has(n, EQUIPMENT) & ~has(n, ACCESSORY)
-    service = has(s, SERVICE_SKU) | has(n, SERVICE_START) | (~supplied & has(n, SERVICE_ACTION)) | (has(text, SERVICE) & ~equipment)
-    rules = (
-        (has(text, HEADER_WORDS), "header-or-contact-metadata"),
-        (has(text, COMPANY) & ~equipment, "company-header"),
-        (has(text, ADDRESS) | has(n, ADDRESS), "address-metadata"),
-        (has(text, DATE_LABEL) | has(n, DATE_VALUE) | has(s, DATE_VALUE), "date-metadata"),
-        (has(text, WARRANTY) & ~(has(n, EQUIPMENT) & ~has(n, WARRANTY_START)), "warranty-or-support"),
-        (service, "service-or-labour"),
-        (has(text, ACCESSORY) & ~has(text, MICROPHONE_STAND) & ~equipment, "excluded-accessory"),
-    )
-    return reduce(lambda acc, r: acc.when(*r), rules, out)
+            rules.append(((F.length(v) >= 4) & same, F.lit(f"document-{kind}")))
+    supplied = has(n, SUPPLIED) & F.col("_named") & ~has(n, ACCESSORY)
+    rules += [
+        (has(text, HEADER_WORDS), F.lit("header-or-contact-metadata")),
+        (~equipment & has(text, COMPANY), F.lit("company-header")),
+        (has(text, ADDRESS) | has(n, ADDRESS), F.lit("address-metadata")),
+        (has(text, DATE_LABEL) | has(n, DATE_VALUE) | has(s, DATE_VALUE), F.lit("date-metadata")),
+        (has(text, WARRANTY) & ~(F.col("_named") & ~has(n, WARRANTY_START)), F.lit("warranty-or-support")),
+        (has(s, SERVICE_SKU) | has(n, SERVICE_START) | (has(n, SERVICE_ACTION) & ~supplied) | (~equipment & has(text, SERVICE)), F.lit("service-or-labour")),
+        (F.col("_accessory") & ~equipment & ~has(text, MICROPHONE_STAND), F.lit("excluded-accessory")),
+    ]
+    return out.withColumn("refused", F.coalesce(*(F.when(hit, why) for hit, why in rules))).drop("_s", "_n", "_text", "_named", "_accessory")
 
 
 def disposition(sku: Column, name: Column, q: Column, p: Column, a: Column, given: Column | None = None) -> Column:
@@ -107,34 +111,32 @@ def proven_rows(rows: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataF
     row without a quantity above zero needs no printed one. Rows and lines meet by equality of a code or word inside a document; null keys meet nothing."""
     w = Window.partitionBy(key).orderBy("page", "line_no")
     near = F.concat_ws(" ", F.lag("line", 1).over(w), F.col("line"), F.lead("line", 1).over(w), F.lead("line", 2).over(w))
-    around = lines.select(key, "page", "line_no", "line", near.alias("near"))
+    around = lines.select(key, "page", "line_no", "line", near.alias("near")).where(F.regexp_count("near", F.lit(PRICE)) >= 2)
     words = F.array_distinct(F.filter(F.split(norm("item_name"), " "), lambda t: (F.length(t) >= 3) & ~t.isin(*SMALL_WORDS)))
-    code = F.when(F.length(compact("sku")) >= 3, compact("sku"))
-    r = rows.select(key, "row_no", F.col("quantity").cast("double").alias("q"), code.alias("code"), F.transform(words, lambda t: F.upper(t)).alias("words"))
-    keys = F.concat(F.array_compact(F.array(F.struct(F.col("code").alias("k"), F.lit(True).alias("is_code")))), F.transform("words", lambda t: F.struct(t.alias("k"), F.lit(False).alias("is_code"))))
-    wanted = r.select(key, "row_no", "q", F.size("words").alias("n_words"), F.explode(keys).alias("x")).select(key, "row_no", "q", "n_words", "x.*").where("k IS NOT NULL")
-    runs = word_runs(around, wanted.select(key, "k"), key, "near")
-    hit = wanted.join(runs, [key, "k"]).groupBy(key, "row_no", "page", "line_no").agg(
-        F.bool_or("is_code").alias("by_code"), F.count_if(~F.col("is_code")).alias("hits"), F.first("n_words").alias("n_words"), F.first("q").alias("q"), F.first("near").alias("near")
-    )
-    number = F.when(F.col("q") == F.floor("q"), F.col("q").cast("long").cast("string")).otherwise(F.col("q").cast("string"))
-    named = F.col("by_code") | ((F.col("n_words") > 0) & (F.col("hits") >= F.least(F.lit(2), F.col("n_words"))))
-    priced = (F.regexp_count("near", F.lit(PRICE)) >= 2) & (F.coalesce(F.col("q") <= 0, F.lit(True)) | F.array_contains(F.split("near", " "), number))
-    return hit.where(named & priced).groupBy(key, "row_no").agg(F.min(F.struct("page", "line_no")).alias("at")).select(key, "row_no", "at.page", "at.line_no")
-
-
-def row_gate(sku: Column, name: Column, q: Column, p: Column, a: Column, proven: Column, header: dict[str, Column] | None = None) -> Column:
-    """struct(status, reason) of a row on its own: reject, review, candidate or verified."""
-    no, equipment = refusal(sku, name, header), has(row_text(sku, name), EQUIPMENT)
-    model = has(clean(sku), MODEL) & clean(sku).rlike(r"\d")
+    q = F.col("quantity").cast("double")
+    number = F.when(q > 0, F.when(q == F.floor(q), q.cast("long").cast("string")).otherwise(q.cast("string")))
+    r = rows.select(key, "row_no", number.alias("number"), F.when(F.length(compact("sku")) >= 3, compact("sku")).alias("k"), words.alias("words"))
+    codes = r.where("k IS NOT NULL").select(key, "row_no", "number", "k")
+    by_code = codes.join(word_runs(around.select(key, "page", "line_no", "line"), codes.select(key, "k"), key), [key, "k"]).select(key, "row_no", "number", "page", "line_no")
+    said = around.select(key, "page", "line_no", F.explode(F.array_distinct(F.split(norm("line"), " "))).alias("t"))
+    asked = r.select(key, "row_no", "number", F.size("words").alias("n_words"), F.explode("words").alias("t"))
+    by_words = asked.join(said, [key, "t"]).groupBy(key, "row_no", "number", "page", "line_no").agg(F.count(F.lit(1)).alias("hits"), F.first("n_words").alias("n_words"))
+    named = by_code.unionByName(by_words.where("hits >= least(2, n_words)").select(key, "row_no", "number", "page", "line_no"))
+    there = F.col("number").isNull() | F.array_contains(F.split("near", " "), F.col("number"))
+    found = named.join(around.drop("line"), [key, "page", "line_no"]).where(there)
+    return found.groupBy(key, "row_no").agg(F.min(F.struct("page", "line_no")).alias("at")).select(key, "row_no", "at.page", "at.line_no")
+
+
+def row_gate(refused: Column, equipment: Column, model: Column, proven: Column, economics: Column) -> Column:
+    """struct(status, reason) of a row on its own: reject, review, candidate or verified. The first three as of judged; economics at the
+    tolerance of the gate."""
     said = lambda status, reason: F.struct(F.lit(status).alias("status"), F.lit(reason).alias("reason"))
-    shown = F.coalesce(proven, F.lit(False))
-    ok = econ_ok(q, p, a, "gate")
+    shown, ok, thing = F.coalesce(proven, F.lit(False)), F.coalesce(economics, F.lit(False)), equipment | model
     return (
-        F.when(no.isNotNull(), F.struct(F.lit("reject").alias("status"), no.alias("reason")))
-        .when(~shown & (equipment | model), said("review", "source-row-not-proven"))
+        F.when(refused.isNotNull(), F.struct(F.lit("reject").alias("status"), refused.alias("reason")))
+        .when(~shown & thing, said("review", "source-row-not-proven"))
         .when(~shown, said("reject", "not-proven-as-line-item"))
-        .when(~ok & (equipment | model), said("review", "line-item-economics-unverified"))
+        .when(~ok & thing, said("review", "line-item-economics-unverified"))
         .when(~ok, said("reject", "unverified-economics"))
         .when(equipment, said("verified", "physical-equipment-description"))
         .when(model, said("candidate", "model-and-priced-row-proven"))

@@ -88,10 +88,13 @@ def _proven(spark, d):
     return rows.join(proof, ["doc_id", "row_no"], "left").withColumn("proven", F.col("line_no").isNotNull())
 
 
+HEADER = {"supplier": "supplier", "invoice-number": "number"}
+
+
 def _gated(spark, d):
     c = F.col
-    gate = v.row_gate(c("sku"), c("item_name"), c("quantity"), c("unit_price"), c("amount"), c("proven"), {"supplier": c("supplier"), "invoice-number": c("number")})
-    return _proven(spark, d).withColumn("gate", gate)
+    rows = v.judged(_proven(spark, d), HEADER).withColumn("economics", econ_ok(c("quantity"), c("unit_price"), c("amount"), "gate"))
+    return rows.withColumn("gate", v.row_gate(c("refused"), c("equipment"), c("model_like"), c("proven"), c("economics")))
 
 
 def _disposed(spark, d):
@@ -101,8 +104,7 @@ def _disposed(spark, d):
 
 @query(f"WITH {ROWS_SQL} SELECT doc_id, row_no, {REASON_SQL} AS reason FROM t")
 def non_equipment_reasons(spark, d):
-    c = F.col
-    return _rows(spark, d).select("doc_id", "row_no", v.refusal(c("sku"), c("item_name"), {"supplier": c("supplier"), "invoice-number": c("number")}).alias("reason"))
+    return v.judged(_rows(spark, d), HEADER).select("doc_id", "row_no", F.col("refused").alias("reason"))
 
 
 @query(f"WITH {ROWS_SQL} SELECT doc_id, row_no, {KIND_SQL} AS disposition FROM t")
@@ -131,7 +133,7 @@ def full_gate(spark, d):
     known = table(spark, d, "part").where("p_size <= 25").select(F.concat(F.lit("MX"), F.col("p_partkey").cast("string")).alias("sku"), F.lit("confirmed").alias("match"))
     web = F.when(F.col("l_suppkey") % 3 == 0, "confirmed").when(F.col("l_suppkey") % 3 == 1, "unconfirmed")
     r = _gated(spark, d).join(known, "sku", "left")
-    verdict = v.full_gate(F.col("gate"), F.col("proven"), econ_ok(F.col("quantity"), F.col("unit_price"), F.col("amount"), "gate"), F.col("match"), web)
+    verdict = v.full_gate(F.col("gate"), F.col("proven"), F.col("economics"), F.col("match"), web)
     return r.select("doc_id", "row_no", verdict.alias("v")).select("doc_id", "row_no", "v.*")
 
 
