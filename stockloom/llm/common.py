@@ -46,6 +46,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, str]:
+    """As materialize, and the folder, for discard(); `by` names columns, the last ones, to cut the folder by."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Removes written tables that nothing reads any more."""
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        at = jvm.org.apache.hadoop.fs.Path(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_spread(left: DataFrame, right: DataFrame, key: str, counts: DataFrame | None = None, share: int = 20_000, least: int = 1000) -> DataFrame:
+    """left with the columns of right, which has at most one row a key; null keys meet null keys, and left rows without partner stay.
+
+    A key with more than 1/share of left's rows (and more than `least`) is hot. Whatever the size there are fewer than `share` of these, so
+    their list is broadcast; their rows are dealt over parts of that many rows, and right's row is copied to each part, fewer than
+    2 * share copies in all. counts: (key, n) of left, if known.
+    """
+    counts = counts if counts is not None else materialize(left.groupBy(key).agg(F.count(F.lit(1)).alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    limit = max(least, -(-total // share))
+    hot = F.broadcast(counts.where(F.col("n") > limit).select(F.col(key).alias("_hot"), F.ceil(F.col("n") / limit).cast("int").alias("_parts")))
+    meets = F.col(key).eqNullSafe(F.col("_hot"))
+    dealt = left.join(hot, meets, "left").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_hot", "_parts")
+    copies = right.join(hot, meets, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_hot", "_parts").withColumnRenamed(key, "_key")
+    return dealt.join(copies, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_part") == F.col("_copy")), "left").drop("_key", "_part", "_copy")
+
+
 def broadcast_if_under(df: DataFrame, rows: int) -> DataFrame:
     """df, materialised; marked for broadcast only if it is counted to hold at most so many rows.
     Beyond that the planner joins it as any other table."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embedding_dedup, html_extract, language_id, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from . import bpe, embedding_dedup, html_extract, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, suffix_dedup, toxicity, vector_codes, whitening
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -58,10 +58,25 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every text, from a ledger that begins empty; see secret_scan.scan for one that is kept."""
+    return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four bytes for every usable vector, from codebooks of four Lloyd rounds."""
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector on the sixteen leading components, whitened."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_embedding_near_dedup, op2_language_id, op3_toxicity, op4_mixing, op5_quality_rules, op6_suffix_array_dedup,
-        op7_byte_bpe, op8_simhash_near_dedup, op9_html_extraction, op10_quality_classifier,
+        op7_byte_bpe, op8_simhash_near_dedup, op9_html_extraction, op10_quality_classifier, op11_secret_scan, op12_vector_codes, op13_whitening,
     )
     return {f.__name__: f for f in found}
 
