@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import consolidation, parsers, recovery
+from ..operators import consolidation, parsers, recovery, regions
 from ..sources.cut import cut
 from .documents import LINES_SQL, _lines
 from .queries import query
@@ -197,3 +197,67 @@ def recovery_union(spark, d):
     """All orders printed twice, wrapped on one page and scattered on the next, read by every reader and made one."""
     texts = wrapped_texts(spark, d).withColumnRenamed("text", "one").join(sparse_texts(spark, d).withColumnRenamed("text", "two"), "doc_id").select("doc_id", F.concat_ws("\f", "one", "two").alias("text"))
     return _witnesses(consolidation.consolidate_witnesses(recovery.recovered(cut(texts, "texts"))))
+
+
+def region_texts(spark, d):
+    """Each order line on one, two or three lines of its invoice, by style; style 5 prints no amount, style 6 the same again for another thing."""
+    name = F.concat_ws(" ", "p_name", F.lit("projector"))
+    numbers = F.concat_ws(" ", _n("q"), _cash("p"), F.when(F.col("style") != 5, _cash("a")))
+    row = F.when(F.col("style") < 2, F.concat_ws(" ", "code", name, numbers)).when(F.col("style") < 4, _lines_of(F.concat_ws(" ", "code", name), numbers)).otherwise(_lines_of(F.col("code"), name, numbers))
+    row = F.when(F.col("style") == 6, _lines_of(row, F.concat(F.col("code"), F.lit("Z")), F.concat(name, F.lit(" white")), numbers)).otherwise(row)
+    return _printed(_numbered(spark, d), row, F.lit("TAX INVOICE"), F.lit("Thank you"))
+
+
+def _source_lines(spark, d):
+    lines = parsers.lines_of(region_texts(spark, d))
+    w = Window.partitionBy("doc_id").orderBy("page", "line_no")
+    return cut(lines.select("doc_id", F.lit("raw").alias("source"), F.row_number().over(w).alias("n"), "line"), "lines")
+
+
+def _region_rows(spark, d):
+    """Rows as a reader had them: style 1 with a wrong code, style 0 with its own, the rest without; a model in styles 2 and 6."""
+    r = _numbered(spark, d)
+    style, code = F.col("style"), F.col("code")
+    sku = F.when(style == 0, code).when(style == 1, F.concat(F.lit("Q"), code)).otherwise("")
+    return r.select("doc_id", F.col("k").alias("row_no"), sku.alias("sku"), F.when(style.isin(2, 6), code).otherwise("").alias("model"), F.concat_ws(" ", "p_name", F.lit("projector")).alias("item_name"), F.col("q").cast("double").alias("quantity"), F.col("p").alias("unit_price"), F.col("a").cast("double").alias("amount"), "style", "code")
+
+
+REGION_SQL = f"""{NUMBERED_SQL}, m AS (SELECT *, p_name || ' projector' AS name, CAST(q AS VARCHAR) || ' ' || format('{{:,.2f}}', p) || CASE WHEN style = 5 THEN '' ELSE ' ' || format('{{:,.2f}}', x) END AS nums FROM r),
+t AS (SELECT doc_id, 0 AS k, 0 AS j, 'TAX INVOICE' AS line FROM (SELECT DISTINCT doc_id FROM r) UNION ALL SELECT doc_id, k, unnest(range(6)), unnest(CASE WHEN style < 2 THEN [code || ' ' || name || ' ' || nums] WHEN style < 4 THEN [code || ' ' || name, nums] WHEN style < 6 THEN [code, name, nums] ELSE [code, name, nums, code || 'Z', name || ' white', nums] END) FROM m
+ UNION ALL SELECT doc_id, 1000000, 0, 'Thank you' FROM (SELECT DISTINCT doc_id FROM r)),
+l AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY k, j) AS n FROM t WHERE line IS NOT NULL),
+w AS (SELECT doc_id, n AS first, span, array_to_string(CASE span WHEN 1 THEN [line] WHEN 2 THEN [line, b] ELSE [line, b, c] END, ' ') AS text FROM (SELECT *, lead(line) OVER o AS b, lead(line, 2) OVER o AS c FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY n)), (SELECT unnest([1, 2, 3]) AS span)
+ WHERE span = 1 OR (span = 2 AND b IS NOT NULL) OR c IS NOT NULL),
+v AS (SELECT *, [CAST(replace(z, ',', '') AS DOUBLE) FOR z IN regexp_extract_all(text, '\\d[\\d,]*(?:\\.\\d+)?')] AS nums, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS words FROM w),
+p AS (SELECT m.doc_id, k AS row_no, first, span, text, CASE WHEN list_contains(nums_v, CAST(q AS DOUBLE)) THEN 1.2::DOUBLE ELSE 0 END + CASE WHEN list_contains(nums_v, p) THEN 2.0::DOUBLE ELSE 0 END + CASE WHEN list_contains(nums_v, x) THEN 2.5::DOUBLE ELSE 0 END
+ + CAST(len(list_intersect(told, words)) AS DOUBLE) / len(told) * 3.0::DOUBLE AS score FROM (SELECT *, list_distinct(list_filter(string_split(name, ' '), lambda z: length(z) >= 3)) AS told FROM m) m JOIN (SELECT doc_id, first, span, text, nums AS nums_v, words FROM v) USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, row_no ORDER BY score DESC, span, first) AS rank FROM p WHERE score >= 2.5),
+top AS (SELECT * FROM o WHERE rank = 1), nxt AS (SELECT o.* FROM o JOIN top USING (doc_id, row_no) WHERE o.text <> top.text QUALIFY row_number() OVER (PARTITION BY o.doc_id, o.row_no ORDER BY o.rank) = 1),
+best AS (SELECT top.doc_id, top.row_no, top.first, top.span, top.score, top.text FROM top LEFT JOIN nxt USING (doc_id, row_no) WHERE NOT coalesce(abs(top.score - nxt.score) < 0.35::DOUBLE AND NOT (top.first < nxt.first + nxt.span AND nxt.first < top.first + top.span), FALSE))"""
+
+
+@query(f"WITH {REGION_SQL} SELECT doc_id, row_no, CAST(first AS INT) AS first, CAST(span AS INT) AS span, round(score, 6) AS score, text FROM best")
+def best_raw_region(spark, d):
+    """Where each order line stands in its invoice, found without its code; lines that could stand in two places have none."""
+    found = regions.best_regions(_region_rows(spark, d), _source_lines(spark, d), "sku")
+    return found.select("doc_id", "row_no", "first", "span", F.round("score", 6).alias("score"), "text")
+
+
+@query(f"""WITH {REGION_SQL}, c AS (SELECT m.*, best.text, coalesce(regexp_replace(upper(best.text), '[^A-Z0-9]+', '', 'g'), '') AS held, coalesce([z FOR z IN regexp_extract_all(best.text, '[A-Za-z0-9][A-Za-z0-9+._/-]{{2,}}') IF regexp_matches(z, '[A-Za-z]') AND regexp_matches(z, '[0-9]')], []) AS seen FROM m LEFT JOIN best ON best.doc_id = m.doc_id AND best.row_no = m.k),
+s AS (SELECT *, list_distinct(seen) AS uniq, contains(held, code) AS printed FROM c),
+z AS (SELECT doc_id, k AS row_no, code, style, printed, CASE WHEN len(uniq) = 1 THEN uniq[1] END AS region FROM s),
+y AS (SELECT *, CASE WHEN style = 0 AND printed THEN 'kept' WHEN style IN (2, 6) AND printed THEN 'direct' WHEN style = 0 AND region IS NULL THEN 'none' WHEN style = 0 THEN 'none' WHEN style IN (2, 6) THEN 'none'
+ WHEN style = 1 THEN CASE WHEN printed THEN 'consensus' ELSE 'unsupported' END WHEN style = 3 THEN CASE WHEN region = code THEN 'consensus' ELSE 'conflict' END WHEN style = 4 THEN CASE WHEN printed THEN 'direct' ELSE 'unsupported' END ELSE 'none' END AS status FROM z)
+SELECT doc_id, row_no, CASE WHEN status IN ('kept', 'direct', 'consensus') THEN code ELSE '' END AS sku, status FROM y""")
+def targeted_recovery(spark, d):
+    """Codes for all order lines: their own, their model, their region's only one with readings that agree, or none. Readings: style 1 two that agree, style 3 two for it and two for another code, style 4 a cell, style 5 one alone."""
+    rows = cut(_region_rows(spark, d), "rows")
+    found = cut(regions.best_regions(rows, _source_lines(spark, d), "sku"), "regions")
+    read = lambda value, lane, source: F.struct(value.alias("value"), F.lit(lane).alias("lane"), F.lit(source).alias("source"))
+    style, code, other = F.col("style"), F.col("code"), F.concat(F.col("code"), F.lit("Z"))
+    said = (
+        F.when(style == 1, F.array(read(code, "reading", "x"), read(code, "reading", "y"))).when(style == 3, F.array(read(code, "reading", "x"), read(code, "reading", "y"), read(other, "reading", "u"), read(other, "reading", "v")))
+        .when(style == 4, F.array(read(code, "cell", "layout"))).when(style == 5, F.array(read(code, "reading", "x")))
+    )
+    evidence = rows.select("doc_id", "row_no", F.explode(said).alias("x")).select("doc_id", "row_no", "x.*")
+    return regions.recover_codes(rows, found, evidence).select("doc_id", "row_no", "sku", "status")
