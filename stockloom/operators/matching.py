@@ -17,6 +17,68 @@ def _points(a: str, b: str) -> Column:
     return out
 
 
+def _merge_points(a: str, b: str) -> Column:
+    """How well a row already known and one just read agree: 8 for an equal sku, 5 for one that differs by a last letter, 5 for shared words, economics, 6 for
+    a serial in common. Where the sku stands on several rows just read, economics count once and a half more, and 0.35 goes for each place between the two."""
+    u, v = (F.regexp_replace(F.upper(F.coalesce(F.col(f"{x}.sku"), F.lit(""))), "[^A-Z0-9]+", "") for x in (a, b))
+    stem_u, stem_v = (F.regexp_replace(x, "[A-Z]$", "") for x in (u, v))
+    akin = (F.length(stem_u) >= 5) & ((stem_u == v) | (stem_v == u) | (stem_u == stem_v))
+    out = F.when((u == "") | (v == ""), 0.0).when(u == v, 8.0).when(akin, 5.0).otherwise(0.0)
+    x, y = F.col(f"{a}.words"), F.col(f"{b}.words")
+    out = out + F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))) * 5.0
+    economics = F.lit(0.0)
+    for c, same, other in (("quantity", 6.0, -8.0), ("unit_price", 3.0, -3.0), ("amount", 5.0, -5.0)):
+        m, n = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
+        economics = economics + F.when(m.isNull() | n.isNull(), 0.0).when(F.abs(m - n) < 0.02, same).otherwise(other)
+    repeated = (u != "") & (u == v) & (F.col(f"{b}.copies") > 1)
+    out = out + economics + F.when(F.arrays_overlap(F.col(f"{a}.serials"), F.col(f"{b}.serials")), 6.0).otherwise(0.0)
+    return out + F.when(repeated, economics * 1.5 - F.abs(F.col(f"{a}.i") - F.col(f"{b}.i")) * 0.35).otherwise(0.0)
+
+
+def _assigned(pairs: DataFrame) -> DataFrame:
+    """doc_id, p, s, no, score: in the order of p, each takes its best free s, the first among equals. One fold a document over scored pairs."""
+    cand = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", (-F.col("score")).alias("minus"), "s", "no"))).alias("c"))
+    taken = "array<struct<p:int,minus:double,s:int,no:int>>"
+    fold = f"""aggregate(c, named_struct('p', 0, 'used', cast(array() AS array<int>), 'm', cast(array() AS {taken})),
+      (acc, x) -> CASE WHEN x.p = acc.p OR array_contains(acc.used, x.s) THEN acc ELSE named_struct('p', x.p, 'used', array_append(acc.used, x.s), 'm', array_append(acc.m, x)) END).m"""
+    return cand.select("doc_id", F.explode(F.expr(fold)).alias("x")).select("doc_id", "x.p", "x.s", "x.no", (-F.col("x.minus")).alias("score"))
+
+
+def merge_readings(known: DataFrame, read: DataFrame, least: float = 5.0) -> DataFrame:
+    """Rows already known, in their order, mended by rows just read, each used once; then the verified rows read that met none.
+
+    A known row takes the best row still free, of equal ones the first, if they agree by 5 points; repeated skus are told apart by economics and by their order. A
+    verified row gives its quantity, price and amount, and its serials if they are no more than the quantity; any row fills in a sku or name that is missing.
+    known: doc_id, no, sku, item_name, quantity, unit_price, amount, serials; read: the same with verified, only what may be equipment. Numbers of one
+    document and side differ. Adds status (mended, kept, added) and read_no. All pairs of a document are scored; a document has few rows."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    bare = F.filter(F.transform(F.coalesce("serials", F.array().cast("array<string>")), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("item_name", F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
+    order = Window.partitionBy("doc_id").orderBy("no")
+
+    def side(df, *more):
+        out = df.select("doc_id", F.col("no").cast("int").alias("no"), "sku", "item_name", *map(number, ("quantity", "unit_price", "amount")), bare.alias("serials"), *more)
+        key = F.regexp_replace(F.upper(F.coalesce("sku", F.lit(""))), "[^A-Z0-9]+", "")
+        return out.withColumns({"i": F.row_number().over(order), "words": words, "copies": F.count(F.lit(1)).over(Window.partitionBy("doc_id", key))})
+
+    one, two = side(known), side(read, F.coalesce("verified", F.lit(False)).alias("verified"))
+    fields = F.struct("no", "i", "sku", "words", "quantity", "unit_price", "amount", "serials", "copies")
+    pairs = one.select("doc_id", fields.alias("a")).join(two.select("doc_id", fields.alias("b")), "doc_id")
+    won = _assigned(pairs.select("doc_id", F.col("a.i").alias("p"), F.col("b.i").alias("s"), F.col("b.no").alias("no"), _merge_points("a", "b").alias("score")).where(F.col("score") >= least))
+    found = two.select("doc_id", F.col("i").alias("s"), *[F.col(c).alias(f"_{c}") for c in ("no", "sku", "item_name", "quantity", "unit_price", "amount", "serials", "verified")])
+    out = one.join(won.select("doc_id", F.col("p").alias("i"), "s"), ["doc_id", "i"], "left").join(found, ["doc_id", "s"], "left")
+    sure = F.coalesce("_verified", F.lit(False))
+    few = F.coalesce((F.size("_serials") <= F.col("_quantity")) | ~(F.col("_quantity") > 0) | (F.col("_quantity") != F.floor("_quantity")), F.lit(True))
+    mended = out.select(
+        "doc_id", "no", *[F.when(F.trim(F.coalesce(c, F.lit(""))) == "", F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) for c in ("sku", "item_name")],
+        F.when(sure & (F.col("_quantity") > 0), F.col("_quantity")).otherwise(F.col("quantity")).alias("quantity"), *[F.when(sure, F.coalesce(f"_{c}", c)).otherwise(F.col(c)).alias(c) for c in ("unit_price", "amount")],
+        F.when(sure & few, F.col("_serials")).otherwise(F.col("serials")).alias("serials"), F.when(F.col("s").isNull(), "kept").otherwise("mended").alias("status"), F.col("_no").alias("read_no"),
+    )
+    free = two.where("verified").join(won.select("doc_id", F.col("s").alias("i")), ["doc_id", "i"], "left_anti")
+    added = free.select("doc_id", F.lit(None).cast("int").alias("no"), "sku", "item_name", "quantity", "unit_price", "amount", "serials", F.lit("added").alias("status"), F.col("no").alias("read_no"))
+    return mended.unionByName(added)
+
+
 def greedy_matches(rows: DataFrame, least: float = 6.0) -> DataFrame:
     """In the order of the primary rows, each takes the best secondary row that is still free; of equal ones the first.
 
@@ -40,11 +102,7 @@ def greedy_matches(rows: DataFrame, least: float = 6.0) -> DataFrame:
     pairs = side("primary", own, "a").join(side("secondary", near, "b"), ["doc_id", "key"])
     pairs = pairs.select("doc_id", F.col("a.i").alias("p"), F.col("b.i").alias("s"), F.col("b.no").alias("no"), _points("a", "b").alias("score")).where(F.col("score") >= least).distinct()
 
-    cand = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", (-F.col("score")).alias("minus"), "s", "no"))).alias("c"))
-    taken = "array<struct<p:int,minus:double,s:int,no:int>>"
-    fold = f"""aggregate(c, named_struct('p', 0, 'used', cast(array() AS array<int>), 'm', cast(array() AS {taken})),
-      (acc, x) -> CASE WHEN x.p = acc.p OR array_contains(acc.used, x.s) THEN acc ELSE named_struct('p', x.p, 'used', array_append(acc.used, x.s), 'm', array_append(acc.m, x)) END).m"""
-    won = cand.select("doc_id", F.explode(F.expr(fold)).alias("x")).select("doc_id", "x.p", "x.s", F.col("x.no").alias("secondary_no"), (-F.col("x.minus")).alias("score"))
+    won = _assigned(pairs).withColumnRenamed("no", "secondary_no")
 
     out = [F.col("doc_id"), F.col("primary_no"), F.col("secondary_no"), F.col("score"), F.col("status")]
     first, second = (r.where(F.col("side") == s).select(F.col("doc_id").alias("d"), "i", F.col("no").alias(f"{s}_no")) for s in ("primary", "secondary"))

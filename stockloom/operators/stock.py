@@ -64,3 +64,25 @@ def latest_per_group(rows: DataFrame, group: str, *newest_first: str) -> DataFra
     """The newest row of each group; later columns break ties, so the choice never depends on partitions."""
     best = F.max_by(F.struct(*rows.columns), F.struct(*newest_first))
     return rows.groupBy(group).agg(best.alias("r")).select("r.*")
+
+
+def merge_impact(pairs: DataFrame, lines: DataFrame, adjustments: DataFrame, serials: DataFrame) -> DataFrame:
+    """What merging each pair of items would do, in both directions: from_id, to_id, lines_moved, adjustments_moved, serials_moved, stock_from, stock_to,
+    stock_after, shared_serials, blockers. A pair is blocked by a serial that both items have, without regard to case, and by stock below zero afterwards.
+
+    All references are summed once by item and met by two joins, so a pair costs no scan of its own. pairs: a, b; lines and
+    adjustments: item_id, quantity (adjustments go off); serials: item_id, serial."""
+    counted = lambda df, n, q: df.groupBy("item_id").agg(F.count(F.lit(1)).alias(n), F.sum("quantity").alias(q))
+    s = serials.select("item_id", F.upper(F.trim("serial")).alias("serial")).where("serial <> ''")
+    zero = F.lit(0)
+    both = pairs.where("a <> b").select(F.col("a").alias("from_id"), F.col("b").alias("to_id"))
+    both = both.unionByName(both.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"))).distinct()
+    ends = both.select(F.col("from_id").alias("item_id")).distinct()
+    facts = ends.join(counted(lines, "lines", "bought"), "item_id", "left").join(counted(adjustments, "adjustments", "off"), "item_id", "left").join(s.groupBy("item_id").agg(F.count(F.lit(1)).alias("serials")), "item_id", "left")
+    facts = facts.select("item_id", *[F.coalesce(c, zero).alias(c) for c in ("lines", "adjustments", "serials")], (F.coalesce("bought", zero) - F.coalesce("off", zero)).alias("stock"))
+    known = s.distinct()
+    shared = both.join(known.withColumnRenamed("item_id", "from_id"), "from_id").join(known.withColumnRenamed("item_id", "to_id"), ["to_id", "serial"]).groupBy("from_id", "to_id").agg(F.count(F.lit(1)).alias("shared_serials"))
+    out = both.join(facts.withColumnRenamed("item_id", "from_id").withColumnRenamed("stock", "stock_from"), "from_id").join(facts.select(F.col("item_id").alias("to_id"), F.col("stock").alias("stock_to")), "to_id").join(shared, ["from_id", "to_id"], "left")
+    out = out.withColumns({"shared_serials": F.coalesce("shared_serials", zero), "stock_after": F.col("stock_from") + F.col("stock_to")})
+    blockers = F.array_compact(F.array(F.when(F.col("shared_serials") > 0, "shared-serials"), F.when(F.col("stock_after") < 0, "negative-stock")))
+    return out.select("from_id", "to_id", F.col("lines").alias("lines_moved"), F.col("adjustments").alias("adjustments_moved"), F.col("serials").alias("serials_moved"), "stock_from", "stock_to", "stock_after", "shared_serials", blockers.alias("blockers"))
