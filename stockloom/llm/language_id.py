@@ -24,7 +24,6 @@ FAMILIES = {
     "indic": ("bn", "gu", "hi", "mr", "ne", "pa", "ur"),
 }
 ORDERS, BITS = (1, 2, 3, 4), 15
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def family(lang: str) -> str:
@@ -97,7 +96,7 @@ class Model:
                 lang[s + rows] = np.array(langs, object)[who]
                 score[s + rows] = p[rows] * q
         for i, t in enumerate(texts):
-            if not t or not _LETTER.search(t):
+            if not t or not any(map(str.isalpha, t)):  # numbers that are letters by another name, as ½ or Ⅷ, are none
                 lang[i], score[i] = "und", 0.0
         return lang.tolist(), score
 
