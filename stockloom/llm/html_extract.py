@@ -13,14 +13,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Element names of HTML.
-#: Their content is never text.
-SILENT = frozenset("script style noscript template svg math head title iframe object canvas select option datalist textarea button audio video map".split())
+#: What follows is no markup up to their end tag, or to the end of the page, and never text.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+#: Their content is not text either, if they are closed. Where the next of the name begins first, or no end comes, the start tag alone is passed over.
+SILENT = frozenset("noscript template svg object canvas select datalist button audio video map annotation annotation-xml".split())
+#: These stand in one another; their ends are counted.
+NESTED = frozenset("svg object template noscript".split())
 #: They stand inside a line; all other elements end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark meter output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img input label option math mi mo mn ms mtext mspace mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mtable mtr mtd mstyle mfenced menclose mpadded mphantom semantics".split())
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Elements that hold what is not the article. A form may be wrapped around a whole page: an article inside it counts.
-SIDE = frozenset("nav header footer aside form menu dialog fieldset".split())
+#: Elements that hold what is not the article. A form is none: it may be wrapped around a whole page, so what counts is how many words it holds.
+SIDE = frozenset("nav header footer aside menu dialog".split())
 #: Elements that hold the article.
 MAIN = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -28,7 +32,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: They tell of something else than the article wherever a name begins or ends with them.
 SIDE_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored cookie cookies consent gdpr notice popup modal newsletter subscribe subscription sidebar menu navbar navigation nav "
-    "breadcrumb breadcrumbs pagination pager header masthead footer copyright comment comments replies reply disqus respond responses discussion contentinfo complementary".split()
+    "breadcrumb breadcrumbs pagination pager header masthead footer copyright comment comments replies reply disqus respond responses discussion feedback contentinfo complementary".split()
 )
 #: These do so only alone or beside a word for a container.
 WEAK_WORDS = frozenset("share sharing social tag tags search related recommended legal side widget promo promotion promotions login signup".split())
@@ -36,6 +40,7 @@ CONTAINERS = frozenset("list links bar box block buttons widget widgets section
 MAIN_WORDS = frozenset("article post entry story content main body".split())
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
 _HINT = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+_LEGAL = re.compile(r"^(?:©|\(c\)\s*\d|copyright\b)|\ball rights reserved\b", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -69,10 +74,13 @@ class Block:
     side: bool = False
     main: bool = False
     heading: bool = False
+    form: int = 0  # which form it stands in; 0 for none
     words: int = field(init=False)
 
     def __post_init__(self):
         self.words = len(self.text.split())
+        if not self.main and self.words <= 25 and _LEGAL.search(self.text):  # an article may quote such a line
+            self.side = True
 
     @property
     def density(self) -> float:
@@ -81,19 +89,19 @@ class Block:
 
 def blocks(page: str | None) -> list[Block]:
     """Flat text blocks in page order. White space is one space; references are decoded. Unclosed elements are
-    closed by the end of the element around them, and an end without a start is passed over."""
+    closed by the end of the element around them, and an end without a start is passed over. The end tags of head, body and p may be missing."""
     page = page or ""
     out: list[Block] = []
     parts: list[str] = []
     linked: list[str] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # name, inside a side part (1: a form only), inside the article, inside a heading
-    in_link = 0
+    stack: list[tuple[str, bool, bool, bool, int]] = []  # name, inside a side part, inside the article, inside a heading, inside which form
+    in_link = forms = 0
 
     def close():
         text = " ".join("".join(parts).split()) if parts else ""
         if text:
-            _, side, main, heading = stack[-1] if stack else ("", 0, False, False)
-            out.append(Block(text, len("".join(linked).split()) if linked else 0, side > 0, main, heading))
+            _, side, main, heading, form = stack[-1] if stack else ("", False, False, False, 0)
+            out.append(Block(text, len("".join(linked).split()) if linked else 0, side, main, heading, form))
         parts.clear()
         linked.clear()
 
@@ -115,13 +123,14 @@ def blocks(page: str | None) -> list[Block]:
         name = (m[2] or "").lower()
         if not name:
             continue
-        if name in SILENT and not m[1]:
+        if (name in RAW or name in SILENT) and not m[1]:
             if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
+                at = _past(page, name, at)
             if name not in INLINE:
                 close()
             continue
+        if name in RAW or name in SILENT:
+            continue
         if name == "a":
             in_link = 0 if m[1] else 1
             linked.append(" ")
@@ -139,27 +148,55 @@ def blocks(page: str | None) -> list[Block]:
         if name == "p" and stack and stack[-1][0] == "p":
             stack.pop()
         said = marks(" ".join(h.strip("\"'") for h in _HINT.findall(m[3]))) if m[3] and name not in ("html", "body") else (False, False)
-        _, side, main, heading = stack[-1] if stack else ("", 0, False, False)
-        if name in MAIN and side == 1:
-            side = 0
-        here = 2 if name in SIDE and name != "form" or said[0] else int(name == "form")
-        stack.append((name, max(side, here), (main or name in MAIN or said[1]) and not here, heading or name in HEADINGS))
+        _, side, main, heading, form = stack[-1] if stack else ("", False, False, False, 0)
+        here = name in SIDE or said[0]
+        if name == "form":
+            forms = form = forms + 1
+        stack.append((name, side or here, (main or name in MAIN or said[1]) and not here, heading or name in HEADINGS, form))
     close()
     return out
 
 
+@lru_cache(maxsize=64)
+def _ends(name: str) -> re.Pattern:
+    return re.compile(rf"<(/?){re.escape(name)}(?=[\s/>]|$)[^>]*>?", re.I)
+
+
+def _past(page: str, name: str, at: int) -> int:
+    """Where an element without text that began before `at` ends; `at` itself if it is not closed."""
+    depth = 1
+    for m in _ends(name).finditer(page, at):
+        if m[1]:
+            depth -= 1
+            if not depth:
+                return m.end()
+        elif name in NESTED:
+            depth += not m[0].rstrip(">").endswith("/")
+        elif name not in RAW:
+            return at  # the next one begins: this one has no end
+    return len(page) if name in RAW else at
+
+
 #: Features of a block, in this order.
-FEATURES = ("words", "density", "prev_words", "prev_density", "next_words", "next_density", "side", "main", "heading", "any_main", "prev_side", "next_side", "longest_near")
+FEATURES = ("words", "density", "prev_words", "prev_density", "next_words", "next_density", "side", "main", "heading", "any_main", "prev_side", "next_side", "longest_near", "longest", "page_links", "form")
 
 
 def features(found: list[Block]) -> list[tuple]:
     """One tuple per block. Before the first and after the last block stands an empty one that belongs to no article.
-    longest_near: words of the longest block within two places that is mostly no link and in no side part."""
+    longest_near: words of the longest block within two places that is mostly no link and in no side part; longest: that of the whole page. page_links: the
+    share of words in links outside side parts. form: words of the form around the block that are in no side part, 0 without a form."""
+    in_form: dict[int, int] = {}
+    for b in found:
+        in_form[b.form] = in_form.get(b.form, 0) + (0 if b.side else b.words)
+    in_form[0] = 0
+    outside = sum(b.words for b in found if not b.side)
+    page_links = sum(b.links for b in found if not b.side) / outside if outside else 0.0
     any_main = any(b.main and not b.side for b in found)
     own = [(0, 0.0, True), *((b.words, b.density, b.side) for b in found), (0, 0.0, True)]
     plain = [0, 0, *(0 if b.side or b.density > 0.5 else b.words for b in found), 0, 0]
+    longest = max(plain)
     return [
-        (b.words, here[1], p[0], p[1], q[0], q[1], b.side, b.main, b.heading, any_main, p[2], q[2], max(plain[i : i + 2] + plain[i + 3 : i + 5]))
+        (b.words, here[1], p[0], p[1], q[0], q[1], b.side, b.main, b.heading, any_main, p[2], q[2], max(plain[i : i + 2] + plain[i + 3 : i + 5]), longest, page_links, in_form[b.form])
         for i, (b, p, here, q) in enumerate(zip(found, own, own[1:], own[2:], strict=False))
     ]
 
@@ -192,6 +229,21 @@ PAGES = (
     "<header>b5</header><aside><p>b3</p></aside><nav><a>b3</a></nav><p>g30</p><p>g90</p><footer><p>b40</p></footer>",
     "<nav><a>b2</a></nav><aside><p>b60</p></aside><footer>b8</footer>",
     "<div class=modal>b30</div><form><p>b3</p><p>b12</p></form><div class=sidebar><p>b22</p><a>b4</a></div>",
+    # forms: around the whole page, and beside the article
+    "<form><p>g60</p><p>g60</p></form>",
+    "<form><div class=content><p>g60</p><p>g3</p><p>g90</p></div></form><footer>b9</footer>",
+    "<form><nav><a>b2</a></nav><h1>g6</h1><p>g50</p><p>g12</p><p>g70</p></form>",
+    "<p>g60</p><form><p>b9</p><p>b3</p></form><p>g40</p><form>b15</form>",
+    "<main><p>g50</p><form><p>b6</p><p>b4</p></form><p>g60</p></main>",
+    # pages of short texts
+    "<p>g2</p><p>g3</p>",
+    "<p>g4</p>",
+    "<p>g1</p>",
+    "<h1>g2</h1><p>g4</p><p>g3</p><p>g6</p>",
+    "<div>g3</div><div>g5</div><div>g2</div><div>g4</div><div>g1</div>",
+    "<nav><a>b2</a><a>b3</a></nav><p>g3</p><p>g4</p><footer>b4</footer>",
+    "<article><p>g2</p><p>g3</p></article>",
+    "<div><a>b2</a> <a>b3</a></div><p>b2</p><p><a>b3</a></p>",
 )
 LENGTHS = (0.4, 0.7, 1.0, 1.6, 3.0)
 

@@ -189,6 +189,25 @@ def test_held_out_pages():
     assert right / kept > 0.97 and right / gold > 0.97
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>b</title><meta charset=x><body><p>{words(60)}</p>{ART}", f"<html><head><style>b</style>{ART}", f"<div><button></div>{ART}<button>b</button>", f"<video src=x>{ART}", f"<div><svg><svg>b</svg>b</svg></div>{ART}",
+        f"<form><p>{words(60)}</p><p>{words(60)}</p></form>", f"<form><div class=content><p>{words(60)}</p>{ART}</div></form>", "<p>w w</p><p>w w w</p>", "<p>w w w</p>", "w", "<h1>w w</h1><p>w w w w</p>", f"<noscript>b <p>b</p></noscript>{ART}",
+        f"{ART}<p>All rights reserved by b</p>", f"<main>{ART}<div class=user-feedback><p>{words(30, 'b')}</p></div></main>", f"<p>{words(40)}</p><select><option>b<option>b</select><p>{words(30)}</p>", f"<article>{ART}<p>w<math><mi>w</mi></math></p></article>", f"<template><p>b</p></template>{ART}",
+    ],
+)
+def test_no_article_is_lost_or_mixed(page):
+    """Missing end tags, forms around the page, short pages, closing lines: w is the article's, all of it and nothing else."""
+    got = html_extract.main_text(page)
+    assert got and set(got) <= {"w", " "}
+    assert got.count("w") == len(re.findall(r"\bw\b", re.sub("<[^>]*>", " ", page)))
+
+
+def test_an_article_may_quote_a_closing_line():
+    assert html_extract.main_text(f"<article><h1>All rights reserved.</h1>{ART}</article>").startswith("All rights reserved. w")
+
+
 def brute_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
