@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
+from .linear import sigmoid
 from .toxicity import labelled
 
 LEVEL = 3
@@ -20,12 +21,12 @@ BLOCK = 1024
 
 @dataclass
 class Model:
-    """good, bad: dictionaries. cuts, values: the calibration, a step function of the difference."""
+    """good, bad: dictionaries. slope, level: the calibration, a logistic curve of the difference."""
 
     good: bytes
     bad: bytes
-    cuts: np.ndarray
-    values: np.ndarray
+    slope: float
+    level: float
 
     def _tools(self):
         import zstandard as z
@@ -53,7 +54,7 @@ class Model:
 
     def score(self, texts: list) -> np.ndarray:
         d = np.array([self.difference(t) for t in texts])
-        return self.values[np.searchsorted(self.cuts, d, side="right")] if len(texts) else np.zeros(0)
+        return sigmoid(self.slope * d + self.level)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "_made"}
@@ -73,33 +74,37 @@ def _dictionary(texts: list[str], size: int) -> bytes:
 def train(texts: list, y: np.ndarray, size: int = 112_640) -> Model:
     """texts and labels 0 or 1 of a bounded sample. Two thirds make the dictionaries, the rest the calibration."""
     if not len(y) or y.min() == y.max():
-        return Model(b"", b"", np.zeros(0), np.array([0.5 if not len(y) else float(y[0])]))
+        return Model(b"", b"", 0.0, 0.0 if not len(y) else 20.0 if y[0] else -20.0)
     build = np.arange(len(y)) % 3 != 2
     if y[build].min() == y[build].max() or build.all() or y[~build].min() == y[~build].max():
         build[:] = True
-    model = Model(*(_dictionary([t for t, k, b in zip(texts, y, build, strict=True) if b and k == want], size) for want in (1, 0)), np.zeros(0), np.zeros(1))
+    model = Model(*(_dictionary([t for t, k, b in zip(texts, y, build, strict=True) if b and k == want], size) for want in (1, 0)), 0.0, 0.0)
     rest = ~build if not build.all() else build
     d = np.array([model.difference(t) for t, r in zip(texts, rest, strict=True) if r])
-    model.cuts, model.values = _calibrate(d, y[rest])
+    model.slope, model.level = _calibrate(d, y[rest])
     return model
 
 
-def _calibrate(d: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The rising step function closest to the labels, both classes weighing alike: neighbouring steps that fall
-    are pooled until none does. Each step is drawn a little towards one half, so that none is certain."""
-    order = d.argsort(kind="stable")
-    d, y = d[order], y[order]
-    w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    pools: list[list[float]] = []  # first difference, weight, weight of good texts
-    for x, k, v in zip(d.tolist(), y.tolist(), w.tolist(), strict=True):
-        pools.append([x, v, v * k])
-        while len(pools) > 1 and (pools[-2][0] == pools[-1][0] or pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]):
-            _, v1, g1 = pools.pop()
-            pools[-1][1] += v1
-            pools[-1][2] += g1
-    last = [d[np.searchsorted(d, p[0], side="left") - 1] for p in pools[1:]]
-    cuts = np.array([(a + p[0]) / 2 for a, p in zip(last, pools[1:], strict=True)])
-    return cuts, np.array([(g + 1.0) / (v + 2.0) for _, v, g in pools])
+def _calibrate(d: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and level of the logistic curve closest to the labels, both classes weighing alike, so that one half is where a text is as likely
+    of either if both were as common. Labels are drawn in by one text a class, so the curve stays finite where classes do not touch. It rises everywhere: scores keep the order of differences."""
+    good, bad = (y == 1).sum(), (y == 0).sum()
+    target = np.where(y == 1, (good + 1.0) / (good + 2.0), 1.0 / (bad + 2.0))
+    weight = np.where(y == 1, 0.5 / max(1, good), 0.5 / max(1, bad))
+    middle, wide = float(np.median(d)), float(d.std()) or 1.0
+    x = np.stack([(d - middle) / wide, np.ones(len(d))], axis=1)
+    w = np.zeros(2)
+    for _ in range(rounds):
+        p = sigmoid(x @ w)
+        slope = x.T @ (weight * (p - target)) + 1e-6 * w
+        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
+        step = np.linalg.solve(curve, slope)
+        w -= step * min(1.0, 4.0 / max(1e-12, float(np.abs(step).max())))
+        if np.abs(step).max() < 1e-10:
+            break
+    if w[0] <= 0:
+        return 0.0, 0.0  # the dictionaries tell nothing
+    return float(w[0] / wide), float(w[1] - w[0] * middle / wide)
 
 
 def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -44,6 +44,16 @@ def test_quality_of_held_out_texts(spark):
     assert (got.held_out.to_numpy() == (crc_fold(got.doc_id, 3) == 1)).all()
     held = got[got.held_out]
     assert held[held.quality == 1].predicted.mean() > 0.9 and held[held.quality == 0].predicted.mean() < 0.12
+    assert held.score.nunique() > 500  # the order of texts is kept, not only their side
+
+
+def test_quality_scores_keep_the_order_of_differences():
+    d = np.array([-0.3, -0.2, -0.2, -0.1, 0.0, 0.1, 0.15, 0.3])
+    for y in ([0, 0, 0, 0, 1, 1, 1, 1], [0, 1, 0, 0, 1, 0, 1, 1]):
+        m = quality_classifier.Model(b"", b"", *quality_classifier._calibrate(d, np.array(y)))
+        p = 1 / (1 + np.exp(-(m.slope * d + m.level)))
+        assert (np.diff(p)[np.diff(d) > 0] > 0).all() and p[0] < 0.5 < p[-1] and np.isfinite(p).all()
+    assert quality_classifier._calibrate(d, np.array([1, 1, 1, 1, 0, 0, 0, 0])) == (0.0, 0.0)
 
 
 def test_models_take_odd_rows_and_empty_tables(spark):
@@ -57,6 +67,12 @@ def test_models_take_odd_rows_and_empty_tables(spark):
     assert und[1] == und[2] == und[3] == "und"
 
 
+def test_numbers_that_look_like_letters_name_no_language(spark):
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("le chat et le chien", "fr")] * 10 + [("\u00bd", None), ("\u00b2\u00b3", None), ("\u2167", None), ("12 \u00bd a", None), ("\u4eca\u5929", None)])], "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    assert [got[i] for i in (20, 21, 22)] == ["und"] * 3 and got[23] != "und" and got[24] != "und"
+
+
 def test_svm_families_and_pairs():
     families = {language_id.family(x) for x in ("en", "de-AT", "fr", "es", "xx")}
     assert families == {"germanic", "romance", "only:xx"}
