@@ -201,7 +201,7 @@ def three_layers(compared: DataFrame, printed: Column) -> DataFrame:
     away = F.col("disagreements")
     some = F.size(away) > 0
     second = F.when(~F.col("matched"), "unavailable").when(some, "disagree").otherwise("confirmed")
-    why = F.when(~F.col("matched"), "No independent extraction matched this row.").when(some, F.concat(F.lit("Independent extraction disagreed on: "), F.array_join(away, ", "), F.lit("."))).otherwise("")
+    why = F.when(~F.col("matched"), "unmatched").when(some, F.concat(F.lit("differs:"), F.array_join(away, ","))).otherwise("")
     states = []
     for f in FIELDS:
         v = F.col("row")[f]

@@ -503,7 +503,7 @@ def _rendered(spark, d):
 @query(f"""WITH {RENDER_SQL}, c AS (SELECT CASE l_partkey % 5 WHEN 0 THEN 'service' WHEN 1 THEN 'accessory' WHEN 4 THEN 'warranty' ELSE 'equipment' END AS line_class FROM lines)
 SELECT line_class, count(*) AS n FROM c GROUP BY 1""")
 def line_type_classification(spark, d):
-    return _rendered(spark, d).groupBy(authority.line_class("name").alias("line_class")).agg(F.count(F.lit(1)).alias("n"))
+    return authority.line_classes(_rendered(spark, d).select("name"), "name").groupBy("line_class").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""WITH t AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'Projector lens' WHEN 1 THEN 'Amplified speaker' WHEN 2 THEN 'Touch MONITOR' ELSE p_type END AS t FROM part)

@@ -66,7 +66,7 @@ def words_of_blocks(pages: DataFrame, blocks: str = "blocks") -> DataFrame:
 
 def richest_layout(candidates: DataFrame) -> DataFrame:
     """Of several readings of a page (page, origin, words) that with the most words; the first origin among equals."""
-    return candidates.groupBy("page").agg(F.max_by(F.struct("origin", "words"), F.struct(F.size("words"), -F.xxhash64("origin"))).alias("best")).select("page", "best.*")
+    return candidates.groupBy("page").agg(F.min_by(F.struct("origin", "words"), F.struct(-F.size("words"), F.col("origin"))).alias("best")).select("page", "best.*")
 
 
 def _paragraphs(content: bytes) -> str:

@@ -172,9 +172,9 @@ def test_page_authority(spark):
     pages = [(1, 1, "TAX INVOICE\nqty amount total"), (1, 2, "more lines"), (1, 3, "Purchase Order\nqty unit price total"), (1, 4, "more"), (2, 1, "lines only"), (2, 2, "Invoice\nPurchase order ref: 7")]
     df = spark.createDataFrame(pages, "doc long, page int, text string").withColumn("mark", authority.page_marks("text"))
     assert [r.allowed for r in authority.page_authority(df, "doc", "page", "mark").orderBy("doc", "page").collect()] == [True, True, False, False, False, True]
-    names = ["Mic stand", "Supply and install projector installation", "Wall mount bracket", "Projector 4k", "Extended warranty", "Chair", None]
-    got = spark.createDataFrame([(n,) for n in names], "t string").select(authority.line_class("t").alias("c")).collect()
-    assert [r.c for r in got] == ["equipment", "service", "accessory", "equipment", "warranty", "uncertain", "uncertain"]
+    names = ["Mic stand", "Supply and install projector", "Installation of projector", "Wall mount bracket", "Projector 4k", "Extended warranty", "Chair", None]
+    got = spark.createDataFrame([(n,) for n in names], "t string").transform(authority.line_classes, "t", "c").collect()
+    assert [r.c for r in got] == ["equipment", "equipment", "service", "accessory", "equipment", "warranty", "uncertain", "uncertain"]
     content = spark.createDataFrame([(1, "service", False), (1, "x", True), (2, "service", False), (3, "x", False), (4, "noninventory", True)], "doc_id long, class string, strong boolean")
     assert dict(rows(authority.content_authority(content))) == {1: "equipment", 2: "service", 3: "uncertain", 4: "noninventory"}
 

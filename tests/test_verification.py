@@ -82,7 +82,7 @@ def test_two_readings_and_three_layers(spark):
     assert [(r.layer_two, r.human_review, r.core_verified) for r in got] == [("confirmed", False, True), ("unavailable", True, False), ("disagree", True, False), ("disagree", True, True)]
     assert [r.evidence.quantity for r in got] == ["confirmed", "confirmed", "uncertain", "confirmed"]
     assert got[2].row.sku is None and got[2].row.quantity == 2.0 and got[2].evidence.sku == "not_found" and got[3].evidence.serials == "not_found"
-    assert got[1].reason.startswith("No independent") and got[3].reason == "Independent extraction disagreed on: serials."
+    assert got[1].reason == "unmatched" and got[3].reason == "differs:serials"
 
 
 def test_titles_of_pages(spark):
