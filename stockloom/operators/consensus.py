@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.economics import complete, econ_ok, within
 from ..functions.keys import clean, evidence_identity_key
+from ..sources.cut import cut
 
 # Points of a row and of a set.
 ROW_POINTS = {"description": 18, "no_description": -50, "sku": 10, "econ_ok": 42, "econ_conflict": -70, "econ_incomplete": -18, "layout": 12, "economic": 12, "provenance": 8, "review": -45, "non_inventory": -100, "metadata": -120}
@@ -36,7 +37,16 @@ def assess_rows(rows: DataFrame) -> DataFrame:
 def assess_sets(rows: DataFrame, subtotals: DataFrame | None = None) -> DataFrame:
     """Per document and origin the score of its set. Agreement looks at each other origin's first row of the same
     identity: one reading per origin, so a set cannot support itself. subtotals: doc_id, subtotal."""
-    r = assess_rows(rows)
+    return _score_sets(_assessed(rows), subtotals)
+
+
+def _assessed(rows: DataFrame) -> DataFrame:
+    """Rows with their identity and points, written once: every branch of the sums reads these few columns."""
+    keep = ("doc_id", "origin", "ordinal", "quantity", "unit_price", "amount", "identity", "points", "econ_ok", "econ_complete", "needs_review")
+    return cut(assess_rows(rows).select(*keep), "assessed")
+
+
+def _score_sets(r: DataFrame, subtotals: DataFrame | None) -> DataFrame:
     first = r.where("identity <> ''").groupBy("doc_id", "identity", "origin").agg(F.min(F.struct("ordinal", "quantity", "unit_price", "amount")).alias("h"))
     first = first.select("doc_id", "identity", F.col("origin").alias("other"), "h.quantity", "h.unit_price", "h.amount")
     mine = r.where("identity <> ''").select("doc_id", "identity", "origin", "ordinal", *[F.col(c).alias(f"m_{c}") for c in ("quantity", "unit_price", "amount")])
@@ -77,8 +87,9 @@ def rank_sets(sets: DataFrame) -> DataFrame:
 
 def verdicts(rows: DataFrame, subtotals: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """Per document the winner, and accepted or review with the reasons. Accepted means that every row's arithmetic holds."""
-    best = rank_sets(assess_sets(rows, subtotals))
-    r = assess_rows(rows).join(best.select("doc_id", "origin"), ["doc_id", "origin"])
+    assessed = _assessed(rows)
+    best = rank_sets(_score_sets(assessed, subtotals))
+    r = assessed.join(best.select("doc_id", "origin"), ["doc_id", "origin"])
     why = F.when(F.col("econ_complete") & ~F.col("econ_ok"), "economic-mismatch").when(F.col("needs_review"), "structural-review").when(~F.col("econ_complete"), "incomplete-economics")
     judged = r.groupBy("doc_id").agg(F.sort_array(F.collect_set(why)).alias("row_reasons"), F.sum(F.when(why.isNull(), F.col("amount").cast("decimal(18,2)"))).alias("accepted_sum"))
     out = best.join(judged, "doc_id")

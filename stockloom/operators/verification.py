@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.economics import econ_ok
 from ..functions.keys import clean, compact, norm, squeeze
-from .parsers import word_runs
+from ..sources.cut import cut
+from .parsers import once, word_runs
 
 # Words and forms that decide the verdicts, matched without case.
 EQUIPMENT = r"\b(?:projectors?|microphones?|mics?|speakers?|loudspeakers?|controllers?|control panels?|keypads?|cameras?|mixers?|displays?|monitors?|transmitters?|receivers?|screens?|wireless systems?|amplifiers?|pre\s*amplifiers?|preamplifiers?|processors?|switchers?|visualizers?|document cameras?|consoles?|players?|receptacles?|audio testers?|signal testers?|testers?|analyzers?|analysers?|meters?|dsp|video processors?|matrix|scalers?|nvr|dvr|network video recorders?|digital video recorders?)\b"
@@ -111,7 +112,8 @@ def proven_rows(rows: DataFrame, lines: DataFrame, key: str = "doc_id") -> DataF
     row without a quantity above zero needs no printed one. Rows and lines meet by equality of a code or word inside a document; null keys meet nothing."""
     w = Window.partitionBy(key).orderBy("page", "line_no")
     near = F.concat_ws(" ", F.lag("line", 1).over(w), F.col("line"), F.lead("line", 1).over(w), F.lead("line", 2).over(w))
-    around = lines.select(key, "page", "line_no", "line", near.alias("near")).where(F.regexp_count("near", F.lit(PRICE)) >= 2)
+    around = lines.select(key, "page", "line_no", "line", near.alias("near"))
+    around = cut(once(around, prices=F.regexp_count("near", F.lit(PRICE))).where("prices >= 2").drop("prices"), "around")  # three joins read it
     words = F.array_distinct(F.filter(F.split(norm("item_name"), " "), lambda t: (F.length(t) >= 3) & ~t.isin(*SMALL_WORDS)))
     q = F.col("quantity").cast("double")
     number = F.when(q > 0, F.when(q == F.floor(q), q.cast("long").cast("string")).otherwise(q.cast("string")))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.economics import econ_ok
 from ..operators import authority, parsers
 from ..operators import verification as v
+from ..sources.cut import cut
 from ..sources.views import table
 from .documents import LINES_SQL, _lines
 from .queries import query
@@ -83,7 +84,7 @@ def _texts(rows):
 
 
 def _proven(spark, d):
-    rows = _rows(spark, d)
+    rows = cut(_rows(spark, d), "rows")
     proof = v.proven_rows(rows, parsers.lines_of(_texts(rows))).select("doc_id", "row_no", "line_no")
     return rows.join(proof, ["doc_id", "row_no"], "left").withColumn("proven", F.col("line_no").isNotNull())
 
