@@ -1,8 +1,10 @@
 """Operators on small literal tables: the acceptance scenario, negative cases and invariants."""
 
 import datetime
+import math
 import os
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -69,42 +71,62 @@ def test_matching_against_the_catalogue(spark):
         5: ("no-identity", None), 6: ("same-normalized-name", 4), 7: ("no-existing-match", None),
     }
     top = resolve.fuzzy_top(lines.where("line_id = 4").withColumn("sku", F.lit("CD-Z")), cat).orderBy("rank").collect()
-    assert top[0].rank == 1 and top[0].item_id == 2 and top[0].status == "confirmed" and [r.item_id for r in top] == [2, 3]
+    assert top[0].rank == 1 and top[0].item_id == 2 and top[0].status == "confirmed" and [r.item_id for r in top] == [2, 3, 1]
     none = resolve.fuzzy_top(lines.where("line_id = 5"), cat).collect()
     assert [(r.line_id, r.rank, r.item_id, r.status) for r in none] == [(5, 1, None, "rejected")]
 
 
-def test_fuzzy_matches_equal_brute_force(spark):
-    from stockloom.functions.keys import CONFUSABLE_FROM, CONFUSABLE_TO
-    from stockloom.functions.similarity import _distance
+def _plain_top(lines, items, keep=3):
+    """All items scored for every line, one by one."""
+    from stockloom.functions.similarity import STOP_WORDS, _distance
 
-    rng = random.Random(3)
-    items = [(i, "".join(rng.choice("AB01O8I") for _ in range(rng.randint(3, 6))), rng.choice(["Wall Lamp", "Desk Lamp", "Stand"])) for i in range(60)]
-    lines = [(i, "".join(rng.choice("AB01O8I") for _ in range(rng.randint(0, 6))), rng.choice(["Wall Lamp", "wall lmp", ""])) for i in range(40)]
+    bare = lambda x: re.sub("[^A-Z0-9]+", "", (x or "").upper())
+    words = lambda x: {w for w in re.sub("[^a-z0-9]+", " ", (x or "").lower()).split() if len(w) >= 3 and w not in STOP_WORDS}
+    once = {}
+    for j, other, title in sorted(items):
+        if bare(other):
+            once.setdefault(bare(other), (j, words(title)))
+    out = {}
+    for i, sku, name in lines:
+        k, own, scored = bare(sku), words(name), []
+        for other, (j, title) in once.items() if k else ():
+            near = len(own & title) / max(len(own), len(title)) if own and title else 0.0
+            like = max(0.0, 1 - round(_distance(k, other) * 20) / 20 / max(len(k), len(other)))
+            scored.append((-(100.0 if k == other else math.floor(min(100.0, like * 85 + near * 12) * 10 + 0.5) / 10), j))
+        out[i] = [(n + 1, j, -x) for n, (x, j) in enumerate(sorted(scored)[:keep])] or [(1, None, None)]
+    return out
+
+
+def _fuzzy(spark, lines, items):
     got = {}
-    for r in resolve.fuzzy_top(spark.createDataFrame(lines, "line_id long, sku string, item_name string"), spark.createDataFrame(items, "id long, sku string, item_name string")).collect():
+    lines, items = spark.createDataFrame(lines, "line_id long, sku string, item_name string"), spark.createDataFrame(items, "id long, sku string, item_name string")
+    for r in resolve.fuzzy_top(lines, items).collect():
         got.setdefault(r.line_id, []).append((r.rank, r.item_id, r.score))
+    return {i: sorted(x) for i, x in got.items()}
 
-    def plain(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            row, last = [i] + row[1:], row
-            for j, y in enumerate(b, 1):
-                row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (x != y))
-        return row[-1]
 
-    fold = str.maketrans(CONFUSABLE_FROM, CONFUSABLE_TO)
-    words = lambda x: {w for w in x.lower().split() if len(w) >= 3}
-    for i, sku, name in lines:
-        scored = []
-        for j, other, title in items:
-            if sku and (sku == other or plain(sku.translate(fold), other.translate(fold)) <= 1):
-                a, b = words(name), words(title)
-                near = len(a & b) / max(len(a), len(b)) if a and b else 0.0
-                scored.append((-(100.0 if sku == other else round(max(0.0, 1 - _distance(sku, other) / max(len(sku), len(other))) * 85 + near * 12 + 1e-9, 1)), j))
-        want = [(k + 1, j, -x) for k, (x, j) in enumerate(sorted(scored)[:3])] or [(1, None, None)]
-        assert [(r, j) for r, j, _ in sorted(got[i])] == [(r, j) for r, j, _ in want]
-        assert all(x == y or abs(x - y) < 0.11 for (_, _, x), (_, _, y) in zip(sorted(got[i]), want, strict=True))
+@pytest.mark.parametrize("blocks", [(4096, 16384), (11, 90)])
+def test_fuzzy_matches_equal_brute_force(spark, monkeypatch, blocks):
+    from stockloom.operators import nearest
+
+    monkeypatch.setattr(nearest, "ASKED", blocks[0])
+    monkeypatch.setattr(nearest, "ITEMS", blocks[1])
+    rng = random.Random(3)
+    sku = lambda low, high: "".join(rng.choice("AB01O8IZ2G6-") for _ in range(rng.randint(low, high)))
+    items = [(i, sku(3, 14), rng.choice(["Wall Lamp", "Desk Lamp", "Stand for the Desk", "Ceiling Mount Arm", None])) for i in range(400)]
+    lines = [(i, sku(0, 14), rng.choice(["Wall Lamp", "wall lmp", "", "arm of ceiling", None])) for i in range(60)]
+    lines += [(100 + i, x, y) for i, (_, x, y) in enumerate(rng.sample(items, 20))] + [(200, None, "Wall Lamp"), (201, "A" * 3000, "Desk Lamp")]
+    assert _fuzzy(spark, lines, items) == _plain_top(lines, items)
+
+
+def test_fuzzy_matches_edges(spark):
+    assert _fuzzy(spark, [(1, "ABCD1234EF", "Wall Lamp")], [(5, "ABCD12XYEF", "Wall Lamp")]) == {1: [(1, 5, 80.0)]}  # two edits, an equal name
+    assert _fuzzy(spark, [(1, "ab-1", "x"), (2, "", "x")], []) == {1: [(1, None, None)], 2: [(1, None, None)]}
+    assert _fuzzy(spark, [], [(5, "A1", "x")]) == {}
+    copies = [(9, "AB-1", "Lamp"), (7, "ab1", "Other"), (8, "AB2", "Lamp"), (6, None, "Lamp")]  # one sku counts once, the smallest id
+    assert _fuzzy(spark, [(1, "AB1", "Lamp"), (2, "AB1", "Lamp")], copies) == {i: [(1, 7, 100.0), (2, 8, round(85 * 2 / 3 + 12, 1))] for i in (1, 2)}
+    far = resolve.fuzzy_top(spark.createDataFrame([(1, "AB1", "x")], "line_id long, sku string, item_name string"), spark.createDataFrame([(3, "AB2", "x"), (2, "QQ7", "x")], "id long, sku string, item_name string"))
+    assert [(r.item_id, r.score, r.margin, r.status) for r in far.orderBy("rank").collect()] == [(3, 56.7, 56.7, "rejected"), (2, 0.0, 0.0, "rejected")]
 
 
 def test_look_alikes_equal_brute_force(spark):
