@@ -136,14 +136,14 @@ def _path(hist: list, steps: tuple[float, ...]) -> list[list[float]]:
 def holdout_counts(base: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple[DataFrame, list[list[float]], int]:
     """Counts by stratum of the labelled documents that each step rejects; the cutoffs of the steps; the last step of use.
 
-    One labelled document in four tunes the path, all strata together, and counts no further; the rest are the holdout."""
+    One labelled document in four tunes the path, all strata together, and counts no further; the rest are the holdout. A document
+    is one trial in a stratum however many rows it has, with the largest value of each rule among them."""
     lab = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("_y")).where("_y IN (0, 1) AND doc_id IS NOT NULL")
     lab = lab.groupBy("doc_id").agg(F.max("_y").alias("_y"))
     values = rule_values()
-    hold = base.where(~base_failed()).join(lab, "doc_id").select(
-        "stratum", F.col("_y").alias("y"), (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4)) == 0).alias("tune"), *[values[r].alias(r) for r in RULES]
-    )
-    hold = materialize(hold, "holdout")
+    rows = base.where(~base_failed()).join(lab, "doc_id").select("doc_id", "stratum", F.col("_y").alias("y"), *[values[r].alias(r) for r in RULES])
+    hold = rows.groupBy("doc_id", "stratum", "y").agg(*[F.max(r).alias(r) for r in RULES])  # numbers only
+    hold = materialize(hold.withColumn("tune", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4)) == 0).drop("doc_id"), "holdout")
     bins = F.array(*[F.floor(F.log2(F.col(r) + F.lit(_ZERO)) * F.lit(float(_BINS))).cast("int") for r in RULES])
     hist = hold.where("tune").select("y", F.posexplode(bins).alias("r", "bin")).groupBy("r", "bin", "y").agg(F.count(F.lit(1)).alias("n"))
     path = _path([r.asDict() for r in hist.collect()], STEPS)  # some thousand rows at most: bins, not documents
@@ -167,44 +167,60 @@ def learn_cutoffs(base: DataFrame, labels: DataFrame, risk: float = 0.03, delta:
     A path of rule sets, each step stricter than the one before in every rule, and its last step of use come from the tuning
     documents. On the holdout of a stratum the steps are tested in that order, all rules together, until the exact binomial upper bound
     (Clopper-Pearson) of the share of good documents rejected is above `risk`; a fixed sequence needs no
-    correction. Strata share the error probability `delta` in equal parts (Bonferroni). So with probability 1 - delta no stratum
-    loses more than `risk` of the good documents that pass the base test. Strata whose good documents are too few to
-    certify anything are pooled into one, which is tested alike; its guarantee holds for the pool as a whole. The counts are a
-    few numbers a stratum; bounds are computed on executors.
+    correction. Strata that have enough good documents to certify a step without errors share the error probability `delta` in equal
+    parts (Bonferroni; these numbers say nothing of the errors, so that choice costs nothing). So with probability 1 - delta no stratum
+    loses more than `risk` of the good documents that pass the base test. Any other stratum is left at the base test: no stratum
+    answers for another one. The bound takes documents as independent; exact copies under other ids are trials of their own, so where
+    a stratum is full of them it is as sure as its number of different texts. The counts are a few numbers a stratum; bounds are computed on executors.
     """
     counts, path, best = holdout_counts(base, labels, label_col)
     counts = materialize(counts, "strata")
-    per = delta / max(1, counts.count() + 1)
-    need = math.ceil(math.log(per) / math.log1p(-risk))
-    pool = F.when(F.col("n_1") >= need, F.col("stratum")).otherwise(F.lit("*"))
-    counts = counts.withColumn("pool", pool)
-    sums = counts.groupBy("pool").agg(*[F.sum(c).alias(c) for c in counts.columns if c not in ("stratum", "pool")])
+    tested, per = _shares(counts, risk, delta)
 
     def certify(frames):
         for f in frames:
             rows = []
             for row in f.to_dict("records"):
                 level, bound = -1, 0.0
-                for t in range(best + 1):
+                for t in range(best + 1 if row["n_1"] >= tested else 0):
                     up = upper_bound(int(row[f"f{t}_1"]), int(row["n_1"]), per)
                     if up > risk:
                         break
                     level, bound = t, up
                 cuts = path[level] if level >= 0 else [math.inf] * len(RULES)
                 rejected = [int(row[f"f{level}_{y}"]) if level >= 0 else 0 for y in (0, 1)]
-                rows.append((row["pool"], *cuts, int(row["n_1"]), int(row["n_0"]), *rejected, bound))
-            yield pd.DataFrame(rows, columns=["pool", *RULES, "n_good", "n_bad", "bad_rejected", "good_rejected", "bound"])
+                rows.append((row["stratum"], *cuts, int(row["n_1"]), int(row["n_0"]), *rejected, bound))
+            yield pd.DataFrame(rows, columns=["stratum", *RULES, "n_good", "n_bad", "bad_rejected", "good_rejected", "bound"])
+
+    schema = "stratum string, " + ", ".join(f"{r} double" for r in RULES) + ", n_good long, n_bad long, bad_rejected long, good_rejected long, bound double"
+    return counts.mapInPandas(certify, schema)
+
+
+def _shares(counts: DataFrame, risk: float, delta: float) -> tuple[int, float]:
+    """The least number of good documents of a stratum that is tested, and its share of the error probability.
+
+    Without errors a stratum needs log(share) / log(1 - risk) good documents. The number of strata that have as many falls as more of them share,
+    so the largest number m of which at least m have enough for a share of delta / m is found by halving: some counts of a table of strata."""
+
+    def need(m):
+        return math.ceil(math.log(delta / m) / math.log1p(-risk))
+
+    def able(m):
+        return counts.where(F.col("n_1") >= need(m)).count()
 
-    schema = "pool string, " + ", ".join(f"{r} double" for r in RULES) + ", n_good long, n_bad long, bad_rejected long, good_rejected long, bound double"
-    return counts.select("stratum", "pool").join(sums.mapInPandas(certify, schema), "pool")
+    low, high = 1, max(1, able(1))
+    while low < high:
+        m = (low + high + 1) // 2
+        low, high = (m, high) if able(m) >= m else (low, m - 1)
+    return need(low), delta / max(1, able(low))
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
     """One row per row of docs: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
     kept is false if the base test fails or a rule's value is above its stratum's certified cutoff. Null
-    and empty texts have no words and fail the base test. A stratum without labelled documents, and every stratum of a
-    corpus with too few in all to certify anything, rejects by the base test only. Repeated rows are judged alike;
+    and empty texts have no words and fail the base test. A stratum with no labelled documents, or too few to certify
+    anything, rejects by the base test only. Repeated rows are judged alike;
     null ids have no label but are judged like others. Strata are languages.
     """
     base = materialize(add_base(docs), "base-counts")  # some numbers a document: texts are split once

@@ -9,6 +9,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from stockloom.llm import bpe, html_extract, mixing, quality_rules, suffix_dedup
 
@@ -268,6 +269,53 @@ def test_cutoffs_reject_bad_and_spare_good(spark):
     assert all(r.kept != r.base_failed for r in empty) and quality_rules.quality_verdicts(d.limit(0), lab).count() == 0
 
 
+def test_cutoffs_equal_plain_tests_of_every_stratum(spark):
+    """Trials counted one by one; a step holds if a stratum at the risk would show as few errors only with its share of delta."""
+    docs, labels = labelled_corpus(5, 3000)
+    for i in range(3000):
+        docs[i] = (*docs[i][:2], ("en", "fr", "tiny")[0 if i % 3 else 2 if i % 60 == 3 else 1], *docs[i][3:])
+    docs += docs[:900] * 2  # rows again are no further trials
+    d, lab = spark.createDataFrame(docs, DOC), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    base = quality_rules.add_base(d)
+    _, path, best = quality_rules.holdout_counts(base, lab)
+    values = quality_rules.rule_values()
+    rows = base.where(~quality_rules.base_failed()).select("doc_id", "stratum", (F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(4)) == 0).alias("tune"), *[values[r].alias(r) for r in quality_rules.RULES]).collect()
+    y = {i: q for i, q, _ in labels}
+    good = {}
+    for r in rows:
+        if not r.tune and y.get(r.doc_id) == 1:
+            good.setdefault(r.stratum, {})[r.doc_id] = [r[x] for x in quality_rules.RULES]
+
+    def tail(k, n, p):
+        return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+
+    m = max(k for k in (1, 2, 3) if k == 1 or sum(tail(0, len(x), 0.03) <= 0.05 / k for x in good.values()) >= k)
+    able = [s for s, x in good.items() if tail(0, len(x), 0.03) <= 0.05 / m]
+    got = {r.stratum: r for r in quality_rules.learn_cutoffs(base, lab).collect()}
+    assert set(got) == {"=en", "=fr", "=tiny"} and "=en" in able and "=tiny" not in able and best >= 0
+    for s, x in good.items():
+        level = -1
+        for t in range(best + 1) if s in able else ():
+            errors = sum(any(v > c for v, c in zip(row, path[t], strict=True)) for row in x.values())
+            if tail(errors, len(x), 0.03) > 0.05 / len(able):
+                break
+            level = t
+        assert [got[s][r] for r in quality_rules.RULES] == (path[level] if level >= 0 else [math.inf] * 5) and got[s].n_good == len(x)
+
+
+def test_no_stratum_answers_for_another(spark):
+    docs, labels = labelled_corpus(3, 6000)
+    odd = [(7000 + i, " ".join("#####" + chr(97 + (i + j) % 26) * 3 for j in range(20)), f"x{i % 3}", "s", 1) for i in range(60)]  # good, with many signs
+    d, lab = spark.createDataFrame(docs + odd, DOC), spark.createDataFrame(labels + [(7000 + i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    got = quality_rules.quality_verdicts(d, lab).where("doc_id >= 7000").collect()
+    assert len(got) == 60 and all(r.kept for r in got)
+    again = spark.createDataFrame([x for x in odd if x[2] == "x0"] * 40, DOC)  # 20 documents, 800 rows
+    cuts = quality_rules.learn_cutoffs(quality_rules.add_base(again), lab).collect()
+    assert [r.n_good <= 20 and math.isinf(r.symbols_per_word) for r in cuts] == [True]
+    clash = d.withColumns({"n_words": F.lit(1), "stratum": F.lit("z"), "kept": F.lit(False), "y": F.lit(0)})  # columns of these names change nothing
+    assert sorted(quality_rules.quality_verdicts(clash, lab).where("doc_id >= 7000").collect()) == sorted(got)
+
+
 MIX_ROWS = [(i, "w " * (i % 23), "en", f"s{i % 5}" if i % 7 else None, 1) for i in range(400)] + [(500, None, "en", "s1", 1), (501, "big " * 5000, "en", "s2", 1), (502, "x", "en", "S", 1), (None, "y z", "en", "s0", 1)]
 
 
