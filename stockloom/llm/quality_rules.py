@@ -16,8 +16,9 @@ SYMBOLS = b"#*$%&|<>"
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 #: A document fails a rule when its value is above the cutoff.
 RULES = ("symbols_per_word", "dup_line_share", "repeat_word_share", "chars_per_word", "words_per_char")
-#: Shares of the good tuning documents that a rule alone may reject, loosest first: the steps of the path.
-STEPS = (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01)
+#: The steps of the path, loosest first: the share of the good tuning documents that a rule alone may reject, and by how many doublings of
+#: the value its cutoff lies beyond them. Steps with such a margin hold where few documents tune the path.
+STEPS = ((0.0, 0.5), (0.0, 0.125), *((x, 0.0) for x in (0.0, 0.0005, 0.001, 0.002, 0.003, 0.005, 0.0075, 0.01)))
 #: Values are counted by 64 bins a doubling; zero is in the lowest one.
 _BINS, _ZERO = 64, 2.0**-10
 
@@ -109,11 +110,11 @@ def upper_bound(errors: int, n: int, delta: float) -> float:
     return hi
 
 
-def _path(hist: list, steps: tuple[float, ...]) -> list[list[float]]:
+def _path(hist: list, steps: tuple[tuple[float, float], ...]) -> list[list[float]]:
     """Cutoffs of each rule at each step, from rows (rule, bin, label, count) of the tuning documents: the least bin edge above
     which lies no more than the step's share of good documents; none where the rule would reject hardly more of the bad."""
     out = []
-    for step in steps:
+    for step, margin in steps:
         cuts = []
         for r in range(len(RULES)):
             count = {y: {} for y in (0, 1)}
@@ -126,7 +127,7 @@ def _path(hist: list, steps: tuple[float, ...]) -> list[list[float]]:
                 if not good or above[1] > step * good:
                     break
                 useful = bad and above[0] / bad > 2 * above[1] / good
-                cut = 2.0 ** ((edge + 1) / _BINS) - _ZERO if useful else math.inf
+                cut = 2.0 ** ((edge + 1) / _BINS + margin) - _ZERO if useful else math.inf
                 above = [above[y] + count[y].get(edge, 0) for y in (0, 1)]
             cuts.append(cut)
         out.append(cuts)
