@@ -9,7 +9,8 @@ the suffixes that start where its known prefix ends, and its parts again, until
 2. The contexts of anchors that occur again meet by anchor and are refined there. Strings are removed only where their N bytes
    have been compared and agree; hashes choose who meets whom and decide nothing.
 
-Contexts that are equal byte by byte collapse early, in the task that reads the texts and again where they meet.
+The task that reads the texts refines its own slice first, so that runs whose strings all repeat within it do not travel. Where contexts
+meet, those equal byte by byte as a whole are one bucket at once, and the others are refined.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ _BYTE = np.random.default_rng(1729).integers(1, 2**63, 256, dtype=np.uint64) * n
 #: Bytes that are hashed at a time; parts overlap by a string, and each string starts in one part. A run that
 #: such a border cuts is two runs with one anchor. Places take 22 bits beside a hash, whatever the length of the part.
 CHUNK, _PLACE = 1 << 20, np.uint64((1 << 22) - 1)
-#: Bytes of texts (or one longer text) whose equal contexts collapse before they travel.
+#: Bytes of texts (or one longer text) that are refined together before anything travels.
 SLICE = 4 << 20
 #: At most so many anchors are dealt over several tasks; their list is sent to every executor (16 bytes each).
 MOST_HOT = 2_000_000
@@ -155,6 +156,43 @@ def _spread(doc: np.ndarray, s: np.ndarray) -> np.ndarray:
     return _mix(doc.view(np.uint64) * np.uint64(_ODD) ^ s.astype(np.uint64)).view(np.int64)
 
 
+def known_runs(raw: bytes, starts: np.ndarray, rank: np.ndarray, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, n_bytes: int, most: int = SLICE) -> np.ndarray:
+    """Which runs of a slice need not travel: all their strings also start earlier in the slice, by the same refinement of buckets as where
+    contexts meet. Runs whose anchor occurs again in the slice are looked at; their contexts overlap, and each byte is taken once.
+
+    starts, rank: first byte of each document and its number in the order of documents; h, lo, hi: hash of the anchor, first and last start
+    of a run. Refines some `most` bytes at a time; strings that such a cut parts travel and meet later."""
+    by = np.argsort(h, kind="stable")
+    again = np.append(False, h[by][1:] == h[by][:-1])
+    met = np.sort(by[again | np.append(again[1:], False)])
+    if not len(met):
+        return np.zeros(len(h), bool)
+    of = np.searchsorted(starts, lo[met], side="right") - 1
+    gap = np.append(True, (lo[met][1:] > hi[met][:-1] + n_bytes) | (of[1:] != of[:-1]))  # stretches of one document
+    s, e = lo[met][gap], (hi[met] + n_bytes)[np.append(gap[1:], True)]
+    long = np.maximum(1, -(-(e - s - n_bytes + 1) // most))  # a long stretch is cut; its parts overlap by a string
+    part = np.arange(int(long.sum())) - np.repeat(np.cumsum(long) - long, long)
+    s, e, of = np.repeat(s, long) + part * most, np.repeat(e, long), np.repeat(of[gap], long)
+    e = np.minimum(e, s + most + n_bytes - 1)
+    reach = np.cumsum(e - s)
+    repeats = np.zeros(len(raw) + 1, np.int32)
+    at = 0
+    while at < len(s):
+        to = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most, side="right")))
+        ends = np.cumsum(e[at:to] - s[at:to])
+        found, group = refine(b"".join([raw[a:b] for a, b in zip(s[at:to].tolist(), e[at:to].tolist(), strict=True)]), ends, n_bytes)
+        if len(found):
+            k = np.searchsorted(ends, found, side="right")
+            where = s[at:to][k] + found - np.append(0, ends[:-1])[k]
+            place = rank[of[at:to][k]] * (len(raw) + 1) + where - starts[of[at:to][k]]
+            new = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+            least = np.repeat(np.minimum.reduceat(place, new), np.diff(np.append(new, len(group))))
+            repeats[where[place != least] + 1] = 1
+        at = to
+    repeats = np.cumsum(repeats)
+    return repeats[hi + 1] - repeats[lo] == hi + 1 - lo
+
+
 _ANCHORS = "h long, doc long, tie long, lo int, more int, again boolean"
 
 
@@ -183,11 +221,11 @@ def _anchors(n_bytes: int, q: int, chunk: int, bits: int):
                 del found, inside, edge
                 at = np.searchsorted(ends, lo, side="right")
                 doc, tie, start = ids[row + at], ties[row + at], lo - starts[at]
-                more, words = hi - lo, words_at(raw)
-                key = words[lo].astype(np.uint64) ^ _mix(words[hi + n_bytes - 8].astype(np.uint64) + more.astype(np.uint64)) if n_bytes >= 8 else _spread(doc, start).view(np.uint64)
-                first, later = first_of([h, more, key & few], [doc, tie, start])
-                again = np.flatnonzero(later)
-                again = again[same_bytes(words, lo[again], lo[first[again]], more[again] + n_bytes)]
+                more = hi - lo
+                own = np.lexsort((ties[row : row + len(ends)], ids[row : row + len(ends)])) + row
+                rank = np.empty(len(ends), np.int64)
+                rank[own - row] = np.cumsum(np.append(0, (ids[own][1:] != ids[own][:-1]) | (ties[own][1:] != ties[own][:-1])))
+                again = np.flatnonzero(known_runs(raw, starts, rank, h, lo, hi, n_bytes))
                 rest = np.ones(len(h), bool)
                 rest[again] = False
                 d, t, s, e = united(doc[again], tie[again], start[again], start[again] + more[again] + n_bytes)

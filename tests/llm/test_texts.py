@@ -56,6 +56,32 @@ def test_suffix_dedup_equals_brute_force(spark, n, kw):
     assert sorted(tuple(r) for r in suffix_dedup.dedup_digests(df, n, **kw).collect()) == brute_removed(rows, n)
 
 
+@pytest.mark.parametrize("most", [40, 1 << 20])
+def test_slices_find_their_own_repeats_by_refinement(most):
+    rng, n = np.random.default_rng(5), 24
+    base = bytes(rng.integers(97, 101, 400, dtype=np.uint8))
+    docs = [base[:150], b"", base[100:300] + base[:90], b"a" * 120, base[50:200], base[50:200], b"x", b"a" * 60]
+    order = np.array([3, 3, 1, 0, 4, 4, 5, 2])  # the fifth and sixth are one row twice
+    raw, ends = b"".join(docs), np.cumsum([len(d) for d in docs])
+    starts = np.append(0, ends[:-1])
+    inside = np.zeros(len(raw), bool)
+    for a, e in zip(starts, ends, strict=True):
+        inside[a : max(a, e - n + 1)] = True
+    h, lo, hi = suffix_dedup.runs_of(np.frombuffer(raw, np.uint8), inside, n, 6)
+    known = suffix_dedup.known_runs(raw, starts, order, h, lo, hi, n, most)
+    first = {}
+    for d, k in sorted(((d, k) for d in range(len(docs)) for k in range(len(docs[d]) - n + 1)), key=lambda x: (order[x[0]], x[1])):
+        first.setdefault(docs[d][k : k + n], (order[d], k))
+
+    def repeats(i):
+        d = int(np.searchsorted(ends, i, side="right"))
+        return first[raw[i : i + n]] != (order[d], i - starts[d])
+
+    expected = np.array([all(repeats(i) for i in range(a, b + 1)) for a, b in zip(lo, hi, strict=True)])
+    assert expected.any() and not expected.all()
+    assert (known == expected).all() if most > len(raw) else not (known & ~expected).any()  # a cut leaves more to travel, never less
+
+
 def test_suffix_dedup_edges(spark):
     schema = "doc_id long, text string"
     assert suffix_dedup.dedup_digests(spark.createDataFrame([], schema)).count() == 0
