@@ -24,23 +24,20 @@ def agreement(distance: float, width: float) -> float:
     return math.erf(r / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * r) * (1 - math.exp(-r * r / 2))
 
 
-def shape(n: int, least: float, width: float, recall: float = 0.988, most: int = 400) -> tuple[int, int]:
+def shape(n: int, least: float, width: float, recall: float = 0.988, strangers: float = 1.0) -> tuple[int, int]:
     """Tables and projections for n vectors of one label.
 
-    Each further projection separates unrelated vectors (at right angles), so buckets do not grow with n; tables make up for
-    the pairs at the threshold that it separates too, so that `recall` of those is found, and more of closer ones. Among the
-    numbers of projections the one with the least rows sent is taken: one row a table for the bucket, some 25 times that for the vector
-    if its bucket holds another one, and a part of that for each comparison. At most `most` tables."""
+    Each further projection separates unrelated vectors (at right angles); tables make up for the pairs at the threshold that it
+    separates too, so that `recall` of those is found, and more of closer ones. A bucket meets at most `strangers` unrelated vectors,
+    whatever n is. Among the numbers of projections that keep this, the one with the least rows sent is taken: one row a table for the
+    bucket, and some 25 times that for the vector if its bucket holds another one. Tables grow about as n to the power of 0.23."""
     near, far = agreement(math.sqrt(2 - 2 * least), width), agreement(math.sqrt(2), width)
+    fewest = max(8, math.ceil(math.log(max(1.0, n / strangers)) / -math.log(far)))
 
     def tables(k):
         return math.ceil(math.log(1 - recall) / math.log1p(-(near**k)))
 
-    def cost(k):
-        met = n * far**k
-        return tables(k) * (1 + 25 * min(1.0, met) + met / 50)
-
-    best = min((k for k in range(8, 64) if tables(k) <= most), key=cost)
+    best = min(range(fewest, fewest + 24), key=lambda k: tables(k) * (1 + 25 * min(1.0, n * far**k)))
     return tables(best), best
 
 
