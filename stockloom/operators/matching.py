@@ -17,9 +17,9 @@ def _points(a: str, b: str) -> Column:
     return out
 
 
-def _merge_points(a: str, b: str) -> Column:
-    """How well a row already known and one just read agree: 8 for an equal sku, 5 for one that differs by a last letter, 5 for shared words, economics, 6 for
-    a serial in common. Where the sku stands on several rows just read, economics count once and a half more, and 0.35 goes for each place between the two."""
+def _reading_points(a: str, b: str) -> tuple[Column, Column, Column]:
+    """How well two readings of a row agree: 8 for an equal sku, 5 for one that differs by a last letter, 5 for shared words, economics, 6 for a serial
+    in common. Also the part of economics, and whether the skus are equal."""
     u, v = (F.regexp_replace(F.upper(F.coalesce(F.col(f"{x}.sku"), F.lit(""))), "[^A-Z0-9]+", "") for x in (a, b))
     stem_u, stem_v = (F.regexp_replace(x, "[A-Z]$", "") for x in (u, v))
     akin = (F.length(stem_u) >= 5) & ((stem_u == v) | (stem_v == u) | (stem_u == stem_v))
@@ -30,9 +30,13 @@ def _merge_points(a: str, b: str) -> Column:
     for c, same, other in (("quantity", 6.0, -8.0), ("unit_price", 3.0, -3.0), ("amount", 5.0, -5.0)):
         m, n = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
         economics = economics + F.when(m.isNull() | n.isNull(), 0.0).when(F.abs(m - n) < 0.02, same).otherwise(other)
-    repeated = (u != "") & (u == v) & (F.col(f"{b}.copies") > 1)
-    out = out + economics + F.when(F.arrays_overlap(F.col(f"{a}.serials"), F.col(f"{b}.serials")), 6.0).otherwise(0.0)
-    return out + F.when(repeated, economics * 1.5 - F.abs(F.col(f"{a}.i") - F.col(f"{b}.i")) * 0.35).otherwise(0.0)
+    return out + economics + F.when(F.arrays_overlap(F.col(f"{a}.serials"), F.col(f"{b}.serials")), 6.0).otherwise(0.0), economics, (u != "") & (u == v)
+
+
+def _merge_points(a: str, b: str) -> Column:
+    """As _reading_points; where the sku stands on several rows just read, economics count once and a half more, and 0.35 goes for each place between the two."""
+    out, economics, same = _reading_points(a, b)
+    return out + F.when(same & (F.col(f"{b}.copies") > 1), economics * 1.5 - F.abs(F.col(f"{a}.i") - F.col(f"{b}.i")) * 0.35).otherwise(0.0)
 
 
 def _assigned(pairs: DataFrame) -> DataFrame:
@@ -44,6 +48,33 @@ def _assigned(pairs: DataFrame) -> DataFrame:
     return cand.select("doc_id", F.explode(F.expr(fold)).alias("x")).select("doc_id", "x.p", "x.s", "x.no", (-F.col("x.minus")).alias("score"))
 
 
+def _reading(df: DataFrame, *more: Column) -> DataFrame:
+    """Rows of a reading with what pairs are scored by; i numbers those of a document in the order of no."""
+    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
+    bare = F.filter(F.transform(F.coalesce("serials", F.array().cast("array<string>")), lambda x: F.upper(F.trim(x))), lambda x: x != "")
+    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("item_name", F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
+    out = df.select("doc_id", F.col("no").cast("int").alias("no"), "sku", "item_name", *map(number, ("quantity", "unit_price", "amount")), bare.alias("serials"), *more)
+    key = F.regexp_replace(F.upper(F.coalesce("sku", F.lit(""))), "[^A-Z0-9]+", "")
+    return out.withColumns({"i": F.row_number().over(Window.partitionBy("doc_id").orderBy("no")), "words": words, "copies": F.count(F.lit(1)).over(Window.partitionBy("doc_id", key))})
+
+
+def pair_readings(first: DataFrame, second: DataFrame, least: float = 6.0) -> DataFrame:
+    """Rows of a first reading, in their order, beside the row of an independent second one that agrees best among those still free (of equal ones
+    the first), if by `least` points; then the rows of the second that are left.
+
+    Both: doc_id, no, sku, item_name, quantity, unit_price, amount, serials; numbers of one document and side differ, null documents meet nothing. Returns
+    doc_id, no, second_no, score and status (matched, missing, unexpected). Rows of a document meet by equality of the document, all with all; only the choice is a fold."""
+    one, two = _reading(first), _reading(second)
+    fields = F.struct("i", "no", "sku", "words", "quantity", "unit_price", "amount", "serials")
+    pairs = one.select("doc_id", fields.alias("a")).join(two.select("doc_id", fields.alias("b")), "doc_id")
+    scored = pairs.select("doc_id", F.col("a.i").alias("p"), F.col("b.i").alias("s"), F.col("b.no").alias("no"), _reading_points("a", "b")[0].alias("score"))
+    won = _assigned(scored.where(F.col("score") >= least))
+    met = one.select("doc_id", "no", F.col("i").alias("p")).join(won.select("doc_id", "p", F.col("no").alias("second_no"), "score"), ["doc_id", "p"], "left")
+    met = met.select("doc_id", "no", "second_no", "score", F.when(F.col("second_no").isNull(), "missing").otherwise("matched").alias("status"))
+    free = two.select("doc_id", F.col("no").alias("second_no"), F.col("i").alias("s")).join(won.select("doc_id", "s"), ["doc_id", "s"], "left_anti")
+    return met.unionByName(free.select("doc_id", F.lit(None).cast("int").alias("no"), "second_no", F.lit(None).cast("double").alias("score"), F.lit("unexpected").alias("status")))
+
+
 def merge_readings(known: DataFrame, read: DataFrame, least: float = 5.0) -> DataFrame:
     """Rows already known, in their order, mended by rows just read, each used once; then the verified rows read that met none.
 
@@ -51,17 +82,7 @@ def merge_readings(known: DataFrame, read: DataFrame, least: float = 5.0) -> Dat
     verified row gives its quantity, price and amount, and its serials if they are no more than the quantity; any row fills in a sku or name that is missing.
     known: doc_id, no, sku, item_name, quantity, unit_price, amount, serials; read: the same with verified, only what may be equipment. Numbers of one
     document and side differ. Adds status (mended, kept, added) and read_no. All pairs of a document are scored; a document has few rows."""
-    number = lambda c: F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c)
-    bare = F.filter(F.transform(F.coalesce("serials", F.array().cast("array<string>")), lambda x: F.upper(F.trim(x))), lambda x: x != "")
-    words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("item_name", F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
-    order = Window.partitionBy("doc_id").orderBy("no")
-
-    def side(df, *more):
-        out = df.select("doc_id", F.col("no").cast("int").alias("no"), "sku", "item_name", *map(number, ("quantity", "unit_price", "amount")), bare.alias("serials"), *more)
-        key = F.regexp_replace(F.upper(F.coalesce("sku", F.lit(""))), "[^A-Z0-9]+", "")
-        return out.withColumns({"i": F.row_number().over(order), "words": words, "copies": F.count(F.lit(1)).over(Window.partitionBy("doc_id", key))})
-
-    one, two = side(known), side(read, F.coalesce("verified", F.lit(False)).alias("verified"))
+    one, two = _reading(known), _reading(read, F.coalesce("verified", F.lit(False)).alias("verified"))
     fields = F.struct("no", "i", "sku", "words", "quantity", "unit_price", "amount", "serials", "copies")
     pairs = one.select("doc_id", fields.alias("a")).join(two.select("doc_id", fields.alias("b")), "doc_id")
     won = _assigned(pairs.select("doc_id", F.col("a.i").alias("p"), F.col("b.i").alias("s"), F.col("b.no").alias("no"), _merge_points("a", "b").alias("score")).where(F.col("score") >= least))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.economics import econ_ok
 from ..functions.keys import clean, compact, norm, squeeze
 from ..sources.cut import cut
+from .matching import pair_readings
 from .parsers import once, word_runs
 
 # Words and forms that decide the verdicts, matched without case.
@@ -174,10 +175,19 @@ def analysis_gate(headers: DataFrame, summary: DataFrame, missing: DataFrame, ke
     return d.select(key, issues.alias("issues"), (F.size(issues) == 0).alias("safe_to_promote"))
 
 
+def independent_readings(first: DataFrame, second: DataFrame) -> DataFrame:
+    """doc_id, no, a, b: each row of a first reading beside the one of the second that matching.pair_readings finds for it, as compare_readings takes them."""
+    row = F.struct(*FIELDS[:1], "item_name", *FIELDS[1:])
+    met = pair_readings(first, second).where("status = 'matched'").select("doc_id", "no", "second_no")
+    a, b = first.select("doc_id", "no", row.alias("a")), second.select("doc_id", F.col("no").alias("second_no"), row.alias("b"))
+    return a.join(met, ["doc_id", "no"], "left").join(b, ["doc_id", "second_no"], "left").select("doc_id", "no", "a", "b")
+
+
 def compare_readings(pairs: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """A row (struct of FIELDS) beside the row of an independent reading that matches it, null if none does. Adds disagreements: fields that
-    differ or that one reading lacks. Those other than the quantity are emptied in `row`; core_verified: matched, and the quantity agrees.
-    Numbers agree within 0.02, codes as bare letters and digits, serials as sets."""
+    differ or that one reading lacks. Those other than the quantity are emptied in `row`; choices: for those, both readings as text, null where one has
+    none (serials joined by commas); core_verified: matched, and the quantity agrees. Numbers agree within 0.02, codes as bare letters and digits,
+    serials as sets. Other fields of the first reading stay."""
     a, b = F.col(first), F.col(second)
     serials = lambda x: F.array_sort(F.array_distinct(F.transform(F.coalesce(x["serials"], F.array().cast("array<string>")), lambda s: compact(s))))
 
@@ -193,21 +203,26 @@ def compare_readings(pairs: DataFrame, first: str = "a", second: str = "b") -> D
     apart = F.when(matched, F.array_compact(F.array(*(F.when(differs(f), f) for f in FIELDS)))).otherwise(F.array().cast("array<string>"))
     out = pairs.withColumns({"matched": matched, "disagreements": apart})
     gone = lambda f: F.array_contains("disagreements", f)
-    kept = [F.when(~gone(f), a[f]).alias(f) if f != "quantity" else a[f].alias(f) for f in FIELDS]
-    return out.withColumns({"row": F.struct(*kept), "core_verified": matched & ~gone("quantity")})
+    names = pairs.schema[first].dataType.names
+    kept = [F.when(~gone(f), a[f]).alias(f) if f in FIELDS and f != "quantity" else a[f].alias(f) for f in names]
+    said = lambda x, f: F.nullif(F.array_join(x[f], ", ") if f == "serials" else x[f].cast("string"), F.lit(""))
+    both = [F.when(gone(f) & said(a, f).isNotNull() & said(b, f).isNotNull(), F.array(said(a, f), said(b, f))).alias(f) for f in FIELDS]
+    return out.withColumns({"row": F.struct(*kept), "core_verified": matched & ~gone("quantity"), "choices": F.struct(*both)})
 
 
-def three_layers(compared: DataFrame, printed: Column) -> DataFrame:
-    """Extraction, independent agreement, a person: states of the layers and of each field of compare_readings. printed: whether the line
-    the row was read from stands in the document. A field is not_found, confirmed (printed, or read alike twice) or uncertain."""
+def three_layers(compared: DataFrame, printed: Column | dict[str, Column]) -> DataFrame:
+    """Extraction, independent agreement, a person: states of the layers and of each field of compare_readings, item_name too if rows have one. printed:
+    whether the text a field was read from stands in the document, or that of the whole row. A field is not_found, confirmed (printed, or
+    matched and not read differently) or uncertain."""
     away = F.col("disagreements")
     some = F.size(away) > 0
     second = F.when(~F.col("matched"), "unavailable").when(some, "disagree").otherwise("confirmed")
     why = F.when(~F.col("matched"), "unmatched").when(some, F.concat(F.lit("differs:"), F.array_join(away, ","))).otherwise("")
     states = []
-    for f in FIELDS:
+    for f in [*FIELDS, *({"item_name"} & set(compared.schema["row"].dataType.names))]:
         v = F.col("row")[f]
         empty = F.coalesce(F.size(v) == 0, F.lit(True)) if f == "serials" else F.coalesce(v.cast("string") == "", F.lit(True))
+        there = printed.get(f, F.lit(False)) if isinstance(printed, dict) else printed
         agreed = F.col("matched") & ~F.array_contains(away, f)
-        states.append(F.when(empty, "not_found").when(F.coalesce(printed, F.lit(False)) | agreed, "confirmed").otherwise("uncertain").alias(f))
+        states.append(F.when(empty, "not_found").when(F.coalesce(there, F.lit(False)) | agreed, "confirmed").otherwise("uncertain").alias(f))
     return compared.withColumns({"layer_two": second, "human_review": ~F.col("matched") | some, "reason": why, "evidence": F.struct(*states)})

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.economics import econ_ok
-from ..operators import authority, parsers
+from ..operators import authority, matching, parsers
 from ..operators import verification as v
 from ..sources.cut import cut
 from ..sources.views import table
@@ -152,24 +152,64 @@ def analysis_gate(spark, d):
     return got.select("doc_id", F.array_join("issues", ",").alias("issues"), "safe_to_promote")
 
 
-@query(f"""WITH {ROWS_SQL}, s AS (SELECT *, l_suppkey % 4 <> 0 AS m, CASE WHEN l_partkey % 10 = 3 THEN '' ELSE replace(sku, 'MX', 'mx-') END AS sku2, q + CASE WHEN l_partkey % 6 = 0 THEN 1 ELSE 0 END AS q2, CASE WHEN l_partkey % 9 <> 4 THEN p END AS p2, a + CASE l_partkey % 8 WHEN 1 THEN 1 WHEN 2 THEN 0.01::DOUBLE ELSE 0 END AS a2, l_partkey % 5 <> 2 AS same_sn FROM t),
-f AS (SELECT *, coalesce(m AND sku2 = '' AND sku <> '', FALSE) AS d1, m AND abs(q - q2) >= 0.02::DOUBLE AS d2, m AND p2 IS NULL AS d3, m AND abs(a - a2) >= 0.02::DOUBLE AS d4, m AND NOT same_sn AS d5 FROM s)
-SELECT doc_id, row_no, concat_ws(',', CASE WHEN d1 THEN 'sku' END, CASE WHEN d2 THEN 'quantity' END, CASE WHEN d3 THEN 'unit_price' END, CASE WHEN d4 THEN 'amount' END, CASE WHEN d5 THEN 'serials' END) AS disagreements,
- CASE WHEN NOT m THEN 'unavailable' WHEN d1 OR d2 OR d3 OR d4 OR d5 THEN 'disagree' ELSE 'confirmed' END AS layer_two, NOT m OR d1 OR d2 OR d3 OR d4 OR d5 AS human_review, m AND NOT d2 AS core_verified,
- CASE WHEN sku = '' OR d1 THEN 'not_found' WHEN shown OR m THEN 'confirmed' ELSE 'uncertain' END AS sku_state, CASE WHEN shown OR (m AND NOT d2) THEN 'confirmed' ELSE 'uncertain' END AS quantity_state,
- CASE WHEN d4 THEN 'not_found' WHEN shown OR m THEN 'confirmed' ELSE 'uncertain' END AS amount_state FROM f""")
-def three_layer_verification(spark, d):
-    """Every row beside a second reading of it that lacks a quarter of the rows and differs in some fields."""
+BARE_SN = "upper(trim({}))"
+#: Two readings of the rows; the second lacks a quarter of them, has them in reverse and differs in some fields. Each row is scored with each row of the other
+#: reading of its document; the recursion goes from row to row and keeps what is taken.
+PAIRS_SQL = f"""{ROWS_SQL}, x AS (SELECT doc_id, row_no AS no, sku, name, l_partkey, shown, q, CAST(p AS DOUBLE) AS p, a, 'SN' || CAST(l_suppkey AS VARCHAR) AS sn FROM t),
+y AS (SELECT doc_id, 100 - row_no AS no, CASE WHEN l_partkey % 10 = 3 OR sku = '' THEN '' ELSE replace(sku, 'MX', 'mx-') || CASE WHEN l_partkey % 10 = 4 THEN 'Z' ELSE '' END END AS sku, name, q + CASE WHEN l_partkey % 6 = 0 THEN 1 ELSE 0 END AS q, CASE WHEN l_partkey % 9 <> 4 THEN CAST(p AS DOUBLE) END AS p,
+ a + CASE l_partkey % 8 WHEN 1 THEN 1 WHEN 2 THEN 0.01::DOUBLE ELSE 0 END AS a, 'sn' || CAST(l_suppkey AS VARCHAR) || CASE WHEN l_partkey % 5 = 2 THEN 'X' ELSE '' END AS sn FROM t WHERE l_suppkey % 4 <> 0),
+tx AS (SELECT *, {BARE.format("sku")} AS k, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda z: length(z) >= 3)) AS w, regexp_replace({BARE.format("sku")}, '[A-Z]$', '') AS stem FROM x),
+ty AS (SELECT *, {BARE.format("sku")} AS k, list_distinct(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda z: length(z) >= 3)) AS w, regexp_replace({BARE.format("sku")}, '[A-Z]$', '') AS stem FROM y),
+sc AS (SELECT tx.doc_id, tx.no AS p, ty.no AS s, CAST(CASE WHEN tx.k = '' OR ty.k = '' THEN 0 WHEN tx.k = ty.k THEN 8
+ WHEN length(tx.stem) >= 5 AND (tx.stem = ty.k OR ty.stem = tx.k OR tx.stem = ty.stem) THEN 5 ELSE 0 END AS DOUBLE)
+ + CASE WHEN len(tx.w) = 0 AND len(ty.w) = 0 THEN 1::DOUBLE WHEN len(tx.w) = 0 OR len(ty.w) = 0 THEN 0::DOUBLE ELSE len(list_intersect(tx.w, ty.w)) / greatest(len(tx.w), len(ty.w)) END * 5::DOUBLE
+ + (CASE WHEN abs(tx.q - ty.q) < 0.02::DOUBLE THEN 6 ELSE -8 END + CASE WHEN ty.p IS NULL THEN 0 WHEN abs(tx.p - ty.p) < 0.02::DOUBLE THEN 3 ELSE -3 END + CASE WHEN abs(tx.a - ty.a) < 0.02::DOUBLE THEN 5 ELSE -5 END)
+ + CASE WHEN {BARE_SN.format("tx.sn")} = {BARE_SN.format("ty.sn")} THEN 6 ELSE 0 END AS score FROM tx JOIN ty USING (doc_id)),
+good AS (SELECT * FROM sc WHERE score >= 6), n AS (SELECT doc_id, max(no) AS n FROM x GROUP BY 1),
+go AS (SELECT doc_id, n, 0 AS p, CAST(NULL AS STRUCT(m DOUBLE, s INT)) AS b, CAST([] AS INT[]) AS used FROM n
+ UNION ALL SELECT doc_id, n, p, b, CASE WHEN b IS NULL THEN used ELSE list_append(used, b.s) END FROM (SELECT go.doc_id, go.n, go.p + 1 AS p, go.used,
+  min(CASE WHEN good.s IS NOT NULL THEN struct_pack(m := -good.score, s := CAST(good.s AS INT)) END) AS b FROM go LEFT JOIN good ON good.doc_id = go.doc_id AND good.p = go.p + 1 AND NOT list_contains(go.used, CAST(good.s AS INT)) WHERE go.p < go.n GROUP BY 1, 2, 3, 4)),
+won AS (SELECT doc_id, CAST(p AS INT) AS no, b.s AS second_no, -b.m AS score FROM go WHERE p > 0)"""
+
+
+def _two_readings(spark, d):
+    """Every row, and a second reading that lacks a quarter of the rows, has them in reverse and differs in some fields."""
     c, k = F.col, F.col("l_partkey")
     serial = F.concat(F.lit("SN"), c("l_suppkey").cast("string"))
-    first = F.struct("sku", "quantity", "unit_price", "amount", F.array(serial).alias("serials"))
-    second = F.struct(
-        F.when(k % 10 == 3, "").otherwise(F.replace("sku", F.lit("MX"), F.lit("mx-"))).alias("sku"), (c("quantity") + F.when(k % 6 == 0, 1).otherwise(0)).alias("quantity"), F.when(k % 9 != 4, c("unit_price")).alias("unit_price"),
-        (c("amount") + F.when(k % 8 == 1, 1.0).when(k % 8 == 2, 0.01).otherwise(0.0)).alias("amount"), F.when(k % 5 == 2, F.array(F.concat(serial, F.lit("X")))).otherwise(F.array(F.lower(serial))).alias("serials"),
+    rows = _rows(spark, d)
+    first = rows.select("doc_id", c("row_no").alias("no"), "sku", "item_name", "quantity", "unit_price", "amount", F.array(serial).alias("serials"), "shown", "l_partkey")
+    second = rows.where("l_suppkey % 4 <> 0").select(
+        "doc_id", (100 - c("row_no")).alias("no"), F.when((k % 10 == 3) | (c("sku") == ""), "").otherwise(F.concat(F.replace("sku", F.lit("MX"), F.lit("mx-")), F.when(k % 10 == 4, "Z").otherwise(""))).alias("sku"), "item_name", (c("quantity") + F.when(k % 6 == 0, 1).otherwise(0)).alias("quantity"),
+        F.when(k % 9 != 4, c("unit_price")).alias("unit_price"), (c("amount") + F.when(k % 8 == 1, 1.0).when(k % 8 == 2, 0.01).otherwise(0.0)).alias("amount"),
+        F.when(k % 5 == 2, F.array(F.concat(F.lower(serial), F.lit("X")))).otherwise(F.array(F.lower(serial))).alias("serials"),
     )
-    pairs = _rows(spark, d).select("doc_id", "row_no", "shown", first.alias("a"), F.when(c("l_suppkey") % 4 != 0, second).alias("b"))
-    got = v.three_layers(v.compare_readings(pairs), c("shown"))
-    return got.select("doc_id", "row_no", F.array_join("disagreements", ",").alias("disagreements"), "layer_two", "human_review", "core_verified", c("evidence.sku").alias("sku_state"), c("evidence.quantity").alias("quantity_state"), c("evidence.amount").alias("amount_state"))
+    return first, second
+
+
+@query(f"""WITH RECURSIVE {PAIRS_SQL} SELECT doc_id, no, second_no, round(score, 6) AS score, CASE WHEN second_no IS NULL THEN 'missing' ELSE 'matched' END AS status FROM won
+UNION ALL SELECT doc_id, NULL, CAST(no AS INT), NULL, 'unexpected' FROM y WHERE NOT EXISTS (SELECT 1 FROM won WHERE won.doc_id = y.doc_id AND won.second_no = y.no)""")
+def reading_pairs(spark, d):
+    """The rows of two readings of every document, one to one."""
+    return matching.pair_readings(*_two_readings(spark, d)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH RECURSIVE {PAIRS_SQL}, s AS (SELECT x.*, won.second_no IS NOT NULL AS m, y.sku AS sku2, y.q AS q2, y.p AS p2, y.a AS a2, y.sn AS sn2 FROM x JOIN won USING (doc_id, no) LEFT JOIN y ON y.doc_id = x.doc_id AND y.no = won.second_no),
+f AS (SELECT *, m AND {BARE.format("sku")} <> {BARE.format("sku2")} AS d1, m AND abs(q - q2) >= 0.02::DOUBLE AS d2, m AND (p2 IS NULL OR abs(p - p2) >= 0.02::DOUBLE) AS d3, m AND abs(a - a2) >= 0.02::DOUBLE AS d4, m AND upper(sn) <> upper(sn2) AS d5,
+ shown AND l_partkey % 4 <> 0 AS paid FROM s)
+SELECT doc_id, no AS row_no, concat_ws(',', CASE WHEN d1 THEN 'sku' END, CASE WHEN d2 THEN 'quantity' END, CASE WHEN d3 THEN 'unit_price' END, CASE WHEN d4 THEN 'amount' END, CASE WHEN d5 THEN 'serials' END) AS disagreements,
+ CASE WHEN NOT m THEN 'unavailable' WHEN d1 OR d2 OR d3 OR d4 OR d5 THEN 'disagree' ELSE 'confirmed' END AS layer_two, NOT m OR d1 OR d2 OR d3 OR d4 OR d5 AS human_review, m AND NOT d2 AS core_verified,
+ CASE WHEN sku = '' OR d1 THEN 'not_found' WHEN shown OR m THEN 'confirmed' ELSE 'uncertain' END AS sku_state, CASE WHEN shown OR m THEN 'confirmed' ELSE 'uncertain' END AS name_state,
+ CASE WHEN paid OR (m AND NOT d2) THEN 'confirmed' ELSE 'uncertain' END AS quantity_state, CASE WHEN d4 THEN 'not_found' WHEN paid OR m THEN 'confirmed' ELSE 'uncertain' END AS amount_state,
+ CASE WHEN d1 AND {BARE.format("sku")} <> '' AND sku2 <> '' THEN sku || '|' || sku2 END AS sku_choices, CASE WHEN d5 THEN sn || '|' || sn2 END AS serial_choices FROM f""")
+def three_layer_verification(spark, d):
+    """Every row beside what pair_readings finds for it in a second reading; the money of a quarter of the printed rows stands elsewhere."""
+    first, second = _two_readings(spark, d)
+    got = v.independent_readings(first, second).join(first.select("doc_id", "no", "shown", (F.col("shown") & (F.col("l_partkey") % 4 != 0)).alias("paid")), ["doc_id", "no"])
+    shown, paid = F.col("shown"), F.col("paid")
+    got = v.three_layers(v.compare_readings(got), {"sku": shown, "item_name": shown, "serials": shown, "quantity": paid, "unit_price": paid, "amount": paid})
+    states = [F.col(f"evidence.{f}").alias(n) for f, n in (("sku", "sku_state"), ("item_name", "name_state"), ("quantity", "quantity_state"), ("amount", "amount_state"))]
+    pick = [F.array_join(F.col(f"choices.{f}"), "|").alias(n) for f, n in (("sku", "sku_choices"), ("serials", "serial_choices"))]
+    return got.select("doc_id", F.col("no").alias("row_no"), F.array_join("disagreements", ",").alias("disagreements"), "layer_two", "human_review", "core_verified", *states, *pick)
 
 
 TITLES = ("TAX INVOICE\nInvoice No: INV-1", "Page 2 of 3\ncontinued", "Purchase Order No 4711", "Delivery Note", "Purchase Order No: 4711\nDescription Qty\nUnit Price Amount\nTotal 5.00", "Bill of Quantities", "Serial list")

@@ -83,6 +83,26 @@ def test_two_readings_and_three_layers(spark):
     assert [r.evidence.quantity for r in got] == ["confirmed", "confirmed", "uncertain", "confirmed"]
     assert got[2].row.sku is None and got[2].row.quantity == 2.0 and got[2].evidence.sku == "not_found" and got[3].evidence.serials == "not_found"
     assert got[1].reason == "unmatched" and got[3].reason == "differs:serials"
+    assert got[2].choices.sku == ["MX-1", "MX2"] and got[2].choices.unit_price is None and got[2].choices.serials is None and got[3].choices.serials == ["S1, s2", "S1"]
+    by_field = v.three_layers(v.compare_readings(df), {"sku": F.lit(True)}).orderBy("i").collect()[1].evidence
+    assert (by_field.sku, by_field.quantity, by_field.serials) == ("confirmed", "uncertain", "uncertain")
+
+
+READING = "doc_id long, no int, sku string, item_name string, quantity double, unit_price double, amount double, serials array<string>"
+
+
+def test_readings_pair_greedily_in_order(spark):
+    thing = ("MX-1", "Laser projector", 1.0, 5.0, 5.0, ["S1"])
+    first = [(1, 1, *thing), (1, 2, *thing), (1, 3, "", "", None, None, None, None), (2, 1, *thing), (None, 1, *thing), (3, 1, "MX100A", "Camera", 2.0, None, None, [])]
+    second = [(1, 1, "mx1", "projector LASER", 1.0, 5.0, 5.01, ["s1 "]), (1, 2, "MX1", "Laser projector", 9.0, 5.0, 5.0, ["S9"]), (1, 5, "ZZ", "Lamp", 7.0, 1.0, 7.0, []), (None, 1, *thing), (3, 1, "MX100", "Screen", 2.0, float("nan"), None, None)]
+    got = v.pair_readings(spark.createDataFrame(first, READING), spark.createDataFrame(second, READING)).collect()
+    assert sorted(((r.doc_id, r.no, r.second_no, r.score, r.status) for r in got), key=str) == sorted(
+        [(1, 1, 1, 33.0, "matched"), (1, 2, 2, 13.0, "matched"), (1, 3, None, None, "missing"), (2, 1, None, None, "missing"), (None, 1, None, None, "missing"), (3, 1, 1, 11.0, "matched"),
+         (1, None, 5, None, "unexpected"), (None, None, 1, None, "unexpected")], key=str)
+    beside = v.independent_readings(spark.createDataFrame(first, READING), spark.createDataFrame(second, READING))
+    seen = {(r.doc_id, r.no): r.b and r.b.sku for r in v.three_layers(v.compare_readings(beside), F.lit(False)).collect()}
+    assert seen == {(1, 1): "mx1", (1, 2): "MX1", (1, 3): None, (2, 1): None, (None, 1): None, (3, 1): "MX100"}
+    assert v.pair_readings(spark.createDataFrame([], READING), spark.createDataFrame(second, READING)).where("status <> 'unexpected'").count() == 0
 
 
 def test_titles_of_pages(spark):
