@@ -226,3 +226,32 @@ def three_layers(compared: DataFrame, printed: Column | dict[str, Column]) -> Da
         agreed = F.col("matched") & ~F.array_contains(away, f)
         states.append(F.when(empty, "not_found").when(F.coalesce(there, F.lit(False)) | agreed, "confirmed").otherwise("uncertain").alias(f))
     return compared.withColumns({"layer_two": second, "human_review": ~F.col("matched") | some, "reason": why, "evidence": F.struct(*states)})
+
+
+def countercheck(rows: DataFrame, lines: DataFrame, anchors: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, row_no, kind, reason: what a second look at the whole document says against rows read from it.
+
+    A refused row is a conflict. A code of three letters and digits or more that no line of the document has as whole words is a warning, and so is a document with
+    more numbered rows of equipment than rows were read, or wait for a person (row_no is null there). Documents without rows are looked at too.
+
+    rows: key, row_no, sku, refused (as of judged); pending rows have status 'pending' if there is such a column. lines: key, page, line_no, line. anchors:
+    key, ordinal, strong: rows numbered in print, and whether one names equipment or a model; an ordinal printed several times counts once."""
+    said = lambda kind, reason: (F.lit(kind).alias("kind"), reason.alias("reason"))
+    waiting = F.col("status") == "pending" if "status" in rows.columns else F.lit(False)
+    read = rows.where(~F.coalesce(waiting, F.lit(False)))
+    conflicts = read.where("refused IS NOT NULL").select(key, "row_no", *said("conflict", F.concat(F.lit("refused:"), "refused")))
+    codes = read.where("refused IS NULL").select(key, "row_no", compact("sku").alias("k")).where("length(k) >= 3")
+    there = word_runs(lines.select(key, "page", "line_no", "line"), codes.select(key, "k"), key).select(key, "k").distinct()
+    unseen = codes.join(there, [key, "k"], "left_anti").select(key, "row_no", *said("warning", F.lit("code-not-in-document")))
+    strong = anchors.where("strong AND ordinal > 0").groupBy(key).agg(F.count_distinct("ordinal").alias("numbered"))
+    held = rows.groupBy(key).agg(F.count(F.lit(1)).alias("held"))
+    fewer = strong.join(held, key, "left").where(F.col("numbered") > F.coalesce("held", F.lit(0)))
+    fewer = fewer.select(key, F.lit(None).cast(rows.schema["row_no"].dataType).alias("row_no"), *said("warning", F.lit("numbered-rows-missing")))
+    return conflicts.unionByName(unseen).unionByName(fewer)
+
+
+def fused_ordinal(sku: Column, line: Column, ordinal: Column) -> Column:
+    """Whether a code may have swallowed the number of its row (1 OR-DSP-774 read as 10RDSP-774): the line begins with the code, and the code with the number and a
+    letter or digit after it. Only where the table has a number column beside the code's; such a code is left to a person."""
+    s, n = F.upper(clean(sku)), ordinal.cast("string")
+    return F.coalesce((s != "") & F.startswith(F.upper(clean(line)), s) & F.startswith(s, n) & F.substr(s, F.length(n) + 1, F.lit(1)).rlike("[A-Z0-9]"), F.lit(False))

@@ -212,6 +212,18 @@ def three_layer_verification(spark, d):
     return got.select("doc_id", F.col("no").alias("row_no"), F.array_join("disagreements", ",").alias("disagreements"), "layer_two", "human_review", "core_verified", *states, *pick)
 
 
+@query(f"""WITH {ROWS_SQL}, {PROOF_SQL}, f AS (SELECT * FROM j WHERE l_suppkey % 4 <> 0), e AS (SELECT doc_id, count(DISTINCT row_no) AS n FROM j WHERE shown AND (equipment OR model) GROUP BY 1), hd AS (SELECT doc_id, count(*) AS held FROM f GROUP BY 1)
+SELECT doc_id, row_no, 'conflict' AS kind, 'refused:' || refused AS reason FROM f WHERE refused IS NOT NULL AND l_suppkey % 4 <> 1
+UNION ALL SELECT doc_id, row_no, 'warning', 'code-not-in-document' FROM f WHERE refused IS NULL AND length(sku) >= 3 AND l_suppkey % 4 <> 1 AND NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = f.doc_id AND list_contains(k.words, lower(f.sku)))
+UNION ALL SELECT e.doc_id, NULL, 'warning', 'numbered-rows-missing' FROM e LEFT JOIN hd ON hd.doc_id = e.doc_id WHERE n > coalesce(held, 0)""")
+def countercheck(spark, d):
+    """Three quarters of the rows as read, a third of these pending, against the printed lines and the numbers of all of them."""
+    rows = v.judged(cut(_rows(spark, d), "rows"), HEADER)
+    anchors = rows.where("shown").select("doc_id", F.col("row_no").alias("ordinal"), (F.col("equipment") | F.col("model_like")).alias("strong"))
+    read = rows.where("l_suppkey % 4 <> 0").withColumn("status", F.when(F.col("l_suppkey") % 4 == 1, "pending").otherwise("read"))
+    return v.countercheck(read, parsers.lines_of(_texts(rows)), anchors)
+
+
 TITLES = ("TAX INVOICE\nInvoice No: INV-1", "Page 2 of 3\ncontinued", "Purchase Order No 4711", "Delivery Note", "Purchase Order No: 4711\nDescription Qty\nUnit Price Amount\nTotal 5.00", "Bill of Quantities", "Serial list")
 TITLE_SQL = "CASE {} END".format(" ".join(f"WHEN k = {i} THEN '" + t.replace("\n", "' || chr(10) || '") + "'" for i, t in enumerate(TITLES)))
 

@@ -105,6 +105,20 @@ def test_readings_pair_greedily_in_order(spark):
     assert v.pair_readings(spark.createDataFrame([], READING), spark.createDataFrame(second, READING)).where("status <> 'unexpected'").count() == 0
 
 
+def test_countercheck_of_documents(spark):
+    rows = [(1, 1, "MX-12", None, "read"), (1, 2, "QX99", None, "read"), (1, 3, "T1", "date-metadata", "read"), (1, 4, "GONE5", None, "pending"), (2, 1, None, None, "read"), (None, 1, "ABC", None, None)]
+    rows = spark.createDataFrame(rows, "doc_id long, row_no int, sku string, refused string, status string")
+    lines = spark.createDataFrame([(1, 1, 1, "1 MX12 Laser"), (1, 1, 2, "QX 991 Lamp"), (4, 1, 1, "QX99")], "doc_id long, page int, line_no int, line string")
+    anchors = [(1, i, True) for i in (1, 2, 3, 4, 4, 0)] + [(1, 5, False), (1, None, True), (2, 1, True), (2, 2, True), (2, 2, True), (3, 1, True)]
+    got = v.countercheck(rows, lines, spark.createDataFrame(anchors, "doc_id long, ordinal int, strong boolean")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == sorted(
+        [(1, 3, "conflict", "refused:date-metadata"), (1, 2, "warning", "code-not-in-document"), (None, 1, "warning", "code-not-in-document"), (2, None, "warning", "numbered-rows-missing"), (3, None, "warning", "numbered-rows-missing")], key=str)
+    assert v.countercheck(rows.drop("status").limit(0), lines, spark.createDataFrame([], "doc_id long, ordinal int, strong boolean")).count() == 0
+    told = [("10RDSP-774", "10rdsp-774 mixer", 1, True), ("10RDSP-774", "x 10RDSP-774", 1, False), ("1", "1 mixer", 1, False), ("1-A", "1-A", 1, False), ("20RD", "20RD", 1, False), (None, "1", 1, False), ("12A", "12A x", 12, True)]
+    df = spark.createDataFrame([t[:3] for t in told], "s string, l string, o int")
+    assert [r[0] for r in df.select(v.fused_ordinal(F.col("s"), F.col("l"), F.col("o"))).collect()] == [t[3] for t in told]
+
+
 def test_titles_of_pages(spark):
     told = [("Purchase Order No 4711\nqty amount total", "reject"), ("Purchase Order No: 4711\nqty amount total", "accept"), ("quote\nTax invoice", "reject"), ("Statement of facts", None), ("\n" * 90 + "BOQ", "reject"), ("x\n" * 80 + "BOQ", None), ("", None), (None, None)]
     df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(told)], "i int, t string").select("i", authority.page_marks("t").alias("m"))

@@ -98,3 +98,19 @@ def test_numbers_in_words_equal_a_loop(spark):
     got = {r.row_no: (r.quantity, r.unit_price, r.amount) for r in layout.numbers_by_column(words, columns, ["row_no"]).collect()}
     want = {k: best(ws) for k, ws in rows.items()}
     assert got == {k: v for k, v in want.items() if v} and len(got) > 5
+
+
+def test_codes_by_votes_of_readings(spark):
+    name = "Laser projector bright"
+    rows = [(i, 1, "AB-1", name) for i in range(1, 9)] + [(9, 1, None, name), (9, 2, "AB-1", None), (None, 1, "AB-1", name)]
+    seen = [
+        (1, 1, 1, "ac-2", "bright laser PROJECTOR"), (1, 2, 1, "AC2", name),  # two against one, spelled as first read
+        (2, 1, 1, "AC2", name), (3, 1, 1, "AC2", name), (3, 2, 1, "AD3", name), (4, 1, 1, "AC2", name), (4, 2, 1, "AC2", name), (4, 3, 1, "AB1", name),  # one, two different, a tie
+        (5, 1, 1, "AC2", "Laser lamp black"), (5, 2, 1, "AC2", "Laser lamp black"), (6, 1, 2, "AC2", name), (6, 1, 1, "AD3", name), (6, 2, 1, "AD3", name),  # not alike; the first of equals
+        (7, 1, 1, "AC2", "Laser projector for the system"), (7, 2, 1, "AC2", name), (7, None, 1, "AD3", name), (8, 1, 1, "", name), (8, 2, 1, None, name),
+        (9, 1, 1, "AC2", name), (9, 2, 1, "AC2", name), (None, 1, 1, "AC2", name), (None, 2, 1, "AC2", name),
+    ]
+    out = witnesses.identity_consensus(spark.createDataFrame(rows, "doc_id long, row_no int, sku string, item_name string"), spark.createDataFrame(seen, "doc_id long, source int, no int, sku string, item_name string")).collect()
+    got = {(r.doc_id, r.row_no): (r.sku, r.replaced, r.votes) for r in out}
+    assert len(out) == len(rows) and got[1, 1] == ("ac-2", "AB-1", 2) and got[6, 1] == ("AD3", "AB-1", 2) and got[7, 1] == ("AC2", "AB-1", 2) and got[9, 1] == ("AC2", "", 2)
+    assert {k for k, x in got.items() if x[1] is None} == {(2, 1), (3, 1), (4, 1), (5, 1), (8, 1), (9, 2), (None, 1)} and got[8, 1][2] == 1
