@@ -84,7 +84,7 @@ def _texts(rows):
 
 
 def _proven(spark, d):
-    rows = cut(_rows(spark, d), "rows")
+    rows = _rows(spark, d)
     proof = v.proven_rows(rows, parsers.lines_of(_texts(rows))).select("doc_id", "row_no", "line_no")
     return rows.join(proof, ["doc_id", "row_no"], "left").withColumn("proven", F.col("line_no").isNotNull())
 
@@ -218,10 +218,11 @@ UNION ALL SELECT doc_id, row_no, 'warning', 'code-not-in-document' FROM f WHERE
 UNION ALL SELECT e.doc_id, NULL, 'warning', 'numbered-rows-missing' FROM e LEFT JOIN hd ON hd.doc_id = e.doc_id WHERE n > coalesce(held, 0)""")
 def countercheck(spark, d):
     """Three quarters of the rows as read, a third of these pending, against the printed lines and the numbers of all of them."""
-    rows = v.judged(cut(_rows(spark, d), "rows"), HEADER)
+    plain = _rows(spark, d)
+    rows = cut(v.judged(plain, HEADER).select("doc_id", "row_no", "sku", "shown", "l_suppkey", "refused", "equipment", "model_like"), "rows")
     anchors = rows.where("shown").select("doc_id", F.col("row_no").alias("ordinal"), (F.col("equipment") | F.col("model_like")).alias("strong"))
     read = rows.where("l_suppkey % 4 <> 0").withColumn("status", F.when(F.col("l_suppkey") % 4 == 1, "pending").otherwise("read"))
-    return v.countercheck(read, parsers.lines_of(_texts(rows)), anchors)
+    return v.countercheck(read, parsers.lines_of(_texts(plain)), anchors)
 
 
 TITLES = ("TAX INVOICE\nInvoice No: INV-1", "Page 2 of 3\ncontinued", "Purchase Order No 4711", "Delivery Note", "Purchase Order No: 4711\nDescription Qty\nUnit Price Amount\nTotal 5.00", "Bill of Quantities", "Serial list")
