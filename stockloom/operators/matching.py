@@ -127,7 +127,7 @@ def greedy_matches(rows: DataFrame, least: float = 6.0) -> DataFrame:
 
     out = [F.col("doc_id"), F.col("primary_no"), F.col("secondary_no"), F.col("score"), F.col("status")]
     first, second = (r.where(F.col("side") == s).select(F.col("doc_id").alias("d"), "i", F.col("no").alias(f"{s}_no")) for s in ("primary", "secondary"))
-    at = lambda k: F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("i") == F.col(k))
+    at = lambda k: (F.col("doc_id") == F.col("d")) & (F.col("i") == F.col(k))  # noqa: E731  null documents meet nothing, so none has won
     one = first.join(won, at("p"), "left").withColumns({"status": F.when(F.col("p").isNull(), "missing").otherwise("matched"), "doc_id": F.col("d")}).select(*out)
     two = second.join(won, at("s"), "left_anti").select(F.col("d").alias("doc_id"), F.lit(None).cast("int").alias("primary_no"), "secondary_no", F.lit(None).cast("double").alias("score"), F.lit("unexpected").alias("status"))
     return one.unionByName(two)

@@ -12,6 +12,7 @@ from ..functions.keys import compact, norm, normalized_item_identity, ocr_skelet
 from ..functions.similarity import MEASURES, STOP_WORDS, similarity
 from ..functions.text import model_tokens, money, money_tokens, parse_day_first
 from ..operators import audit, authority, consensus, evidence, gates, health, ledger, matching, resolve, stock
+from ..sources.cut import spread
 from ..sources.views import adjustments, items, purchase_lines, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -426,13 +427,15 @@ def header_backfill(spark, d):
 
 
 def _candidate_rows(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("amount"))
+    raw = table(spark, d, "lineitem")
+    li = raw.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("amount"))
     p = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
     price = half_up_2(F.col("amount") / F.col("quantity")) + F.when(F.col("l_suppkey") % 4 == 0, F.lit(1.0)).otherwise(F.lit(0.0))
-    return li.join(p, "l_partkey").select(
+    rows = li.join(p, "l_partkey").select(
         F.col("l_orderkey").alias("doc_id"), F.col("l_returnflag").alias("origin"), (F.col("l_linenumber") * 1_000_000 + F.col("l_suppkey")).alias("ordinal"), (F.col("l_partkey") % 40).cast("string").alias("sku"),
         F.col("p_name").alias("item_name"), "quantity", price.alias("unit_price"), "amount",
     )
+    return spread(rows, raw, "doc_id")
 
 
 CANDIDATES_SQL = """rows AS (SELECT l_orderkey AS doc_id, l_returnflag AS origin, l_linenumber * 1000000 + l_suppkey AS ordinal, CAST(l_partkey % 40 AS VARCHAR) AS identity, l_quantity AS q,
