@@ -17,35 +17,40 @@ def _points(a: str, b: str) -> Column:
     return out
 
 
-def _reading_points(a: str, b: str) -> tuple[Column, Column, Column]:
+def _reading_points(a: str, b: str) -> tuple[Column, Column, Column, Column]:
     """How well two readings of a row agree: 8 for an equal sku, 5 for one that differs by a last letter, 5 for shared words, economics, 6 for a serial
-    in common. Also the part of economics, and whether the skus are equal."""
-    u, v = (F.regexp_replace(F.upper(F.coalesce(F.col(f"{x}.sku"), F.lit(""))), "[^A-Z0-9]+", "") for x in (a, b))
-    stem_u, stem_v = (F.regexp_replace(x, "[A-Z]$", "") for x in (u, v))
+    in common. Also the most that it can be by skus and economics, which are compared first, the part of economics, and whether the skus are equal."""
+    (u, v), (stem_u, stem_v) = ([F.col(f"{x}.{c}") for x in (a, b)] for c in ("k", "stem"))
     akin = (F.length(stem_u) >= 5) & ((stem_u == v) | (stem_v == u) | (stem_u == stem_v))
-    out = F.when((u == "") | (v == ""), 0.0).when(u == v, 8.0).when(akin, 5.0).otherwise(0.0)
+    out = code = F.when((u == "") | (v == ""), 0.0).when(u == v, 8.0).when(akin, 5.0).otherwise(0.0)
     x, y = F.col(f"{a}.words"), F.col(f"{b}.words")
     out = out + F.when((F.size(x) == 0) & (F.size(y) == 0), 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))) * 5.0
     economics = F.lit(0.0)
     for c, same, other in (("quantity", 6.0, -8.0), ("unit_price", 3.0, -3.0), ("amount", 5.0, -5.0)):
         m, n = F.col(f"{a}.{c}"), F.col(f"{b}.{c}")
         economics = economics + F.when(m.isNull() | n.isNull(), 0.0).when(F.abs(m - n) < 0.02, same).otherwise(other)
-    return out + economics + F.when(F.arrays_overlap(F.col(f"{a}.serials"), F.col(f"{b}.serials")), 6.0).otherwise(0.0), economics, (u != "") & (u == v)
+    return out + economics + F.when(F.arrays_overlap(F.col(f"{a}.serials"), F.col(f"{b}.serials")), 6.0).otherwise(0.0), code + economics + 11.0, economics, (u != "") & (u == v)
 
 
-def _merge_points(a: str, b: str) -> Column:
-    """As _reading_points; where the sku stands on several rows just read, economics count once and a half more, and 0.35 goes for each place between the two."""
-    out, economics, same = _reading_points(a, b)
-    return out + F.when(same & (F.col(f"{b}.copies") > 1), economics * 1.5 - F.abs(F.col(f"{a}.i") - F.col(f"{b}.i")) * 0.35).otherwise(0.0)
+def _merge_points(a: str, b: str) -> tuple[Column, Column]:
+    """As _reading_points, score and most; where the sku stands on several rows just read, economics count once and a half more, and 0.35 goes for each place between the two."""
+    out, most, economics, same = _reading_points(a, b)
+    again = F.when(same & (F.col(f"{b}.copies") > 1), economics * 1.5 - F.abs(F.col(f"{a}.i") - F.col(f"{b}.i")) * 0.35).otherwise(0.0)
+    return out + again, most + again + 0.001  # sums in another order differ by less
 
 
-def _assigned(pairs: DataFrame) -> DataFrame:
-    """doc_id, p, s, no, score: in the order of p, each takes its best free s, the first among equals. One fold a document over scored pairs."""
-    cand = pairs.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("p", (-F.col("score")).alias("minus"), "s", "no"))).alias("c"))
+def _choices(pairs: DataFrame) -> DataFrame:
+    """doc_id, m: in the order of p, each takes its best free s, the first among equals; m lists what is taken (p, minus: the score below zero, s, no). One fold a document over scored pairs."""
+    cand = pairs.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("p", (-F.col("score")).alias("minus"), "s", "no"))).alias("c"))
     taken = "array<struct<p:int,minus:double,s:int,no:int>>"
     fold = f"""aggregate(c, named_struct('p', 0, 'used', cast(array() AS array<int>), 'm', cast(array() AS {taken})),
       (acc, x) -> CASE WHEN x.p = acc.p OR array_contains(acc.used, x.s) THEN acc ELSE named_struct('p', x.p, 'used', array_append(acc.used, x.s), 'm', array_append(acc.m, x)) END).m"""
-    return cand.select("doc_id", F.explode(F.expr(fold)).alias("x")).select("doc_id", "x.p", "x.s", "x.no", (-F.col("x.minus")).alias("score"))
+    return cand.select("doc_id", F.expr(fold).alias("m"))
+
+
+def _assigned(pairs: DataFrame) -> DataFrame:
+    """doc_id, p, s, no, score: what _choices takes, a row each."""
+    return _choices(pairs).select("doc_id", F.explode("m").alias("x")).select("doc_id", "x.p", "x.s", "x.no", (-F.col("x.minus")).alias("score"))
 
 
 def _reading(df: DataFrame, *more: Column) -> DataFrame:
@@ -55,7 +60,23 @@ def _reading(df: DataFrame, *more: Column) -> DataFrame:
     words = F.array_distinct(F.filter(F.split(F.lower(F.coalesce("item_name", F.lit(""))), "[^a-z0-9]+"), lambda t: F.length(t) >= 3))
     out = df.select("doc_id", F.col("no").cast("int").alias("no"), "sku", "item_name", *map(number, ("quantity", "unit_price", "amount")), bare.alias("serials"), *more)
     key = F.regexp_replace(F.upper(F.coalesce("sku", F.lit(""))), "[^A-Z0-9]+", "")
-    return out.withColumns({"i": F.row_number().over(Window.partitionBy("doc_id").orderBy("no")), "words": words, "copies": F.count(F.lit(1)).over(Window.partitionBy("doc_id", key))})
+    out = out.withColumns({"k": key, "words": words}).withColumn("stem", F.regexp_replace("k", "[A-Z]$", ""))
+    return out.withColumn("copies", F.count(F.lit(1)).over(Window.partitionBy("doc_id", "k"))).withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("no")))
+
+
+def _good(one: DataFrame, two: DataFrame, points, least: float) -> DataFrame:
+    """doc_id, p, s, no, score of pairs of rows of a document with `least` points: skus and numbers first, then words and serials of what may still reach them."""
+    fields = F.struct("i", "no", "k", "stem", "words", "quantity", "unit_price", "amount", "serials", "copies")
+    score, most = points("a", "b")[:2]
+    pairs = one.select("doc_id", fields.alias("a")).join(two.select("doc_id", fields.alias("b")), "doc_id").where(most >= least).where(score >= least)
+    return pairs.select("doc_id", F.col("a.i").alias("p"), F.col("b.i").alias("s"), F.col("b.no").alias("no"), score.alias("score"))
+
+
+def best_of_second(first: DataFrame, second: DataFrame, least: float = 6.0) -> DataFrame:
+    """doc_id, no, second_no, score: the matched rows of pair_readings alone."""
+    one = _reading(first)
+    won = _assigned(_good(one, _reading(second), _reading_points, least))
+    return one.select("doc_id", "no", F.col("i").alias("p")).join(won, ["doc_id", "p"]).select("doc_id", one["no"], won["no"].alias("second_no"), "score")
 
 
 def pair_readings(first: DataFrame, second: DataFrame, least: float = 6.0) -> DataFrame:
@@ -65,14 +86,14 @@ def pair_readings(first: DataFrame, second: DataFrame, least: float = 6.0) -> Da
     Both: doc_id, no, sku, item_name, quantity, unit_price, amount, serials; numbers of one document and side differ, null documents meet nothing. Returns
     doc_id, no, second_no, score and status (matched, missing, unexpected). Rows of a document meet by equality of the document, all with all; only the choice is a fold."""
     one, two = _reading(first), _reading(second)
-    fields = F.struct("i", "no", "sku", "words", "quantity", "unit_price", "amount", "serials")
-    pairs = one.select("doc_id", fields.alias("a")).join(two.select("doc_id", fields.alias("b")), "doc_id")
-    scored = pairs.select("doc_id", F.col("a.i").alias("p"), F.col("b.i").alias("s"), F.col("b.no").alias("no"), _reading_points("a", "b")[0].alias("score"))
-    won = _assigned(scored.where(F.col("score") >= least))
-    met = one.select("doc_id", "no", F.col("i").alias("p")).join(won.select("doc_id", "p", F.col("no").alias("second_no"), "score"), ["doc_id", "p"], "left")
-    met = met.select("doc_id", "no", "second_no", "score", F.when(F.col("second_no").isNull(), "missing").otherwise("matched").alias("status"))
-    free = two.select("doc_id", F.col("no").alias("second_no"), F.col("i").alias("s")).join(won.select("doc_id", "s"), ["doc_id", "s"], "left_anti")
-    return met.unionByName(free.select("doc_id", F.lit(None).cast("int").alias("no"), "second_no", F.lit(None).cast("double").alias("score"), F.lit("unexpected").alias("status")))
+    choices = _choices(_good(one, two, _reading_points, least))
+    both = one.select("doc_id", "no", "i", F.lit(True).alias("is_first")).unionByName(two.select("doc_id", "no", "i", F.lit(False).alias("is_first"))).join(choices, "doc_id", "left")  # choices are made once
+    i, is_first = F.col("i"), F.col("is_first")
+    own = F.get(F.filter("m", lambda x: x["p"] == i), F.lit(0))
+    free = ~F.coalesce(F.exists("m", lambda x: x["s"] == i), F.lit(False))
+    both = both.where(is_first | free).withColumn("x", F.when(is_first, own))
+    status = F.when(~is_first, "unexpected").when(F.col("x").isNull(), "missing").otherwise("matched")
+    return both.select("doc_id", F.when(is_first, F.col("no")).alias("no"), F.when(is_first, F.col("x.no")).otherwise(F.col("no")).alias("second_no"), (-F.col("x.minus")).alias("score"), status.alias("status"))
 
 
 def merge_readings(known: DataFrame, read: DataFrame, least: float = 5.0) -> DataFrame:
@@ -83,9 +104,7 @@ def merge_readings(known: DataFrame, read: DataFrame, least: float = 5.0) -> Dat
     known: doc_id, no, sku, item_name, quantity, unit_price, amount, serials; read: the same with verified, only what may be equipment. Numbers of one
     document and side differ. Adds status (mended, kept, added) and read_no. All pairs of a document are scored; a document has few rows."""
     one, two = _reading(known), _reading(read, F.coalesce("verified", F.lit(False)).alias("verified"))
-    fields = F.struct("no", "i", "sku", "words", "quantity", "unit_price", "amount", "serials", "copies")
-    pairs = one.select("doc_id", fields.alias("a")).join(two.select("doc_id", fields.alias("b")), "doc_id")
-    won = _assigned(pairs.select("doc_id", F.col("a.i").alias("p"), F.col("b.i").alias("s"), F.col("b.no").alias("no"), _merge_points("a", "b").alias("score")).where(F.col("score") >= least))
+    won = _assigned(_good(one, two, _merge_points, least))
     found = two.select("doc_id", F.col("i").alias("s"), *[F.col(c).alias(f"_{c}") for c in ("no", "sku", "item_name", "quantity", "unit_price", "amount", "serials", "verified")])
     out = one.join(won.select("doc_id", F.col("p").alias("i"), "s"), ["doc_id", "i"], "left").join(found, ["doc_id", "s"], "left")
     sure = F.coalesce("_verified", F.lit(False))
