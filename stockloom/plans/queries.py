@@ -372,7 +372,7 @@ def _readings(spark, d):
 o AS (SELECT row_key, origin, row_number() OVER (PARTITION BY origin, row_key) AS occurrence FROM r)
 SELECT row_key, CAST(occurrence AS INT) AS occurrence, count(DISTINCT origin) AS n_origins FROM o GROUP BY 1, 2""")
 def ledger_with_occurrence(spark, d):
-    r = _readings(spark, d)
+    r = spread(_readings(spark, d), table(spark, d, "lineitem"), "row_key")  # numbered and counted where they lie
     return ledger.with_occurrence(r, "row_key", "origin", "ordinal").groupBy("row_key", "occurrence").agg(F.count_distinct("origin").alias("n_origins"))
 
 
@@ -380,7 +380,7 @@ def ledger_with_occurrence(spark, d):
 o AS (SELECT DISTINCT row_key, origin, row_number() OVER (PARTITION BY origin, row_key) AS occurrence FROM r)
 SELECT row_key, CAST(occurrence AS INT) AS occurrence FROM o WHERE origin = 'A' AND (row_key, occurrence) NOT IN (SELECT row_key, occurrence FROM o WHERE origin = 'N')""")
 def ledger_vs_final(spark, d):
-    rows = ledger.with_occurrence(_readings(spark, d), "row_key", "origin", "ordinal")
+    rows = ledger.with_occurrence(spread(_readings(spark, d), table(spark, d, "lineitem"), "row_key"), "row_key", "origin", "ordinal")
     return ledger.missing_from(rows.where("origin = 'A'").select("row_key", "occurrence"), rows.where("origin = 'N'"), "row_key")
 
 
