@@ -13,7 +13,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Nodes without a link to another node, and null ends, are left out. Links may repeat. Each round is
     one written table, so lineage stays short and a lost executor costs at most one round. No
-    neighbourhood is ever collected: a hub's rows meet only in aggregates and in joins that AQE splits.
+    neighbourhood is ever collected: a hub's rows meet only in aggregates and in joins that AQE splits. Nothing is
+    broadcast: the planner sizes the minima by the links' compressed files, many times less than they hold.
     """
     links = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a > b").distinct()
     links = materialize(links, "links")
@@ -21,9 +22,9 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while state[0]:
         both = links.union(links.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        small = large.join(least.hint("merge"), "a")
         small = small.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
         links = materialize(small.distinct(), "links")
         new = _state(links)

@@ -184,20 +184,21 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = materialize(classes, "classes")
     if tables is None or projections is None:
         tables, projections = shape(classes.groupBy("space").count().agg(F.max("count")).first()[0] or 1, least, width)
+    # Joins are asked to merge: the planner sizes what comes of a list of keys by one key, not by the tables, and vectors by one component, so it would broadcast millions of rows.
     vectors = classes.select("rep", "vector", "copies")
     keys = classes.select("rep", "vector", "space", F.size("vector").alias("dims")).mapInArrow(_buckets(tables, projections, width), "rep long, space long, dims int, keys array<long>")
     keys = keys.select("rep", "dims", "space", F.posexplode("keys").alias("t", "key")).select("rep", "t", "dims", F.xxhash64("key", "space").alias("bucket"))
     crowded = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")  # a bucket with one vector needs no vector sent
     g = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     part = F.pmod(F.xxhash64("rep", F.lit(11)), g).cast("int")
-    cells = keys.join(crowded, "bucket").select("rep", "t", "dims", "bucket", part.alias("part"), F.explode(F.sequence(F.lit(0), g - 1)).alias("_other"))
-    cells = cells.select("rep", "t", "dims", "bucket", "part", F.least("part", "_other").alias("cell_a"), F.greatest("part", "_other").alias("cell_b")).join(vectors, "rep")
+    cells = keys.join(crowded.hint("merge"), "bucket").select("rep", "t", "dims", "bucket", part.alias("part"), F.explode(F.sequence(F.lit(0), g - 1)).alias("_other"))
+    cells = cells.select("rep", "t", "dims", "bucket", "part", F.least("part", "_other").alias("cell_a"), F.greatest("part", "_other").alias("cell_b")).join(vectors.hint("merge"), "rep")
     order = ["bucket", "t", "dims", "cell_a", "cell_b"]
     cells = cells.repartition(*order).sortWithinPartitions(*order)
     found = materialize(cells.mapInArrow(_compare(least, tables, projections, width), "a long, b long, links long"), "found")
     links = found.groupBy("a").agg(F.sum("links").alias("links")).withColumnRenamed("a", "rep")
     roots = connected_components(found).withColumnRenamed("node", "rep")
-    per_class = classes.select("d1", "d2", "rep", "copies").join(links, "rep", "left").join(roots, "rep", "left").select(
+    per_class = classes.select("d1", "d2", "rep", "copies").join(links.hint("merge"), "rep", "left").join(roots.hint("merge"), "rep", "left").select(
         "d1", "d2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "rep").alias("component")
     )
     out = src.select("vec_id", "d1", "d2").join(per_class, ["d1", "d2"], "left")  # a row without digest meets none

@@ -88,6 +88,22 @@ def test_embedding_links_equal_brute_force(spark, tile):
         assert (r.n_links, r.component_id, r.kept) == (sum(i in pair for pair in links), want[i], want[i] == i)
 
 
+def test_nothing_is_broadcast_on_the_way_to_links_and_components(spark):
+    """The planner sizes a list of keys by one key: at some 60 000 vectors it broadcast 4.9 million rows and the driver ran out of memory."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((40, 16))
+    rows = [(i, (base[i % 40] + 0.01 * rng.standard_normal(16)).tolist(), "a") for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    embedding_dedup.near_duplicates(df)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    ran = store.executionsList(int(before), 1000)
+    plans = [ran.apply(i).physicalPlanDescription() for i in range(ran.size())]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not any("Broadcast" in p for p in plans)
+
+
 def test_recall_of_pairs_at_the_threshold_with_production_parameters(spark):
     rng = np.random.default_rng(9)
     base = rng.standard_normal((1500, 64))
