@@ -114,3 +114,13 @@ def test_codes_by_votes_of_readings(spark):
     got = {(r.doc_id, r.row_no): (r.sku, r.replaced, r.votes) for r in out}
     assert len(out) == len(rows) and got[1, 1] == ("ac-2", "AB-1", 2) and got[6, 1] == ("AD3", "AB-1", 2) and got[7, 1] == ("AC2", "AB-1", 2) and got[9, 1] == ("AC2", "", 2)
     assert {k for k, x in got.items() if x[1] is None} == {(2, 1), (3, 1), (4, 1), (5, 1), (8, 1), (9, 2), (None, 1)} and got[8, 1][2] == 1
+
+
+def test_no_line_is_copied_to_those_above_it_and_a_code_of_one_word_joins_no_words(spark):
+    """Seven lines were gathered for every line, and all runs of a line's words were joined for every code that it holds."""
+    rows = spark.createDataFrame([(1, 1, "MX-12"), (1, 2, "AB 3"), (1, 3, "X1")], "doc_id long, row_no int, sku string")
+    seen = [(1, "a", 1, "projector MX 12 here"), (1, "a", 2, "S/N: Q1"), (1, "a", 3, "speaker AB3"), (1, "a", 4, "camera X1 1.00 2.00"), (1, "a", 5, "x"), (1, "a", 6, "x"), (1, "a", 7, "x"), (1, "a", 8, "x"), (1, "a", 9, "x"), (1, "a", 10, "SN: Q2")]
+    df = witnesses.serial_readings(rows, spark.createDataFrame(seen, "doc_id long, source string, n int, line string"))
+    assert sorted((r.row_no, r.serials) for r in df.collect()) == [(1, ["Q1"]), (3, ["Q2"])]  # a priced line stands between the second and its label
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "RowFrame, currentrow$(), 6" not in plan and "Contains(apart" in plan
