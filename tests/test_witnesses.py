@@ -124,3 +124,11 @@ def test_no_line_is_copied_to_those_above_it_and_a_code_of_one_word_joins_no_wor
     assert sorted((r.row_no, r.serials) for r in df.collect()) == [(1, ["Q1"]), (3, ["Q2"])]  # a priced line stands between the second and its label
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "RowFrame, currentrow$(), 6" not in plan and "Contains(apart" in plan
+
+
+def test_a_print_is_read_once(spark):
+    """Filters repeated what the columns beside them compute: each companion was matched against its pattern four times."""
+    rows = spark.createDataFrame([(1, 1, "MX12", "lamp", 1.0, 1.0)], "doc_id long, row_no int, sku string, item_name string, unit_price double, amount double")
+    seen = spark.createDataFrame([(1, 1, "MZ12", "MZ12", "MZ12 - WT FOR 1", "lamp 1.00 1.00")], "doc_id long, page int, sku string, primary string, companion string, row_text string")
+    plan = witnesses.correct_codes(rows, seen)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WT\\s+FOR") == 1
